@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.session import new_folder
+from tallygrid.types import col
 
 ROW_ID = "__row_id"
 DEEP_ROWS = 100_000
@@ -29,27 +30,32 @@ def with_row_id(df: DataFrame) -> DataFrame:
 class WrittenRows:
     """Rows written with a row id, and how many each written partition holds.
 
-    `partitions` is one `(first row id, rows)` pair per write task.
+    `partitions` is one `(first row id, rows)` pair per write task; `columns`
+    are the ones shown, by default all but the row id.
     """
 
     spark: SparkSession
     path: str
     partitions: list[tuple[int, int]]
+    columns: list[str] | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> "WrittenRows":
+    def open(cls, spark: SparkSession, path: str, columns: list[str] | None = None) -> "WrittenRows":
         ids = spark.read.parquet(path).select(
             F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT).alias("p")
         )
         counted = ids.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-        return cls(spark, path, [(r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted])
+        return cls(spark, path, [(r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted], columns)
 
     @property
     def row_count(self) -> int:
         return sum(n for _, n in self.partitions)
 
+    def _shown(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*map(col, self.columns)) if self.columns else rows.drop(ROW_ID)
+
     def frame(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop(ROW_ID)
+        return self._shown(self.spark.read.parquet(self.path))
 
     def page(self, limit: int, offset: int) -> DataFrame:
         """Rows `offset` to `offset + limit` in written order."""
@@ -62,11 +68,11 @@ class WrittenRows:
             skipped += n
         rows = self.spark.read.parquet(self.path)
         if not ranges or limit <= 0:
-            return rows.drop(ROW_ID).limit(0)
+            return self._shown(rows).limit(0)
         upper = ranges[-1] + (1 << _PARTITION_SHIFT)
         # partitions are contiguous, so one range of ids is what the scan prunes by
         wanted = rows.where((F.col(ROW_ID) >= ranges[0]) & (F.col(ROW_ID) < upper))
-        return wanted.orderBy(ROW_ID).offset(first_skip).limit(limit).drop(ROW_ID)
+        return self._shown(wanted.orderBy(ROW_ID).offset(first_skip).limit(limit))
 
 
 def write_rows(df: DataFrame, label: str = "result") -> WrittenRows:

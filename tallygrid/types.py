@@ -83,8 +83,12 @@ NUMBER_TEXT = (
 def text_to_double(text: Column) -> Column:
     """Text as a double, NULL when it is not a number.
 
-    A plain cast would take `1d` and refuse `1_000`; both are decided by the
-    pattern first.
+    A plain cast would take `1d` and hexadecimal floats and refuse `1_000`.
+    Common numbers take the cast alone; only text that fails it or holds one of
+    the letters in question is matched against the pattern.
     """
-    plain = F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")
-    return F.when(F.rlike(text, F.lit(NUMBER_TEXT)), plain.try_cast("double"))
+    direct = text.try_cast("double")
+    matched = F.when(
+        F.rlike(text, F.lit(NUMBER_TEXT)), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "").try_cast("double")
+    )
+    return F.when(direct.isNotNull() & ~F.rlike(text, F.lit("[dDfFxX]")), direct).otherwise(matched)
