@@ -6,6 +6,8 @@ Where Spark has the same function under the same name and meaning, use
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tallygrid.types import quoted
 # Strftime codes and the date_format pattern letters that mean the same
 STRFTIME_CODES = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss",
-    "%p": "a", "%j": "DDD", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%f": "SSSSSS", "%%": "'%'",
+    "%p": "a", "%j": "DDD", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%f": "SSSSSS", "%%": "%",
 }
 
 
@@ -76,6 +78,11 @@ def concat(*values: Column) -> Column:
     return F.concat_ws("", *[v.cast("string") for v in values])
 
 
+def upper(text: Column) -> Column:
+    """Upper case letter by letter: `ß` becomes `ẞ` and not two letters."""
+    return F.upper(F.replace(text, F.lit("ß"), F.lit("ẞ")))
+
+
 def divide(a: Column, b: Column) -> Column:
     """Division as doubles, NULL for a zero divisor."""
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -96,19 +103,20 @@ def datetime_of(text: Column) -> Column:
 
 def date_pattern(format_text: str) -> str:
     """A strftime format as a date_format pattern; other letters become literals."""
-    out, i = [], 0
-    while i < len(format_text):
-        code = format_text[i:i + 2]
-        if code in STRFTIME_CODES:
-            out.append(STRFTIME_CODES[code])
-            i += 2
-        elif format_text[i] == "%":
-            raise ValueError(f"unknown format code: {code}")
+    out, literal = [], ""
+    for part in re.findall(r"%.|[^%]|%", format_text, re.DOTALL):
+        if part not in STRFTIME_CODES and part.startswith("%"):
+            raise ValueError(f"unknown format code: {part}")
+        if part in STRFTIME_CODES and part != "%%":
+            out += [_quoted_literal(literal), STRFTIME_CODES[part]]
+            literal = ""
         else:
-            c = format_text[i]
-            out.append(f"'{c}'" if c.isalpha() else "''" if c == "'" else c)
-            i += 1
-    return "".join(out)
+            literal += part[-1]
+    return "".join([*out, _quoted_literal(literal)])
+
+
+def _quoted_literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'" if text else ""
 
 
 def strftime(timestamp: Column, format_text: str) -> Column:

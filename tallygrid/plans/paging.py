@@ -44,8 +44,8 @@ class WrittenRows:
         ids = spark.read.parquet(path).select(
             F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT).alias("p")
         )
-        counted = ids.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-        return cls(spark, path, [(r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted], columns)
+        counted = ids.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+        return cls(spark, path, sorted((r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted), columns)
 
     @property
     def row_count(self) -> int:

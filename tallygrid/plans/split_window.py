@@ -111,7 +111,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
         F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts")
     )
     counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    bucketed = counted.withColumn(_B, F.size(F.filter(cuts.scalar(), lambda c: c <= F.col("v"))))
+    bucketed = counted.withColumn("cuts", cuts.scalar()).withColumn(
+        _B, F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    ).drop("cuts")
     across = Window.partitionBy(*keys)
     sizes = (
         bucketed.groupBy(*keys, _B).agg(F.sum("n").alias("rows"))

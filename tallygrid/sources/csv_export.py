@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrid.session import setting
 from tallygrid.types import category, col
 
 
@@ -32,3 +33,9 @@ def export_csv(df: DataFrame, path: str, limit: int | None = None, sep: str = ",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     ).csv(path)
     return path
+
+
+def export_encoded(df: DataFrame, path: str, encoding: str) -> str:
+    """`export_csv` in any character set the JVM knows."""
+    with setting(df.sparkSession, "spark.sql.legacy.javaCharsets", "true"):
+        return export_csv(df, path, encoding=encoding)

@@ -8,16 +8,14 @@ the sampled type) under `__ok=false` with their text and the reason.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from dataclasses import dataclass, field as dataclass_field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.plans.paging import ROW_ID, WrittenRows, with_row_id
-from tallygrid.session import new_folder
+from tallygrid.plans.paging import WrittenRows, with_row_id
+from tallygrid.session import new_folder, setting
 from tallygrid.sources.csv_dialect import Dialect, header_of, sniff
 from tallygrid.sources.csv_encoding import UTF16, encoding_of, head_bytes
 from tallygrid.sources.files import exists, list_files
@@ -81,27 +79,25 @@ class LoadedCsv:
     def row_count(self) -> int:
         return self.rows.row_count if self.rows else 0
 
+    @property
+    def _reject_folder(self) -> str:
+        return f"{self.folder}/{_OK}=false"
+
     def rejects(self) -> DataFrame:
         """`(file, line, reason)` of the rows left out."""
-        path = f"{self.folder}/{_OK}=false"
-        if not exists(self.spark, path):
+        if not exists(self.spark, self._reject_folder):
             return self.spark.createDataFrame([], "file string, line string, reason string")
-        return self.spark.read.parquet(path).select(
+        return self.spark.read.parquet(self._reject_folder).select(
             F.col(_FILE).alias("file"), F.col(_LINE).alias("line"), F.col(_REASON).alias("reason")
         )
 
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+    def has_open_quotes(self) -> bool:
+        """True when a row was left out that opens a quote and does not close it."""
+        if not exists(self.spark, self._reject_folder):
+            return False
+        line = F.col("line")
+        quotes = F.length(line) - F.length(F.replace(line, F.lit(self.plan.dialect.quote), F.lit("")))
+        return not self.rejects().where(quotes % 2 == 1).isEmpty()
 
 
 def examine(spark: SparkSession, path: str, encoding: str | None = None, dialect: Dialect | None = None) -> CsvPlan:
@@ -180,22 +176,17 @@ def load_csv(
     plan = examine(spark, first, encoding, dialect)
     if not plan.names:
         raise ValueError(f"no header in {first}")
-    with _setting(spark, "spark.sql.legacy.javaCharsets", "true"), \
-            _setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+    with setting(spark, "spark.sql.legacy.javaCharsets", "true"), \
+            setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
         plan.types = infer_types(_raw(spark, first, plan), plan.names)
         loaded = _write(spark, paths, plan, size)
-        if not plan.dialect.multiline and loaded.rejects().where(_open_quote(plan.dialect.quote)).limit(1).count():
+        if not plan.dialect.multiline and loaded.has_open_quotes():
             # a quoted line break beyond the sample: read again record by record
             plan.dialect = Dialect(plan.dialect.sep, plan.dialect.quote, multiline=True)
             loaded = _write(spark, paths, plan, size)
     return loaded
 
 
-def _open_quote(quote: str) -> Column:
-    line = F.col("line")
-    return (F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))) % 2 == 1
-
-
 def _write(spark: SparkSession, paths: str | list[str], plan: CsvPlan, size: int) -> LoadedCsv:
     folder = new_folder(spark, "csv")
     # two open writers per task take both kinds of row as they come, so nothing is sorted
