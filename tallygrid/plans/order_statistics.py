@@ -157,11 +157,16 @@ def _narrowed(pruned: DataFrame, keys: list[int], wanted: tuple[Quantile, ...])
         open_ = [t for t in targets.values() if t.value is None and t.end - t.start > INTERVAL_ROWS]
         if not open_:
             break
+        # positions in the same interval, all of a column at first, share a sketch
+        intervals: dict[tuple, list[_Target]] = {}
+        for t in open_:
+            intervals.setdefault((t.k, t.low, t.high), []).append(t)
         sketches = pruned.agg(*[
-            F.percentile_approx(t.inside(), t.fractions(), SKETCH_ACCURACY).alias(f"s{i}")
-            for i, t in enumerate(open_)
+            F.percentile_approx(
+                group[0].inside(), sorted({f for t in group for f in t.fractions()}), SKETCH_ACCURACY
+            ) for group in intervals.values()
         ]).first()
-        pivots = sorted({(t.k, v) for i, t in enumerate(open_) for v in sketches[f"s{i}"]})
+        pivots = sorted({(k, v) for (k, _, _), found in zip(intervals, sketches) for v in found})
         counts = pruned.agg(*[
             F.count_if((F.col(f"c{k}") < F.lit(v))).alias(f"b{i}") for i, (k, v) in enumerate(pivots)
         ], *[
@@ -174,13 +179,12 @@ def _narrowed(pruned: DataFrame, keys: list[int], wanted: tuple[Quantile, ...])
 
     left = [t for t in targets.values() if t.value is None]
     # neighbouring positions mostly share one interval, which is gathered once
-    intervals = {(t.k, t.low, t.high): t for t in left}
-    if intervals:
+    shared = {(t.k, t.low, t.high): t for t in left}
+    if shared:
         held = pruned.agg(*[
-            F.sort_array(F.collect_list(t.inside())).alias(f"h{i}")
-            for i, t in enumerate(intervals.values())
+            F.sort_array(F.collect_list(t.inside())).alias(f"h{i}") for i, t in enumerate(shared.values())
         ])
-        place = {key: i for i, key in enumerate(intervals)}
+        place = {key: i for i, key in enumerate(shared)}
         found = held.select(*[
             F.element_at(f"h{place[t.k, t.low, t.high]}", t.rank - t.start + 1).alias(f"f{j}")
             for j, t in enumerate(left)

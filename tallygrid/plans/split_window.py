@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 
 _B = "__bucket"
+# Group and bucket as one struct. It is never NULL, so a plain equality joins on
+# it, groups with NULL keys included, and the join finds its rows partitioned.
+_G = "__group"
+_K = "__keys"
 # cut points of a value axis: a bounded list, compared with every distinct value
 CUTS = 64
 
@@ -37,8 +41,8 @@ class SplitWindow:
     _final: dict[str, Column] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self._inside = Window.partitionBy(*self.partition_by, _B).orderBy(*self.order_by)
-        self._across = Window.partitionBy(*self.partition_by).orderBy(_B)
+        self._inside = Window.partitionBy(_G).orderBy(*self.order_by)
+        self._across = Window.partitionBy(_K).orderBy(_B)
         self._before = self._across.rowsBetween(Window.unboundedPreceding, -1)
 
     def _summed(self, name: str, inner: Column, per_bucket: Column) -> "SplitWindow":
@@ -83,20 +87,15 @@ class SplitWindow:
         return self._neighbour(name, value, 1)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        keys = [*self.partition_by, _B]
-        inside = df.withColumn(_B, self.bucket)
+        inside = df.withColumn(_G, F.struct(F.struct(*self.partition_by).alias("k"), self.bucket.alias("b")))
         for name, column in self._inner.items():
             inside = inside.withColumn(name, column)
-        buckets = inside.groupBy(*keys).agg(*[c.alias(n) for n, c in self._bucket.items()])
-        outer = buckets.select(*keys, *[c.alias(n) for n, c in self._outer.items()])
-        joined = inside.alias("i").join(
-            outer.alias("o"),
-            [F.col(f"i.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys],
-            "left",
-        )
-        return joined.select(
-            *[F.col(f"i.{c}") for c in df.columns], *[c.alias(n) for n, c in self._final.items()]
+        buckets = inside.groupBy(_G).agg(*[c.alias(n) for n, c in self._bucket.items()])
+        outer = buckets.withColumns({_K: F.col(f"{_G}.k"), _B: F.col(f"{_G}.b")}).select(
+            F.col(_G).alias("__g"), *[c.alias(n) for n, c in self._outer.items()]
         )
+        joined = inside.join(outer, F.col(_G) == F.col("__g"), "left")
+        return joined.select(*df.columns, *[c.alias(n) for n, c in self._final.items()])
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -111,12 +110,14 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
         F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts")
     )
     counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    bucketed = counted.withColumn("cuts", cuts.scalar()).withColumn(
-        _B, F.size(F.filter("cuts", lambda c: c <= F.col("v")))
-    ).drop("cuts")
-    across = Window.partitionBy(*keys)
+    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
+    bucketed = counted.withColumn("cuts", cuts.scalar()).select(
+        F.struct(F.struct(*keys).alias("k"), bucket.alias("b")).alias(_G), "v", "n"
+    )
+    across = Window.partitionBy(_K)
     sizes = (
-        bucketed.groupBy(*keys, _B).agg(F.sum("n").alias("rows"))
+        bucketed.groupBy(F.col(_G).alias("__g")).agg(F.sum("n").alias("rows"))
+        .withColumns({_K: F.col("__g.k"), _B: F.col("__g.b")})
         .withColumn("before", F.sum("rows").over(across.orderBy(_B)) - F.col("rows"))
         .withColumn("total", F.sum("rows").over(across))
     )
@@ -139,14 +140,10 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     needed = F.lit(False)
     for place in places:
         needed = needed | within(F.col("before"), F.col("rows"), place)
-    held = bucketed.alias("b").join(
-        sizes.where(needed).alias("s"),
-        [F.col(f"b.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, _B]],
-    ).select(*[F.col(f"b.{k}") for k in keys], F.col(f"b.{_B}"), "v", "n", "before", *places,
-             *[f"{name}__w" for name in wanted])
-    inside = Window.partitionBy(*keys, _B).orderBy("v")
+    held = bucketed.join(sizes.where(needed), F.col(_G) == F.col("__g"))
+    inside = Window.partitionBy(_G).orderBy("v")
     ranked = held.withColumn("start", F.col("before") + F.sum("n").over(inside) - F.col("n"))
-    picked = ranked.groupBy(*keys).agg(
+    picked = ranked.groupBy(F.col(f"{_G}.k").alias(_K)).agg(
         *[F.max(F.when(within(F.col("start"), F.col("n"), p), F.col("v"))).alias(p) for p in places],
         *[F.first(f"{name}__w").alias(f"{name}__w") for name in wanted],
     )
@@ -155,4 +152,4 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
         low, high, weight = F.col(f"{name}__l"), F.col(f"{name}__h"), F.col(f"{name}__w")
         between = low * (1 - weight) + high * weight
         out.append(F.when((low == high) | (weight == 0), low).otherwise(between).alias(name))
-    return picked.select(*keys, *out)
+    return picked.select(*[F.col(f"{_K}.{k}") for k in keys], *out)

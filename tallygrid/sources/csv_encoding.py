@@ -54,15 +54,13 @@ def _gb_evidence(raw: bytes) -> tuple[bool, int, int]:
 
 def head_bytes(spark: SparkSession, path: str) -> bytes:
     """The first bytes of a file, cut at a line end."""
-    lines = (
-        spark.read.text(path).limit(SAMPLE_LINES)
-        .select(F.substring(F.col("value").cast("binary"), 1, SAMPLE_BYTES).alias("v"))
-    )
+    start = F.substring(F.col("value").cast("binary"), 1, SAMPLE_BYTES)
     out = bytearray()
-    for row in lines.toLocalIterator():
+    # a collected limit reads the first split only
+    for (line,) in spark.read.text(path).select(start).limit(SAMPLE_LINES).collect():
         if len(out) >= SAMPLE_BYTES:
             break
-        out += bytes(row["v"]) + b"\n"
+        out += bytes(line) + b"\n"
     return bytes(out)
 
 

@@ -27,6 +27,7 @@ SNIFF_LINES = 200
 
 _CORRUPT, _FILE, _OK, _REASON, _LINE = "__corrupt", "__file", "__ok", "__reason", "__line"
 _PYTHON_CODEC = {"ISO-8859-1": "latin-1"}
+_WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
 _DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?$"
 
@@ -35,7 +36,7 @@ def _cast(text: Column, data_type: str) -> Column:
     if data_type == "string":
         return text
     if data_type == "double":
-        return text_to_double(text)
+        return text_to_double(text, mostly_numbers=True)
     if data_type == "boolean":
         word = F.lower(F.trim(text))
         return F.when(word == "true", True).when(word == "false", False)
@@ -46,8 +47,34 @@ def _cast(text: Column, data_type: str) -> Column:
     return text.try_cast(data_type)
 
 
-# tried in this order; the first that fits every sampled value wins
+# tried in this order; a column gets the first that fits every sampled value
 _CANDIDATES = ("boolean", "bigint", "double", "date", "timestamp_ntz")
+# a value that reads as the first also reads as the second
+_ALSO = {"bigint": "double", "date": "timestamp_ntz"}
+_TRIED = ("bigint", "double", "boolean", "date", "timestamp_ntz")
+
+
+def _bit(data_type: str) -> int:
+    return 1 << _CANDIDATES.index(data_type)
+
+
+def _reads_as(text: Column, data_type: str) -> Column:
+    """`_cast` gives a value. Most values fit few types and a failing cast is slow, so patterns go first."""
+    if data_type == "double":
+        return text_to_double(text).isNotNull()
+    if data_type == "bigint":
+        return F.rlike(text, F.lit(_WHOLE)) & text.try_cast("bigint").isNotNull()
+    return _cast(text, data_type).isNotNull()
+
+
+def _fitting(text: Column) -> Column:
+    """The types a value fits, one bit each; NULL fits any."""
+    fits = None
+    for data_type in _TRIED:
+        bits = _bit(data_type) | (_bit(_ALSO[data_type]) if data_type in _ALSO else 0)
+        test = _reads_as(text, data_type)
+        fits = F.when(test, bits) if fits is None else fits.when(test, bits)
+    return F.when(text.isNotNull(), fits.otherwise(0))
 
 
 @dataclass
@@ -124,15 +151,16 @@ def _raw(spark: SparkSession, paths: str | list[str], plan: CsvPlan) -> DataFram
 
 
 def infer_types(raw: DataFrame, names: list[str]) -> dict[str, str]:
-    """Types that fit all of the first `SAMPLE_ROWS` rows; text where nothing else does."""
-    sample = raw.limit(SAMPLE_ROWS).where(F.col(_CORRUPT).isNull())
-    aggregates = []
-    for i in range(len(names)):
-        aggregates.append(F.count(f"c{i}").alias(f"n{i}"))
-        aggregates += [F.count(_cast(F.col(f"c{i}"), t)).alias(f"{t}{i}") for t in _CANDIDATES]
-    found = sample.agg(*aggregates).first()
+    """Types that fit all of the first `SAMPLE_ROWS` rows; text where nothing else does.
+
+    Collecting a limit starts tasks on the first split only and goes on while
+    rows are missing; aggregating a limited frame would start one per split.
+    """
+    rows = raw.limit(SAMPLE_ROWS).collect()
+    sample = raw.sparkSession.createDataFrame(rows, raw.schema).where(F.col(_CORRUPT).isNull())
+    found = sample.agg(*[F.bit_and(_fitting(F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(names))]).first()
     return {
-        name: next((t for t in _CANDIDATES if 0 < found[f"n{i}"] == found[f"{t}{i}"]), "string")
+        name: next((t for t in _CANDIDATES if (found[i] or 0) & _bit(t)), "string")
         for i, name in enumerate(names)
     }
 

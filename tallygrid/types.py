@@ -80,15 +80,18 @@ NUMBER_TEXT = (
 )
 
 
-def text_to_double(text: Column) -> Column:
+def text_to_double(text: Column, mostly_numbers: bool = False) -> Column:
     """Text as a double, NULL when it is not a number.
 
-    A plain cast would take `1d` and hexadecimal floats and refuse `1_000`.
-    Common numbers take the cast alone; only text that fails it or holds one of
-    the letters in question is matched against the pattern.
+    A plain cast would take `1d` and hexadecimal floats and refuse `1_000`, so
+    the pattern decides. A cast that fails is slow: text of unknown kind is
+    matched first. For `mostly_numbers` the cast comes first, and only text that
+    fails it or holds one of the letters in question is matched.
     """
-    direct = text.try_cast("double")
     matched = F.when(
         F.rlike(text, F.lit(NUMBER_TEXT)), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "").try_cast("double")
     )
+    if not mostly_numbers:
+        return matched
+    direct = text.try_cast("double")
     return F.when(direct.isNotNull() & ~F.rlike(text, F.lit("[dDfFxX]")), direct).otherwise(matched)
