@@ -116,7 +116,8 @@ def date_pattern(format_text: str) -> str:
 
 
 def _quoted_literal(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'" if text else ""
+    plain = not re.search(r"[^\W\d_]|['\[\]{}#]", text)
+    return text if plain else "'" + text.replace("'", "''") + "'"
 
 
 def strftime(timestamp: Column, format_text: str) -> Column:

@@ -50,7 +50,9 @@ class SplitWindow:
         self._inner[f"__i_{name}"] = inner
         self._bucket[f"__b_{name}"] = per_bucket
         self._outer[f"__o_{name}"] = F.sum(f"__b_{name}").over(self._before)
-        self._final[name] = F.col(f"__i_{name}") + F.coalesce(F.col(f"__o_{name}"), F.lit(0))
+        inside, before = F.col(f"__i_{name}"), F.col(f"__o_{name}")
+        # a sum over nothing but NULL is NULL on either side
+        self._final[name] = F.coalesce(inside + before, inside, before)
         return self
 
     def row_number(self, name: str) -> "SplitWindow":
