@@ -10,6 +10,7 @@ row per bucket. The results are the same.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ _B = "__bucket"
 # it, groups with NULL keys included, and the join finds its rows partitioned.
 _G = "__group"
 _K = "__keys"
-# cut points of a value axis: a bounded list, compared with every distinct value
-CUTS = 64
+# a value axis is cut into STEPS * STEPS buckets of about equal row counts
+STEPS = 16
 
 
 @dataclass
@@ -100,6 +101,26 @@ class SplitWindow:
         return joined.select(*df.columns, *[c.alias(n) for n, c in self._final.items()])
 
 
+def _bucketed(counted: DataFrame, cuts: DataFrame) -> DataFrame:
+    """`counted` with the number of cut points that are not above `v` as `bucket`.
+
+    Two steps of STEPS - 1 comparisons each, in generated code: every STEPS-th
+    cut first, then those behind it.
+    """
+    def up_to(first: Column | int, stride: int) -> Column:
+        compared = [
+            (F.col("cuts")[first + stride * i] <= F.col("v")).cast("int") for i in range(STEPS - 1)
+        ]
+        return reduce(lambda a, b: a + b, compared)
+
+    return (
+        counted.withColumn("cuts", cuts.scalar())
+        .withColumn("step", up_to(STEPS - 1, STEPS) * STEPS)
+        .withColumn("bucket", F.col("step") + up_to(F.col("step"), 1))
+        .drop("cuts", "step")
+    )
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Exact quantiles of `column` per group: `keys` and one double per name.
 
@@ -108,13 +129,11 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     buckets, and only buckets that hold a wanted position are ever sorted.
     """
     values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
-    cuts = values.agg(
-        F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000).alias("cuts")
-    )
+    shares = [i / STEPS**2 for i in range(1, STEPS**2)]
+    cuts = values.agg(F.percentile_approx("v", shares, 2000).alias("cuts"))
     counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    bucket = F.size(F.filter("cuts", lambda c: c <= F.col("v")))
-    bucketed = counted.withColumn("cuts", cuts.scalar()).select(
-        F.struct(F.struct(*keys).alias("k"), bucket.alias("b")).alias(_G), "v", "n"
+    bucketed = _bucketed(counted, cuts).select(
+        F.struct(F.struct(*keys).alias("k"), F.col("bucket").alias("b")).alias(_G), "v", "n"
     )
     across = Window.partitionBy(_K)
     sizes = (
@@ -142,7 +161,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[
     needed = F.lit(False)
     for place in places:
         needed = needed | within(F.col("before"), F.col("rows"), place)
-    held = bucketed.join(sizes.where(needed), F.col(_G) == F.col("__g"))
+    # a few rows per group against all distinct values: hash the few, and leave
+    # the rows partitioned the way the window below wants them
+    held = bucketed.join(sizes.where(needed).hint("shuffle_hash"), F.col(_G) == F.col("__g"))
     inside = Window.partitionBy(_G).orderBy("v")
     ranked = held.withColumn("start", F.col("before") + F.sum("n").over(inside) - F.col("n"))
     picked = ranked.groupBy(F.col(f"{_G}.k").alias(_K)).agg(
