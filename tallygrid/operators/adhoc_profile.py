@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.plans.order_statistics import IN_MEMORY_ROWS, LINEAR, ORDINAL, QUARTILES, Quantile, quantile_frame
+from tallygrid.plans.paging import write_rows
 from tallygrid.types import BOOLEAN, STRING, category, clean, col, field, is_numeric, percent, text_to_double
 
 # Texts that mean "no value", share of numbers that makes a column
@@ -20,10 +21,8 @@ _ORDINAL_QUARTILES = (
 )
 
 
-def as_number(df: DataFrame, column: str) -> Column:
-    """The column as a double where its type or its text allows, else NULL."""
-    data_type = field(df, column).dataType
-    value = col(column)
+def as_number(value: Column, data_type: T.DataType) -> Column:
+    """The value as a double where its type or its text allows, else NULL."""
     if is_numeric(data_type) or category(data_type) == BOOLEAN:
         return value.cast("double")
     if category(data_type) == STRING:
@@ -31,42 +30,53 @@ def as_number(df: DataFrame, column: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def _quantiles_of(df: DataFrame, number: Column, wanted: tuple[Quantile, ...], in_memory_rows: int) -> DataFrame:
-    return quantile_frame(df, {0: number}, wanted, in_memory_rows).drop("k")
-
-
-def profile_sql_column(df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def profile_sql_column(
+    df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_ROWS, materialize: bool = False
+) -> DataFrame:
     """One-row profile of a column of any query result.
 
     `numeric` when every value casts to a double, `unknown` when there is no
-    value at all, else `text`. The scalar subqueries are one row each.
+    value at all, else `text`. The query behind `df` runs once to count its rows
+    and once more to count its values; everything else comes from that one
+    shuffle. `materialize` writes the column to the shared folder first, for
+    queries that cost more than the writing.
     """
-    number = as_number(df, column)
-    pruned = df.select(col(column).alias("v"), number.alias("x"))
-    totals = pruned.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count("v").alias("present"), F.count("x").alias("numbers"),
-        F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+    data_type = field(df, column).dataType
+    if materialize:
+        df = write_rows(df.select(col(column)), "column").frame()
+    number = as_number(F.col("v"), data_type)
+    counted = _groupable(df, column).groupBy("v").agg(F.count(F.lit(1)).alias("n")).select("v", number.alias("x"), "n")
+    n, x = F.col("n"), F.col("x")
+    mean = F.try_divide(F.sum(x * n), F.sum(F.when(x.isNotNull(), n)))
+    centre = counted.agg(mean.alias("mean")).scalar()
+    spread = F.sum(n * (x - centre) * (x - centre))
+    rows = df.count()
+    quartiles = [F.percentile(x, [q.p for q in QUARTILES], n).alias("quartiles")] if rows <= in_memory_rows else []
+    totals = counted.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"), F.count("v").alias("unique_count"),
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), n)), F.lit(0)).alias("present"),
+        F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0)).alias("numbers"),
+        F.min("x").alias("low"), F.max("x").alias("high"), mean.alias("mean"), spread.alias("spread"), *quartiles,
     )
-    distinct = _groupable(df, column).groupBy("v").agg(F.lit(1).alias("one")).agg(F.count("v").alias("unique_count"))
-    quartiles = _quantiles_of(df, number, QUARTILES, in_memory_rows)
+    if not quartiles:
+        found = quantile_frame(
+            df, {0: as_number(col(column), data_type)}, QUARTILES, in_memory_rows, rows
+        ).select(F.array(*[q.name for q in QUARTILES]))
+        totals = totals.withColumn("quartiles", found.scalar())
     numeric = (F.col("present") > 0) & (F.col("numbers") == F.col("present"))
     dtype = F.when(F.col("present") == 0, "unknown").when(numeric, "numeric").otherwise("text")
-
-    def when_numeric(value: Column, name: str) -> Column:
-        return F.when(numeric, clean(value)).alias(name)
-
+    std = F.when(F.col("numbers") > 1, F.sqrt(F.col("spread") / (F.col("numbers") - 1)))
+    missing = F.col("total_rows") - F.col("present")
+    statistics = {
+        "min_value": F.col("low"), "max_value": F.col("high"), "mean_value": F.col("mean"),
+        "median_value": F.col("quartiles")[0], "std_value": std,
+        "q1_value": F.col("quartiles")[1], "q3_value": F.col("quartiles")[2],
+    }
     return totals.select(
-        F.lit(column).alias("column_name"), dtype.alias("dtype"), "total_rows",
-        distinct.scalar().alias("unique_count"),
-        (F.col("total_rows") - F.col("present")).alias("missing_count"),
-        percent(F.col("total_rows") - F.col("present"), F.col("total_rows")).alias("missing_percentage"),
+        F.lit(column).alias("column_name"), dtype.alias("dtype"), "total_rows", "unique_count",
+        missing.alias("missing_count"), percent(missing, F.col("total_rows")).alias("missing_percentage"),
         numeric.alias("is_numeric"),
-        when_numeric(F.col("low"), "min_value"), when_numeric(F.col("high"), "max_value"),
-        when_numeric(F.col("mean"), "mean_value"),
-        when_numeric(quartiles.select("median_value").scalar(), "median_value"),
-        when_numeric(F.col("std"), "std_value"),
-        when_numeric(quartiles.select("q1_value").scalar(), "q1_value"),
-        when_numeric(quartiles.select("q3_value").scalar(), "q3_value"),
+        *[F.when(numeric, clean(value)).alias(name) for name, value in statistics.items()],
     )
 
 
@@ -106,7 +116,9 @@ def profile_lenient(df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_
         F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
     )
     distinct = pruned.groupBy("t").agg(F.lit(1).alias("one")).agg(F.count("t").alias("unique_count"))
-    quartiles = quantile_frame(pruned, {0: F.col("x")}, _ORDINAL_QUARTILES, in_memory_rows)
+    found = quantile_frame(pruned, {0: F.col("x")}, _ORDINAL_QUARTILES, in_memory_rows)
+    # one subquery for all three
+    quartiles = found.select(F.struct(*[q.name for q in _ORDINAL_QUARTILES])).scalar()
     numeric = F.col("numbers") > F.col("present") * NUMERIC_SHARE
     several = numeric & (F.col("numbers") > 1)
     missing = F.col("total_rows") - F.col("present")
@@ -119,10 +131,10 @@ def profile_lenient(df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_
         numeric.alias("is_numeric"),
         F.when(numeric, F.col("low")).alias("min_value"), F.when(numeric, F.col("high")).alias("max_value"),
         F.when(numeric, F.col("mean")).alias("mean_value"),
-        F.when(numeric, quartiles.select("median_value").scalar()).alias("median_value"),
+        F.when(numeric, quartiles["median_value"]).alias("median_value"),
         F.when(several, F.col("std")).alias("std_value"),
-        F.when(several, quartiles.select("q1_value").scalar()).alias("q1_value"),
-        F.when(several, quartiles.select("q3_value").scalar()).alias("q3_value"),
+        F.when(several, quartiles["q1_value"]).alias("q1_value"),
+        F.when(several, quartiles["q3_value"]).alias("q3_value"),
     )
 
 

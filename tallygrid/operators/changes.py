@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from tallygrid.types import col, field, quoted
 
 
-def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
-    """The table with `rows` added, matched by column name."""
-    return df.unionByName(rows, allowMissingColumns=True)
+def insert(df: DataFrame, rows: DataFrame, by_position: bool = False) -> DataFrame:
+    """The table with `rows` added, matched by column name.
+
+    `by_position` is the rule of an INSERT statement: the first value goes to
+    the first column, and so on, cast to the column's type.
+    """
+    if not by_position:
+        return df.unionByName(rows, allowMissingColumns=True)
+    if len(rows.columns) != len(df.columns):
+        raise ValueError(f"{len(rows.columns)} values for {len(df.columns)} columns")
+    named = rows.toDF(*df.columns)
+    return df.union(named.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
 def update(df: DataFrame, assignments: dict[str, Column], where: Column | None = None) -> DataFrame:

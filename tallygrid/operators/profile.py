@@ -234,11 +234,9 @@ def top_values_long(profile: DataFrame) -> DataFrame:
 
 
 def dtype_summary(df: DataFrame) -> DataFrame:
-    """Number of columns per type category."""
-    rows = [(category(f.dataType),) for f in df.schema.fields]
-    return (
-        df.sparkSession.createDataFrame(rows, "category string")
-        .groupBy("category").agg(F.count(F.lit(1)).alias("column_count"))
+    """Columns per type category, and how many values they miss together."""
+    return column_statistics(df, statistics=False).groupBy("category").agg(
+        F.count(F.lit(1)).alias("column_count"), F.sum("null_count").alias("null_count")
     )
 
 

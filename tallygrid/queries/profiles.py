@@ -183,14 +183,16 @@ def profile_column_text(spark, folder):
 
 @query(
     "dtype_summary",
-    """SELECT category, COUNT(*) AS column_count FROM (
+    GAPS_ORACLE + """SELECT category, COUNT(*) AS column_count, CAST(SUM(null_count) AS BIGINT) AS null_count FROM (
          SELECT CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN column_type = 'DOUBLE' THEN 'float'
                      WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type LIKE 'TIMESTAMP%' THEN 'datetime'
-                     ELSE 'other' END AS category
-         FROM (DESCRIBE lineitem)) GROUP BY category""",
+                     ELSE 'other' END AS category, null_count
+         FROM (DESCRIBE orders) JOIN (""" + union_all([
+             f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count FROM t" for c in ORDER_COLUMNS
+         ]) + """) USING (column_name)) GROUP BY category""",
 )
 def dtype_summary(spark, folder):
-    return profile.dtype_summary(table(spark, folder, "lineitem"))
+    return profile.dtype_summary(orders_with_gaps(spark, folder))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,7 +15,7 @@ from tallygrid.operators.adhoc_profile import profile_sql_column, top_values
 from tallygrid.operators.catalog import catalog_columns, free_name, search, table_name_for
 from tallygrid.operators.columns import COLUMN_QUERIES
 from tallygrid.operators.query import PAGE_ROWS, ResultPage, execute, fetch, parse
-from tallygrid.plans.paging import WrittenRows, write_rows
+from tallygrid.plans.paging import DEEP_ROWS, WrittenRows, write_rows
 from tallygrid.sources.csv_export import export_csv
 from tallygrid.sources.csv_load import LoadedCsv, load_csv
 from tallygrid.sources.files import delete_folder
@@ -47,12 +48,19 @@ class LoadStatus:
     error: str | None = None
 
 
+def _stored_page(stored: WrittenRows, limit: int, offset: int) -> ResultPage:
+    shown = stored.page(limit, offset)
+    rows = [list(r) for r in shown.collect()]
+    return ResultPage(shown.columns, rows, len(rows), stored.row_count)
+
+
 class Workbench:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self._tables: dict[str, Table] = {}
         self._views: dict[str, str] = {}
         self._profiles: dict[tuple[str, int], DataFrame] = {}
+        self._results: dict[str, WrittenRows] = {}
         self._versions = 0
         register_functions(spark)
 
@@ -89,6 +97,7 @@ class Workbench:
         self, name: str, frame: DataFrame, rows: WrittenRows | None, path: str, loaded: LoadedCsv | None
     ) -> Table:
         frame.createOrReplaceTempView(quoted(name))
+        self._forget_results()
         self._versions += 1
         columns = [{"name": f.name, "dtype": f.dataType.simpleString()} for f in frame.schema.fields]
         table = Table(
@@ -108,7 +117,8 @@ class Workbench:
         return self._tables.get(name)
 
     def table(self, name: str) -> DataFrame:
-        if name not in self._tables:
+        """A registered table, or one a statement such as CREATE TABLE made."""
+        if name not in self._tables and not self.spark.catalog.tableExists(quoted(name)):
             raise ValueError(f"no such table: {name}")
         return self.spark.table(quoted(name))
 
@@ -138,6 +148,7 @@ class Workbench:
         except PySparkException:
             return False
         self._views[name] = sql
+        self._forget_results()
         return True
 
     def views(self) -> dict[str, str]:
@@ -156,11 +167,13 @@ class Workbench:
     def delete_view(self, name: str) -> bool:
         self.spark.catalog.dropTempView(name)
         self._views.pop(name, None)
+        self._forget_results()
         return True
 
     def drop_table(self, name: str) -> bool:
         self.spark.catalog.dropTempView(name)
         self.clear_profiles(name)
+        self._forget_results()
         table = self._tables.pop(name, None)
         if table and table.rows:
             delete_folder(self.spark, table.loaded.folder if table.loaded else table.rows.path)
@@ -173,10 +186,30 @@ class Workbench:
             self.drop_table(name)
         return True
 
+    def _forget_results(self) -> None:
+        for stored in self._results.values():
+            delete_folder(self.spark, stored.path)
+        self._results.clear()
+
     # queries -----------------------------------------------------------------
 
     def execute(self, sql: str, limit: int = PAGE_ROWS, offset: int = 0) -> ResultPage:
-        return execute(self.spark, sql, limit, offset)
+        """A page of a statement's result.
+
+        A deep page has the result written once; later pages of the same text
+        read it, until a table or view changes.
+        """
+        if not offset or offset + limit <= DEEP_ROWS:
+            return execute(self.spark, sql, limit, offset)
+        started = time.perf_counter()
+        try:
+            if sql not in self._results:
+                self._results[sql] = write_rows(parse(self.spark, sql), "result")
+        except PySparkException as error:
+            return ResultPage(error=str(error))
+        page = _stored_page(self._results[sql], limit, offset)
+        page.execution_time = time.perf_counter() - started
+        return page
 
     def table_data(self, name: str, limit: int = PAGE_ROWS, offset: int = 0) -> ResultPage:
         """A page of a stored table in load order; reads only the rows' own files."""
@@ -185,9 +218,7 @@ class Workbench:
             return ResultPage(error=f"no such table: {name}")
         if table.rows is None:
             return fetch(self.table(name), limit, offset)
-        shown = table.rows.page(limit, offset)
-        rows = [list(r) for r in shown.collect()]
-        return ResultPage(shown.columns, rows, len(rows), table.row_count)
+        return _stored_page(table.rows, limit, offset)
 
     def column_query(self, name: str, column: str, kind: str) -> DataFrame:
         """One of the ready-made column queries by its name."""
@@ -206,27 +237,34 @@ class Workbench:
     # profiles ----------------------------------------------------------------
 
     def analyze_table(self, name: str, force_refresh: bool = False) -> DataFrame:
-        """The profile of a table, one row per column, kept until the table changes."""
+        """The profile of a table, one row per column, kept until the table changes.
+
+        What is kept is the rows themselves, which no lost executor takes away.
+        """
         df = self.table(name)
+        if name not in self._tables:  # Spark's own table: no version to keep a profile for
+            return profile.profile_table(df, name)
         key = (name, self._tables[name].version)
         if force_refresh:
             self.clear_profiles(name)
         if key not in self._profiles:
             made = profile.profile_table(df, name, row_count=self._tables[name].row_count)
-            self._profiles[key] = made.persist()
+            self._profiles[key] = self.spark.createDataFrame(made.collect(), made.schema)
         return self._profiles[key]
 
     def clear_profiles(self, name: str | None = None) -> None:
         for key in [k for k in self._profiles if name is None or k[0] == name]:
-            self._profiles.pop(key).unpersist()
+            del self._profiles[key]
 
     def analyze_column(self, name: str, column: str) -> DataFrame:
         return profile.profile_column(self.table(name), column)
 
-    def analyze_column_from_sql(self, sql: str, column: str) -> tuple[DataFrame, DataFrame]:
+    def analyze_column_from_sql(
+        self, sql: str, column: str, materialize: bool = False
+    ) -> tuple[DataFrame, DataFrame]:
         """Profile and top values of a column of a query result."""
         df = parse(self.spark, sql)
-        return profile_sql_column(df, column), top_values(df, column)
+        return profile_sql_column(df, column, materialize=materialize), top_values(df, column)
 
     def missing_report(self, name: str) -> tuple[DataFrame, DataFrame]:
         """The report per column and the summary of the table."""
@@ -249,8 +287,10 @@ class Workbench:
         return self._register(name, written.frame(), written, old.file_path, None)
 
     def insert(self, name: str, rows: DataFrame | str) -> Table:
-        added = parse(self.spark, rows) if isinstance(rows, str) else rows
-        return self._replace(name, changes.insert(self.table(name), added))
+        """Add rows: a DataFrame by column name, `VALUES` or `SELECT` text by position."""
+        by_position = isinstance(rows, str)
+        added = parse(self.spark, rows) if by_position else rows
+        return self._replace(name, changes.insert(self.table(name), added, by_position))
 
     def update(self, name: str, assignments: dict[str, Column], where: Column | None = None) -> Table:
         return self._replace(name, changes.update(self.table(name), assignments, where))

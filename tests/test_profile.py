@@ -166,6 +166,7 @@ def test_lenient_profile_of_words_and_of_nothing(spark):
 def test_kind_of_a_query_column(spark, expression, dtype):
     df = spark.sql(f"SELECT {expression} AS v FROM range(10)")
     row = adhoc_profile.profile_sql_column(df, "v").first()
+    assert adhoc_profile.profile_sql_column(df, "v", in_memory_rows=0, materialize=True).first() == row
     assert row.dtype == dtype and row.is_numeric == (dtype == "numeric")
     assert (row.median_value is not None) == row.is_numeric
     assert sum(r.n for r in adhoc_profile.top_values(df, "v").collect()) == row.total_rows - row.missing_count

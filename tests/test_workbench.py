@@ -48,6 +48,19 @@ def test_queries(bench):
     ]
 
 
+def test_deep_pages_of_a_query_are_written_once(bench, monkeypatch):
+    from tallygrid import workbench
+    monkeypatch.setattr(workbench, "DEEP_ROWS", 100)
+    sql = "SELECT id FROM sales ORDER BY id DESC"
+    for offset in (1000, 2450, 2499, 2500):
+        page = bench.execute(sql, 100, offset)
+        assert [r[0] for r in page.data] == list(range(2499 - offset, -1, -1))[:100] and page.total_rows == 2500
+    assert len(bench._results) == 1
+    bench.delete("sales", F.col("id") >= 1000)
+    assert bench._results == {} and bench.execute(sql, 100, 950).total_rows == 1000
+    assert bench.execute("SELECT * FROM gone", 100, 950).error
+
+
 def test_views_follow_their_tables(bench):
     assert bench.save_view("cheap", "SELECT * FROM sales WHERE price < 15;")
     assert not bench.save_view("broken", "SELECT * FROM gone")
@@ -65,7 +78,7 @@ def test_profile_is_kept_until_the_table_changes(bench):
     first = bench.analyze_table("sales")
     assert bench.analyze_table("sales") is first and bench.analyze_table("sales", force_refresh=True) is not first
     assert {r.column_name: r.unique_count for r in first.collect()}["id"] == 2500
-    bench.insert("sales", "SELECT 9999 AS id, 'C' AS city, 1.0D AS price")
+    bench.insert("sales", "VALUES (9999, 'C', 1)")
     after = {r.column_name: r for r in bench.analyze_table("sales").collect()}
     assert after["city"].unique_count == 3 and after["id"].row_count == 2501
     column = bench.analyze_column("sales", "price").first()
@@ -93,12 +106,28 @@ def test_changes_make_new_versions(bench):
         bench.create_table("copy", "SELECT 1 AS x")
 
 
+def test_tables_made_by_statements(bench, spark, tmp_path):
+    name = "made_by_statement"
+    made = bench.execute(f"CREATE TABLE {name} USING parquet LOCATION '{tmp_path}/t' AS SELECT city, id FROM sales")
+    assert made.error is None and made.columns == []
+    assert bench.execute(f"INSERT INTO {name} VALUES ('C', -1)").error is None
+    assert [r.row_count for r in bench.analyze_table(name).collect()] == [2501, 2501]
+    assert bench.analyze_column(name, "city").first().unique_count == 3
+    assert bench.execute(f"DROP TABLE {name}").error is None
+    with pytest.raises(ValueError):
+        bench.analyze_table(name)
+
+
 def test_unknown_conditions_change_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 9)], "a int, b int")
     assert sorted(r.a for r in changes.delete(df, F.col("b") > 6).collect()) == [1, 2]
     assert changes.delete(df).count() == 0
     swapped = changes.update(df, {"a": F.col("b"), "b": F.col("a")}, F.col("b") > 6)
     assert sorted((r.a, r.b or 0) for r in swapped.collect()) == [(1, 0), (2, 5), (9, 3)]
+    more = changes.insert(df, spark.sql("SELECT 4L, '7'"), by_position=True)
+    assert more.schema == df.schema and more.count() == 4
+    with pytest.raises(ValueError):
+        changes.insert(df, spark.range(1), by_position=True)
     with pytest.raises(ValueError):
         changes.update(df, {"none": F.lit(1)}).count()
 
