@@ -40,7 +40,7 @@ def quantile(column: str, p: float) -> Column:
     """The smallest value with at least a share `p` of the rows up to it.
 
     Holds the distinct values of a group; for groups of any size see
-    `plans.split_window.grouped_quantiles`.
+    `plans.counted_quantiles.grouped_quantiles`.
     """
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {quoted(column)})")
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.plans.order_statistics import IN_MEMORY_ROWS, LINEAR, ORDINAL, QUARTILES, Quantile, quantile_frame
-from tallygrid.plans.paging import write_rows
+from tallygrid.plans.counted_quantiles import counted_quantiles, cut_points
+from tallygrid.plans.order_statistics import LINEAR, ORDINAL, QUARTILES, Quantile
 from tallygrid.types import BOOLEAN, STRING, category, clean, col, field, is_numeric, percent, text_to_double
 
 # Texts that mean "no value", share of numbers that makes a column
@@ -30,68 +30,68 @@ def as_number(value: Column, data_type: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def profile_sql_column(
-    df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_ROWS, materialize: bool = False
-) -> DataFrame:
-    """One-row profile of a column of any query result.
+def _summary(counted: DataFrame, wanted: tuple[Quantile, ...]) -> DataFrame:
+    """One row of totals and statistics, from rows `(value, v, n)`.
 
-    `numeric` when every value casts to a double, `unknown` when there is no
-    value at all, else `text`. The query behind `df` runs once to count its rows
-    and once more to count its values; everything else comes from that one
-    shuffle. `materialize` writes the column to the shared folder first, for
-    queries that cost more than the writing.
+    `v` is the value as a number. All parts read the shuffle that counted the
+    values, so the query behind them runs once.
     """
-    data_type = field(df, column).dataType
-    if materialize:
-        df = write_rows(df.select(col(column)), "column").frame()
-    number = as_number(F.col("v"), data_type)
-    counted = _groupable(df, column).groupBy("v").agg(F.count(F.lit(1)).alias("n")).select("v", number.alias("x"), "n")
-    n, x = F.col("n"), F.col("x")
-    mean = F.try_divide(F.sum(x * n), F.sum(F.when(x.isNotNull(), n)))
+    n, v = F.col("n"), F.col("v")
+    mean = F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))
     centre = counted.agg(mean.alias("mean")).scalar()
-    spread = F.sum(n * (x - centre) * (x - centre))
-    rows = df.count()
-    quartiles = [F.percentile(x, [q.p for q in QUARTILES], n).alias("quartiles")] if rows <= in_memory_rows else []
+    keyed = counted.select(F.lit(0).alias("k"), "v", "n")
+    cuts = keyed.agg(cut_points(F.when(n > 0, v)))
+    quantiles = counted_quantiles(keyed.withColumn("cuts", cuts.scalar()), ["k"], wanted)
     totals = counted.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"), F.count("v").alias("unique_count"),
-        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), n)), F.lit(0)).alias("present"),
-        F.coalesce(F.sum(F.when(x.isNotNull(), n)), F.lit(0)).alias("numbers"),
-        F.min("x").alias("low"), F.max("x").alias("high"), mean.alias("mean"), spread.alias("spread"), *quartiles,
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"), F.count("value").alias("unique_count"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("present"),
+        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("numbers"),
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"), mean.alias("mean_value"),
+        F.sum(n * (v - centre) * (v - centre)).alias("spread"),
     )
-    if not quartiles:
-        found = quantile_frame(
-            df, {0: as_number(col(column), data_type)}, QUARTILES, in_memory_rows, rows
-        ).select(F.array(*[q.name for q in QUARTILES]))
-        totals = totals.withColumn("quartiles", found.scalar())
+    found = quantiles.select(F.struct(*[q.name for q in wanted])).scalar()
+    several = F.col("numbers") > 1
+    return totals.withColumns({
+        "std_value": F.when(several, F.sqrt(F.col("spread") / (F.col("numbers") - 1))),
+        "found": found,
+    }).withColumns({q.name: F.col(f"found.{q.name}") for q in wanted})
+
+
+_STATISTICS = ("min_value", "max_value", "mean_value", "median_value", "std_value", "q1_value", "q3_value")
+
+
+def profile_sql_column(df: DataFrame, column: str) -> DataFrame:
+    """One-row profile of a column of any query result.
+
+    `numeric` when every value casts to a double, `unknown` when there is no
+    value at all, else `text`.
+    """
+    data_type = field(df, column).dataType
+    counted = _groupable(df, column).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    summary = _summary(counted.withColumn("v", as_number(F.col("value"), data_type)), QUARTILES)
     numeric = (F.col("present") > 0) & (F.col("numbers") == F.col("present"))
-    dtype = F.when(F.col("present") == 0, "unknown").when(numeric, "numeric").otherwise("text")
-    std = F.when(F.col("numbers") > 1, F.sqrt(F.col("spread") / (F.col("numbers") - 1)))
     missing = F.col("total_rows") - F.col("present")
-    statistics = {
-        "min_value": F.col("low"), "max_value": F.col("high"), "mean_value": F.col("mean"),
-        "median_value": F.col("quartiles")[0], "std_value": std,
-        "q1_value": F.col("quartiles")[1], "q3_value": F.col("quartiles")[2],
-    }
-    return totals.select(
-        F.lit(column).alias("column_name"), dtype.alias("dtype"), "total_rows", "unique_count",
-        missing.alias("missing_count"), percent(missing, F.col("total_rows")).alias("missing_percentage"),
-        numeric.alias("is_numeric"),
-        *[F.when(numeric, clean(value)).alias(name) for name, value in statistics.items()],
+    return summary.select(
+        F.lit(column).alias("column_name"),
+        F.when(F.col("present") == 0, "unknown").when(numeric, "numeric").otherwise("text").alias("dtype"),
+        "total_rows", "unique_count", missing.alias("missing_count"),
+        percent(missing, F.col("total_rows")).alias("missing_percentage"), numeric.alias("is_numeric"),
+        *[F.when(numeric, clean(F.col(name))).alias(name) for name in _STATISTICS],
     )
 
 
 def _groupable(df: DataFrame, column: str) -> DataFrame:
-    """The column as `v`; maps and the like are grouped by their text."""
+    """The column as `value`; maps and the like are grouped by their text."""
     atomic = category(field(df, column).dataType) != "other"
-    return df.select((col(column) if atomic else col(column).cast("string")).alias("v"))
+    return df.select((col(column) if atomic else col(column).cast("string")).alias("value"))
 
 
 def top_values(df: DataFrame, column: str, limit: int = TOP_VALUES) -> DataFrame:
     """`(value, n)` of the most frequent values, NULL excluded."""
     return (
-        _groupable(df, column).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col("v").asc()).limit(limit)
-        .select(F.col("v").cast("string").alias("value"), "n")
+        _groupable(df, column).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.col("n").desc(), F.col("value").asc()).limit(limit)
+        .select(F.col("value").cast("string").alias("value"), "n")
     )
 
 
@@ -101,7 +101,7 @@ def _present_text(df: DataFrame, column: str) -> Column:
     return F.when(~text.isin(*MISSING_TEXTS), text)
 
 
-def profile_lenient(df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def profile_lenient(df: DataFrame, column: str) -> DataFrame:
     """One-row profile of a dirty column, over all its rows.
 
     Missing is NULL, the empty text or the text NULL. When more than half of
@@ -109,32 +109,21 @@ def profile_lenient(df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_
     are then the values at positions n/4 and 3n/4 of the sorted numbers.
     """
     field(df, column)
-    text = _present_text(df, column)
-    pruned = df.select(text.alias("t"), text_to_double(text).alias("x"))
-    totals = pruned.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count("t").alias("present"), F.count("x").alias("numbers"),
-        F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-    )
-    distinct = pruned.groupBy("t").agg(F.lit(1).alias("one")).agg(F.count("t").alias("unique_count"))
-    found = quantile_frame(pruned, {0: F.col("x")}, _ORDINAL_QUARTILES, in_memory_rows)
-    # one subquery for all three
-    quartiles = found.select(F.struct(*[q.name for q in _ORDINAL_QUARTILES])).scalar()
+    texts = df.select(_present_text(df, column).alias("value"))
+    counted = texts.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    summary = _summary(counted.withColumn("v", text_to_double(F.col("value"))), _ORDINAL_QUARTILES)
     numeric = F.col("numbers") > F.col("present") * NUMERIC_SHARE
     several = numeric & (F.col("numbers") > 1)
     missing = F.col("total_rows") - F.col("present")
     share = F.try_divide(missing.cast("double"), F.col("total_rows").cast("double")) * 100
-    return totals.select(
-        F.lit(column).alias("column_name"),
-        F.when(numeric, "numeric").otherwise("text").alias("dtype"),
-        "total_rows", distinct.scalar().alias("unique_count"), missing.alias("missing_count"),
-        F.coalesce(share, F.lit(0.0)).alias("missing_percentage"),
-        numeric.alias("is_numeric"),
-        F.when(numeric, F.col("low")).alias("min_value"), F.when(numeric, F.col("high")).alias("max_value"),
-        F.when(numeric, F.col("mean")).alias("mean_value"),
-        F.when(numeric, quartiles["median_value"]).alias("median_value"),
-        F.when(several, F.col("std")).alias("std_value"),
-        F.when(several, quartiles["q1_value"]).alias("q1_value"),
-        F.when(several, quartiles["q3_value"]).alias("q3_value"),
+    return summary.select(
+        F.lit(column).alias("column_name"), F.when(numeric, "numeric").otherwise("text").alias("dtype"),
+        "total_rows", "unique_count", missing.alias("missing_count"),
+        F.coalesce(share, F.lit(0.0)).alias("missing_percentage"), numeric.alias("is_numeric"),
+        *[
+            F.when(several if name in ("std_value", "q1_value", "q3_value") else numeric, F.col(name)).alias(name)
+            for name in _STATISTICS
+        ],
     )
 
 

@@ -1,9 +1,10 @@
 """Column and table profiles: counts, distinct values, statistics, top values.
 
 Two passes cover a whole table however many columns it has: one plain aggregate
-with no shuffle to speak of, and one value count (see `plans.cells`). Quantiles
-read the numeric columns only. The pieces are joined on the column position;
-each has one row per column, so broadcasting them is bounded by the schema.
+with no shuffle to speak of, and one value count (see `plans.cells`), which gives
+distinct counts, top values and quantiles from a single shuffle. The pieces are
+joined on the column position; each has one row per column, so broadcasting them
+is bounded by the schema.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.plans.cells import ValueCounts
-from tallygrid.plans.order_statistics import IN_MEMORY_ROWS, QUARTILES, quantile_frame
+from tallygrid.plans.order_statistics import QUARTILES, pivot_quantiles
 from tallygrid.types import STRING, category, clean, clean_sql, col, is_numeric, numeric_columns, percent, quoted, string_columns
 
 # aggregation buffers per pass: whole-stage codegen gives up beyond 100 fields
 _BUFFERS_PER_PASS = 90
+# beyond this many rows quartiles alone do not justify a shuffle of the values
+COUNTED_ROWS = 100_000_000
 # Bytes assumed per row, length of the top list, severity bands in percent
 BYTES_PER_ROW = 100
 TOP_VALUES = 10
@@ -121,26 +124,23 @@ def profile_base(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def _quartiles(
-    df: DataFrame, counts: ValueCounts, columns: list[str], in_memory_rows: int, row_count: int | None = None
-) -> DataFrame:
-    """Exact quartiles: from the value counts while those are small, else by pivots."""
+def _quartiles(df: DataFrame, columns: list[str], counted_rows: int) -> DataFrame:
+    """Exact quartiles: from value counts while the table is not too long for
+    moving its values just for this, else by pivots."""
+    if df.count() <= counted_rows:
+        return ValueCounts(df, columns).quantiles(QUARTILES)
     position = {name: k for k, name in enumerate(df.columns)}
-    if row_count is None:
-        row_count = df.count()
-    if row_count <= in_memory_rows:
-        return counts.quantiles(QUARTILES)
-    return quantile_frame(df, {position[c]: col(c) for c in columns}, in_memory_rows=in_memory_rows, row_count=row_count)
+    return pivot_quantiles(df, {position[c]: col(c) for c in columns})
 
 
 def profile_numeric(
-    df: DataFrame, columns: list[str] | None = None, in_memory_rows: int = IN_MEMORY_ROWS
+    df: DataFrame, columns: list[str] | None = None, counted_rows: int = COUNTED_ROWS
 ) -> DataFrame:
     """Min, max, mean, median, deviation and quartiles of the numeric columns."""
     names = [c for c in numeric_columns(df) if columns is None or c in columns]
     return (
         column_statistics(df, names)
-        .join(F.broadcast(_quartiles(df, ValueCounts(df, names), names, in_memory_rows)), "k", "left")
+        .join(F.broadcast(_quartiles(df, names, counted_rows)), "k", "left")
         .select(
             "column_name", "min_value", "max_value", "mean_value",
             *[clean(F.col(c)).alias(c) for c in ("median_value",)],
@@ -161,12 +161,7 @@ def profile_top_values(df: DataFrame, columns: list[str] | None = None, limit: i
     return _described(df, ValueCounts(df, columns).top(limit)).select("column_name", "rank", "value", "n")
 
 
-def profile_columns(
-    df: DataFrame,
-    columns: list[str] | None = None,
-    in_memory_rows: int = IN_MEMORY_ROWS,
-    row_count: int | None = None,
-) -> DataFrame:
+def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Everything about every column, one row each, top values as an array."""
     names = list(columns if columns is not None else df.columns)
     counts = ValueCounts(df, names)
@@ -177,11 +172,9 @@ def profile_columns(
             lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count")),
         ).alias("top_values")
     )
-    numeric = [c for c in numeric_columns(df) if c in names]
-    quartiles = _quartiles(df, counts, numeric, in_memory_rows, row_count)
     return (
         _with_counts(column_statistics(df, names), counts.distinct())
-        .join(F.broadcast(quartiles), "k", "left")
+        .join(F.broadcast(counts.quantiles(QUARTILES)), "k", "left")
         .join(F.broadcast(top), "k", "left")
         .select(
             F.col("k").cast("bigint").alias("position"),
@@ -195,11 +188,9 @@ def profile_columns(
     )
 
 
-def profile_table(
-    df: DataFrame, name: str, in_memory_rows: int = IN_MEMORY_ROWS, row_count: int | None = None
-) -> DataFrame:
+def profile_table(df: DataFrame, name: str) -> DataFrame:
     """`profile_columns` with the table's own figures on every row."""
-    profile = profile_columns(df, None, in_memory_rows, row_count)
+    profile = profile_columns(df)
     return profile.select(
         F.lit(name).alias("table_name"),
         F.col("total_count").alias("row_count"),
@@ -209,11 +200,11 @@ def profile_table(
     )
 
 
-def profile_column(df: DataFrame, column: str, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def profile_column(df: DataFrame, column: str) -> DataFrame:
     """The profile of one column with its `is_numeric` flag."""
     if column not in df.columns:
         raise ValueError(f"no such column: {column}")
-    return profile_columns(df.select(col(column)), None, in_memory_rows).select(
+    return profile_columns(df.select(col(column))).select(
         "column_name", "dtype",
         F.col("category").isin("integer", "float").alias("is_numeric"),
         F.col("total_count").alias("total_rows"),
@@ -278,12 +269,12 @@ def missing_ranked(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+def numeric_summary(df: DataFrame, counted_rows: int = COUNTED_ROWS) -> DataFrame:
     """The numeric columns' statistics together with their missing values."""
     names = numeric_columns(df)
     return (
         column_statistics(df, names)
-        .join(F.broadcast(_quartiles(df, ValueCounts(df, names), names, in_memory_rows)), "k", "left")
+        .join(F.broadcast(_quartiles(df, names, counted_rows)), "k", "left")
         .select(
             "column_name", "dtype", "min_value", "max_value", "mean_value",
             clean(F.col("median_value")).alias("median_value"), "std_value",

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrid.plans.counted_quantiles import counted_quantiles, cut_points
 from tallygrid.plans.order_statistics import Quantile
 from tallygrid.types import INTEGER, category, col
 
@@ -132,19 +133,19 @@ class ValueCounts:
         return self._each(ranked)
 
     def quantiles(self, wanted: tuple[Quantile, ...]) -> DataFrame:
-        """`(k, <quantile names>)` of the numeric columns, from values and their counts.
+        """`(k, <quantile names>)` of the numeric columns.
 
-        For tables whose row count has been checked: the last step holds the
-        distinct values of one column.
+        The cut points are one row per column, which bounds the broadcast.
         """
-        names = [q.name for q in wanted]
-
-        def weighted(counted: DataFrame, slots: list[str]) -> DataFrame:
+        def from_counts(counted: DataFrame, slots: list[str]) -> DataFrame:
             numeric = [s for s in slots if s.startswith(("v_bigint", "v_double", "v_float", "v_decimal"))]
             number = F.coalesce(*[F.col(s).cast("double") for s in numeric], F.lit(None).cast("double"))
-            found = counted.groupBy("k").agg(F.percentile(number, [q.p for q in wanted], F.col("n")).alias("q"))
-            return found.select("k", *[F.col("q")[i].alias(name) for i, name in enumerate(names)])
-        return self._each(weighted)
+            values = counted.select("k", number.alias("v"), "n")
+            # `n` again: see `distinct`
+            cuts = values.groupBy("k").agg(cut_points(F.when(F.col("n") > 0, F.col("v"))))
+            # columns without numbers have no cut points and end at this join
+            return counted_quantiles(values.join(F.broadcast(cuts.where("cuts IS NOT NULL")), "k"), ["k"], wanted)
+        return self._each(from_counts)
 
     def _each(self, build) -> DataFrame:
         return reduce(DataFrame.unionByName, [build(c, s) for c, s in self.parts])

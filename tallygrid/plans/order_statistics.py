@@ -1,36 +1,38 @@
-"""Exact quantiles of many columns, for any number of rows.
-
-Up to `IN_MEMORY_ROWS` rows the built-in exact aggregates do: their state is
-bounded by the row count, which is checked first. Beyond that, the wanted order
-statistics are narrowed down by pivots. Each round takes a mergeable sketch of
-the values still in question, reads a few actual values next to the wanted
-position from it, and counts exactly how many rows lie below and at each of
-them. That either hits the wanted value or leaves a much smaller open interval
-between two pivots. A round is two map-side combined aggregates over pruned
-columns: nothing is sorted or shuffled by value, no task holds more than
+"""Exact quantiles of whole columns without moving their values.
+
+The wanted order statistics are narrowed down by pivots. Each round takes a
+mergeable sketch of the values still in question, reads a few actual values next
+to the wanted position from it, and counts exactly how many rows lie below and
+at each of them. That either hits the wanted value or leaves a much smaller open
+interval between two pivots. A round is two map-side combined aggregates over
+pruned columns: nothing is sorted or shuffled by value, no task holds more than
 `INTERVAL_ROWS` values, and a value that makes up a third of the rows is hit by
 the sketch at once.
+
+This is the way for very long columns whose values are not counted anyway; see
+`plans.counted_quantiles` for the others.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IN_MEMORY_ROWS = 2_000_000
 INTERVAL_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 # whole-stage codegen stops at 100 fields; a few columns share one pass
 COLUMNS_PER_PASS = 4
 
-LINEAR, ORDINAL = "linear", "ordinal"
+LINEAR, ORDINAL, DISCRETE = "linear", "ordinal", "discrete"
 
 
 @dataclass(frozen=True)
 class Quantile:
-    """`linear` interpolates at p*(n-1); `ordinal` is the value at floor(p*n)."""
+    """`linear` interpolates at p*(n-1); `ordinal` is the value at floor(p*n);
+    `discrete` is the first value that a share p of the rows does not exceed."""
 
     name: str
     p: float
@@ -38,8 +40,9 @@ class Quantile:
 
     def ranks(self, n: int) -> tuple[int, int, float]:
         """Zero-based neighbours and the weight of the upper one."""
-        if self.rule == ORDINAL:
-            rank = min(int(self.p * n), n - 1)
+        if self.rule != LINEAR:
+            rank = int(self.p * n) if self.rule == ORDINAL else max(math.ceil(self.p * n), 1) - 1
+            rank = min(rank, n - 1)
             return rank, rank, 0.0
         place = self.p * (n - 1)
         low = int(place)
@@ -49,54 +52,17 @@ class Quantile:
 QUARTILES = (Quantile("median_value", 0.5), Quantile("q1_value", 0.25), Quantile("q3_value", 0.75))
 
 
-def quantile_frame(
-    df: DataFrame,
-    values: dict[int, Column],
-    wanted: tuple[Quantile, ...] = QUARTILES,
-    in_memory_rows: int = IN_MEMORY_ROWS,
-    row_count: int | None = None,
+def pivot_quantiles(
+    df: DataFrame, values: dict[int, Column], wanted: tuple[Quantile, ...] = QUARTILES
 ) -> DataFrame:
     """One row `(k, <quantile names>)` per entry of `values`, NULLs ignored."""
-    spark = df.sparkSession
-    names = ", ".join(f"{q.name} double" for q in wanted)
-    if not values:
-        return spark.createDataFrame([], f"k int, {names}")
     pruned = df.select(*[v.cast("double").alias(f"c{k}") for k, v in values.items()])
-    if row_count is None:
-        row_count = pruned.count()
-    if row_count <= in_memory_rows:
-        return _built_in(pruned, list(values), wanted)
     rows = []
     keys = list(values)
     for start in range(0, len(keys), COLUMNS_PER_PASS):
         rows += _narrowed(pruned, keys[start:start + COLUMNS_PER_PASS], wanted)
-    return spark.createDataFrame(rows, f"k int, {names}")
-
-
-def _built_in(pruned: DataFrame, keys: list[int], wanted: tuple[Quantile, ...]) -> DataFrame:
-    linear = [q for q in wanted if q.rule == LINEAR]
-    ordinal = [q for q in wanted if q.rule == ORDINAL]
-    aggregates = []
-    for k in keys:
-        if linear:
-            aggregates.append(F.percentile(f"c{k}", [q.p for q in linear]).alias(f"l{k}"))
-        # the (1-p) discrete quantile of the reversed order is the value at floor(p*n)
-        aggregates += [
-            F.expr(f"percentile_disc({1 - q.p}) WITHIN GROUP (ORDER BY c{k} DESC)").alias(f"o{k}_{i}")
-            for i, q in enumerate(ordinal)
-        ]
-    row = pruned.agg(*aggregates)
-    structs = []
-    for k in keys:
-        fields = [F.lit(k).alias("k")]
-        for q in wanted:
-            if q.rule == LINEAR:
-                value = F.element_at(f"l{k}", linear.index(q) + 1)
-            else:
-                value = F.col(f"o{k}_{ordinal.index(q)}")
-            fields.append(value.cast("double").alias(q.name))
-        structs.append(F.struct(*fields))
-    return row.select(F.inline(F.array(*structs)))
+    names = ", ".join(f"{q.name} double" for q in wanted)
+    return df.sparkSession.createDataFrame(rows, f"k int, {names}")
 
 
 @dataclass

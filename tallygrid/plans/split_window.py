@@ -1,4 +1,4 @@
-"""Window functions and exact quantiles over groups of any size.
+"""Window functions over groups of any size.
 
 `OVER (PARTITION BY key ORDER BY x)` sends a whole group to one task. When one
 key holds a third of all rows that task decides the run time. Here a group is
@@ -10,7 +10,6 @@ row per bucket. The results are the same.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +20,6 @@ _B = "__bucket"
 # it, groups with NULL keys included, and the join finds its rows partitioned.
 _G = "__group"
 _K = "__keys"
-# a value axis is cut into STEPS * STEPS buckets of about equal row counts
-STEPS = 16
 
 
 @dataclass
@@ -99,80 +96,3 @@ class SplitWindow:
         )
         joined = inside.join(outer, F.col(_G) == F.col("__g"), "left")
         return joined.select(*df.columns, *[c.alias(n) for n, c in self._final.items()])
-
-
-def _bucketed(counted: DataFrame, cuts: DataFrame) -> DataFrame:
-    """`counted` with the number of cut points that are not above `v` as `bucket`.
-
-    Two steps of STEPS - 1 comparisons each, in generated code: every STEPS-th
-    cut first, then those behind it.
-    """
-    def up_to(first: Column | int, stride: int) -> Column:
-        compared = [
-            (F.col("cuts")[first + stride * i] <= F.col("v")).cast("int") for i in range(STEPS - 1)
-        ]
-        return reduce(lambda a, b: a + b, compared)
-
-    return (
-        counted.withColumn("cuts", cuts.scalar())
-        .withColumn("step", up_to(STEPS - 1, STEPS) * STEPS)
-        .withColumn("bucket", F.col("step") + up_to(F.col("step"), 1))
-        .drop("cuts", "step")
-    )
-
-
-def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Exact quantiles of `column` per group: `keys` and one double per name.
-
-    `wanted` maps a name to `("linear" | "discrete", p)`. Values are counted
-    first, so the work is on distinct values; cut points spread them over
-    buckets, and only buckets that hold a wanted position are ever sorted.
-    """
-    values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
-    shares = [i / STEPS**2 for i in range(1, STEPS**2)]
-    cuts = values.agg(F.percentile_approx("v", shares, 2000).alias("cuts"))
-    counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    bucketed = _bucketed(counted, cuts).select(
-        F.struct(F.struct(*keys).alias("k"), F.col("bucket").alias("b")).alias(_G), "v", "n"
-    )
-    across = Window.partitionBy(_K)
-    sizes = (
-        bucketed.groupBy(F.col(_G).alias("__g")).agg(F.sum("n").alias("rows"))
-        .withColumns({_K: F.col("__g.k"), _B: F.col("__g.b")})
-        .withColumn("before", F.sum("rows").over(across.orderBy(_B)) - F.col("rows"))
-        .withColumn("total", F.sum("rows").over(across))
-    )
-    positions = {}
-    for name, (rule, p) in wanted.items():
-        if rule == "discrete":
-            place = F.greatest(F.ceil(F.col("total") * F.lit(p)), F.lit(1)) - 1
-            positions[name] = (place, place, F.lit(0.0))
-        else:
-            exact = F.lit(p) * (F.col("total") - 1)
-            low = F.floor(exact)
-            positions[name] = (low, F.least(low + 1, F.col("total") - 1), exact - low)
-    for name, (low, high, weight) in positions.items():
-        sizes = sizes.withColumns({f"{name}__l": low, f"{name}__h": high, f"{name}__w": weight})
-    places = [f"{name}__{side}" for name in wanted for side in "lh"]
-
-    def within(start: Column, count: Column, place: str) -> Column:
-        return (F.col(place) >= start) & (F.col(place) < start + count)
-
-    needed = F.lit(False)
-    for place in places:
-        needed = needed | within(F.col("before"), F.col("rows"), place)
-    # a few rows per group against all distinct values: hash the few, and leave
-    # the rows partitioned the way the window below wants them
-    held = bucketed.join(sizes.where(needed).hint("shuffle_hash"), F.col(_G) == F.col("__g"))
-    inside = Window.partitionBy(_G).orderBy("v")
-    ranked = held.withColumn("start", F.col("before") + F.sum("n").over(inside) - F.col("n"))
-    picked = ranked.groupBy(F.col(f"{_G}.k").alias(_K)).agg(
-        *[F.max(F.when(within(F.col("start"), F.col("n"), p), F.col("v"))).alias(p) for p in places],
-        *[F.first(f"{name}__w").alias(f"{name}__w") for name in wanted],
-    )
-    out = []
-    for name in wanted:
-        low, high, weight = F.col(f"{name}__l"), F.col(f"{name}__h"), F.col(f"{name}__w")
-        between = low * (1 - weight) + high * weight
-        out.append(F.when((low == high) | (weight == 0), low).otherwise(between).alias(name))
-    return picked.select(*[F.col(f"{_K}.{k}") for k in keys], *out)

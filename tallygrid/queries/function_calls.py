@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import columns as fn
 from tallygrid.functions.scalar_sql import register_functions
-from tallygrid.plans.split_window import grouped_quantiles
+from tallygrid.plans.counted_quantiles import grouped_quantiles
+from tallygrid.plans.order_statistics import DISCRETE, Quantile
 from tallygrid.queries.profiles import GAPS_ORACLE, orders_with_gaps
 from tallygrid.queries.registry import query, table
 from tallygrid.types import text_to_double
@@ -59,7 +60,7 @@ def agg_dispersion(spark, folder):
     spread = lines.groupBy("l_returnflag").agg(
         F.round(F.stddev("l_extendedprice"), 4).alias("stddev"), F.round(F.variance("l_quantity"), 4).alias("variance")
     )
-    middle = grouped_quantiles(lines, ["l_returnflag"], "l_extendedprice", {"median": ("linear", 0.5)})
+    middle = grouped_quantiles(lines, ["l_returnflag"], "l_extendedprice", (Quantile("median", 0.5),))
     return spread.join(middle.withColumn("median", F.round("median", 4)), "l_returnflag")
 
 
@@ -73,7 +74,7 @@ def agg_dispersion(spark, folder):
 def agg_quantile(spark, folder):
     found = grouped_quantiles(
         table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice",
-        {"quantile": ("discrete", 0.9), "quantile_cont": ("linear", 0.25), "percentile": ("linear", 0.95)},
+        (Quantile("quantile", 0.9, DISCRETE), Quantile("quantile_cont", 0.25), Quantile("percentile", 0.95)),
     )
     return found.withColumns({c: F.round(c, 4) for c in ("quantile_cont", "percentile")})
 

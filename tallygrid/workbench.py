@@ -248,7 +248,7 @@ class Workbench:
         if force_refresh:
             self.clear_profiles(name)
         if key not in self._profiles:
-            made = profile.profile_table(df, name, row_count=self._tables[name].row_count)
+            made = profile.profile_table(df, name)
             self._profiles[key] = self.spark.createDataFrame(made.collect(), made.schema)
         return self._profiles[key]
 
@@ -259,12 +259,10 @@ class Workbench:
     def analyze_column(self, name: str, column: str) -> DataFrame:
         return profile.profile_column(self.table(name), column)
 
-    def analyze_column_from_sql(
-        self, sql: str, column: str, materialize: bool = False
-    ) -> tuple[DataFrame, DataFrame]:
+    def analyze_column_from_sql(self, sql: str, column: str) -> tuple[DataFrame, DataFrame]:
         """Profile and top values of a column of a query result."""
         df = parse(self.spark, sql)
-        return profile_sql_column(df, column, materialize=materialize), top_values(df, column)
+        return profile_sql_column(df, column), top_values(df, column)
 
     def missing_report(self, name: str) -> tuple[DataFrame, DataFrame]:
         """The report per column and the summary of the table."""

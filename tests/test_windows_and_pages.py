@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tallygrid.operators.columns import COLUMN_QUERIES
 from tallygrid.plans import paging
-from tallygrid.plans.split_window import SplitWindow, grouped_quantiles
+from tallygrid.plans.counted_quantiles import grouped_quantiles
+from tallygrid.plans.order_statistics import DISCRETE, Quantile
+from tallygrid.plans.split_window import SplitWindow
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +44,9 @@ def test_split_window_equals_plain_window(skewed):
 
 
 def test_grouped_quantiles_equal_built_in(skewed):
-    wanted = {"q10": ("linear", 0.1), "median": ("linear", 0.5), "top": ("linear", 1.0), "disc": ("discrete", 0.75)}
+    wanted = (
+        Quantile("q10", 0.1), Quantile("median", 0.5), Quantile("top", 1.0), Quantile("disc", 0.75, DISCRETE)
+    )
     got = {r.k: r for r in grouped_quantiles(skewed, ["k"], "o", wanted).collect()}
     expected = skewed.groupBy("k").agg(
         F.percentile("o", 0.1).alias("q10"), F.percentile("o", 0.5).alias("median"), F.max("o").alias("top"),
@@ -55,7 +59,7 @@ def test_grouped_quantiles_equal_built_in(skewed):
 
 
 def test_grouped_quantiles_of_no_rows(skewed):
-    assert grouped_quantiles(skewed.where("false"), ["k"], "o", {"m": ("linear", 0.5)}).collect() == []
+    assert grouped_quantiles(skewed.where("false"), ["k"], "o", (Quantile("m", 0.5),)).collect() == []
 
 
 def test_pages_add_up_to_the_sorted_table(skewed):
