@@ -27,10 +27,6 @@ def test_entry(spark):
     assert __spark_entry__.queries().keys() == __spark_entry__.oracle_sql().keys()
 
 
-# These write or sample before they return, or are made of a one-row side on purpose.
-ONE_ROW_SIDE = {"join_cross"}
-
-
 @pytest.mark.parametrize("name", [
     "profile_table", "profile_base", "profile_numeric", "profile_sql", "histogram", "join_inner", "join_theta",
     "join_left", "join_full", "join_semi", "join_anti", "win_rank", "win_lag_lead", "agg_quantile", "sql_recursive",
