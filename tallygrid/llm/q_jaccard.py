@@ -9,7 +9,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, {SQL_WORDS.format(SQL_LOWER.format('text'))} AS w FROM documents
 ), sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS g FROM w
+    ELSE [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
 ), o AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
