@@ -21,8 +21,9 @@ BLOCK = 1 << 20
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 16
 
+SPACES = [0x20, *range(0x09, 0x0E)]
 _SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE[SPACES] = True
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
