@@ -24,6 +24,8 @@ LONG_WORD = 1 << 16
 SPACES = [0x20, *range(0x09, 0x0E)]
 _SPACE = np.zeros(256, bool)
 _SPACE[SPACES] = True
+#: All of ASCII but letters and digits, for words without punctuation.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -94,16 +96,17 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nd
     return mix(out + (ends - starts).astype(np.uint64))
 
 
-def words(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Words]:
-    """The words of every whole text, some rows at a time; `lower` folds A-Z only."""
+def words(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, plain: bool = False) -> Iterator[Words]:
+    """The words of every whole text, some rows at a time; `lower` folds A-Z only, `plain` words end at punctuation too."""
     offsets, data = buffers(column)
+    apart = _MARKS if plain else _SPACE
     table, n, first = _LOWER if lower else _BYTE, len(offsets) - 1, 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         begin, bounds = int(offsets[first]), offsets[first : last + 1]
         here = data[begin : int(bounds[-1])]
         if len(here):
-            space = _SPACE[here]
+            space = apart[here]
             edge = np.zeros(len(here) + 1, bool)
             edge[bounds - begin] = True          # a text begins or ends here
             starts = np.flatnonzero(~space & (edge[:-1] | np.concatenate(([True], space[:-1])))) + begin
