@@ -1,6 +1,6 @@
 """Operators of a training-data pipeline, and their queries."""
 
-from tallygrid.llm import q_classifier, q_decontamination, q_hidden_markov, q_jaccard, q_outliers, q_recompression  # noqa: F401
+from tallygrid.llm import q_classifier, q_decontamination, q_hidden_markov, q_jaccard, q_outliers, q_recompression, q_tokens  # noqa: F401
 from tallygrid.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

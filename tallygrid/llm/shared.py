@@ -44,12 +44,18 @@ def map_arrow(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
     return frame.mapInArrow(function, schema)
 
 
+def temporary_folder(spark: SparkSession, label: str) -> str:
+    """A new place in the shared folder, deleted by `release`."""
+    folder = new_folder(spark, label)
+    _written.append(folder)
+    return folder
+
+
 def written(frame: DataFrame, label: str) -> DataFrame:
     """The rows of `frame`, computed once and kept as Parquet in the shared folder."""
     spark = frame.sparkSession
-    folder = new_folder(spark, label)
+    folder = temporary_folder(spark, label)
     frame.write.parquet(folder)
-    _written.append(folder)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
