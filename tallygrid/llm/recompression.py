@@ -39,7 +39,7 @@ ROUNDS = 4
 #: Longest symbol in words; longer neighbours stay apart.
 LONGEST = 16
 #: One symbol in so many is counted, chosen by its number.
-THINNED = 3
+THINNED = 2
 
 
 def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS):
@@ -57,7 +57,9 @@ def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS):
         same = rows[1:] == rows[:-1]
         at = np.flatnonzero(np.concatenate(([True], ~(same & (symbols[1:] == symbols[:-1])))))
         until = np.append(at[1:], len(symbols))
-        times, low, high, symbols_ = until - at, low[at], high[until - 1], symbols[at]
+        times, symbols_ = until - at, symbols[at]
+        if len(at) < len(symbols):
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
         start, end, rows = start[at], end[until - 1], rows[at]
         symbols = np.where(times > 1, W.mix(symbols_ + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 31), symbols_)
         low, high = _reach(rows, low, high, np.ones(len(rows), bool), np.ones(len(rows), bool))
@@ -77,11 +79,15 @@ def recompress(symbols: np.ndarray, rows: np.ndarray, rounds: int = ROUNDS):
 
 
 def _reach(rows, low, high, back, ahead):
-    """Contexts that also take in the neighbour before (`back`) or after (`ahead`)."""
+    """Contexts that also take in that of the neighbour before (`back`) or after (`ahead`), or an end of the text."""
     apart = rows[1:] != rows[:-1]
-    before = np.concatenate((low[:1] - 1, np.where(apart, low[1:] - 1, low[:-1])))
-    after = np.append(np.where(apart, high[:-1] + 1, high[1:]), high[-1:] + 1)
-    return np.where(back, np.minimum(low, before), low), np.where(ahead, np.maximum(high, after), high)
+    before_low = np.concatenate((low[:1] - 1, np.where(apart, low[1:] - 1, low[:-1])))
+    before_high = np.concatenate((high[:1], np.where(apart, high[1:], high[:-1])))
+    after_low = np.append(np.where(apart, low[:-1], low[1:]), low[-1:])
+    after_high = np.append(np.where(apart, high[:-1] + 1, high[1:]), high[-1:] + 1)
+    new_low = np.minimum(np.where(back, np.minimum(low, before_low), low), np.where(ahead, after_low, low))
+    new_high = np.maximum(np.where(ahead, np.maximum(high, after_high), high), np.where(back, before_high, high))
+    return new_low, new_high
 
 
 def _text_keys(part: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +217,9 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     held = texts.select("doc_id", "key1", F.explode("symbols").alias("symbol"))
     several = held.groupBy("symbol").agg(F.min("key1").alias("low"), F.max("key1").alias("high")).where("low <> high")
     shared = held.join(several.select("symbol"), "symbol").groupBy("doc_id", "key1").agg(F.collect_set("symbol").alias("shared"))
-    ranges = written(_open_ranges(texts.join(shared, ["doc_id", "key1"]), window), "ranges")
+    # a text without shared symbols may still have windows that no symbol rules out
+    listed = texts.join(shared, ["doc_id", "key1"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    ranges = written(_open_ranges(listed, window), "ranges")
     suspects = written(_chosen(docs, id_filter(ranges, "doc_id")).join(ranges, ["doc_id", "key1"]), "suspects")
 
     windows = _windows(suspects, window)
@@ -244,7 +252,7 @@ def _cut(with_spans: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = W.buffers(batch.column("text"))
-            total, lost, kept = [], [], []
+            total, lost, kept, held = [], [], [], 0
             for r in range(batch.num_rows):
                 own = data[offsets[r] : offsets[r + 1]].tobytes().split()
                 spans = batch.column("spans")[r].values if with_spans else None
@@ -258,12 +266,13 @@ def _cut(with_spans: bool):
                 total.append(len(own))
                 lost.append(len(own) - len(left))
                 kept.append(b" ".join(left).decode())
-                if r + 1 == batch.num_rows or sum(map(len, kept)) > W.SLICE_BYTES:
+                held += len(kept[-1])
+                if r + 1 == batch.num_rows or held > W.SLICE_BYTES:
                     n = len(kept)
                     yield pa.RecordBatch.from_arrays([
                         batch.column("doc_id").slice(r + 1 - n, n), pa.array(total, pa.int64()), pa.array(lost, pa.int64()),
                         pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-                    total, lost, kept = [], [], []
+                    total, lost, kept, held = [], [], [], 0
 
     return cut
 

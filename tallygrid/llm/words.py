@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to this many bytes, so memory does not follow the batch size.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 #: Bytes hashed at once.
 BLOCK = 1 << 20
 #: Longer words are hashed one by one.
