@@ -185,10 +185,10 @@ def _next(grouped: DataFrame, model: DataFrame, core: float, factor: float) -> D
 
 def _leaned(model: DataFrame) -> DataFrame:
     """`(key, mean, inverse)` per language and source, each estimate leaning on the level above."""
-    top = model.where("key = 'all'").select(F.col("mean").alias("mean_a"), F.col("cov").alias("cov_a"))
+    top = model.where("key = 'all'").select(F.col("key").alias("top"), F.col("mean").alias("mean_a"), F.col("cov").alias("cov_a"))
     lang = model.where("key LIKE 'lang %'").select(
         F.col("key").alias("lang_key"), F.col("n").alias("n_l"), F.col("mean").alias("mean_l"), F.col("cov").alias("cov_l"))
-    own = model.where("key LIKE 'source %'").join(lang, "lang_key").crossJoin(F.broadcast(top))  # one row
+    own = model.where("key LIKE 'source %'").join(lang, "lang_key").withColumn("top", F.lit("all")).join(top, "top").drop("top")
 
     def lean(n, mean, cov, to_mean, to_cov):
         w = n / (n + PRIOR_ROWS)
@@ -209,28 +209,23 @@ def _leaned(model: DataFrame) -> DataFrame:
     return map_arrow(own, run, _MODEL).select("key", "mean", "inverse")
 
 
-def robust_quality(docs: DataFrame, core: float = CORE, tail: float = TAIL) -> DataFrame:
-    """`(doc_id, lang, source, <counts>, base_failed, distance, kept)` of every row of `docs (doc_id, text, lang, source)`.
+def _failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
-    `base_failed`: fewer than 10 words, or more than a fifth of the words in five-word
-    windows that the text holds twice or more. `distance` is the squared Mahalanobis
-    distance from the estimate of the row's language and source; `kept` is false where
-    base_failed, or where the distance exceeds the chi-square quantile of `tail`.
 
-    A null text counts as empty and fails the base rule. Null languages and sources are
-    groups of their own. Every row is judged for itself, so repeated rows and doc_ids, null
-    ones too, get one result each; a row adds to its group's estimate as often as it comes.
-    An empty table gives an empty result. Other columns are ignored.
-    """
-    columns = [F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
-    counted = written(text_counts(docs, *columns), "counts")
-    vector = [F.round(c * SCALE).cast("long").alias(f"x{i}") for i, c in enumerate(statistics().values())]
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = counted.select("doc_id", "lang", "source", *COUNTS, failed.alias("base_failed"), *vector)
+def _vector() -> list[Column]:
+    return [F.round(c * SCALE).cast("long").alias(f"x{i}") for i, c in enumerate(statistics().values())]
+
+
+def _groups_of(docs: DataFrame) -> list[Column]:
+    return [docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source")]
+
+
+def estimates(counted: DataFrame, core: float = CORE) -> DataFrame:
+    """`(key, mean, inverse)` per language and source, from `(lang, source, <counts>)` of all rows the base rule leaves."""
     keys = _keys()
-    # the estimates rest on texts that the base rule leaves
-    grouped = rows.where("NOT base_failed").select(
-        F.explode(F.array(*keys)).alias("key"), keys[1].alias("lang_key"), *(f"x{i}" for i in range(P)))
+    grouped = counted.where(~_failed()).select(
+        F.explode(F.array(*keys)).alias("key"), keys[1].alias("lang_key"), *_vector())
     grouped = grouped.withColumn("lang_key", F.when(F.col("key") == "all", F.lit("")).otherwise(F.col("lang_key")))
     # makes the core's covariance that of all rows where these are spread normally
     low, high = 0.0, 1000.0
@@ -241,8 +236,41 @@ def robust_quality(docs: DataFrame, core: float = CORE, tail: float = TAIL) -> D
     model = written(_start(grouped), "estimates")
     for _ in range(STEPS):
         model = _next(grouped, model, core, factor)
-    judged = rows.withColumn("key", keys[2]).join(_leaned(model), "key", "left").withColumn("distance", _distance())
+    return written(_leaned(model), "estimates")
+
+
+def judged(counted: DataFrame, model: DataFrame, tail: float = TAIL) -> DataFrame:
+    """Counted rows with `base_failed`, `distance` and `kept`."""
+    rows = counted.select("*", _failed().alias("base_failed"), *_vector()).withColumn("key", _keys()[2])
     limit = chi_square_quantile(P, tail)
-    return judged.select(
-        "doc_id", "lang", "source", *COUNTS, "base_failed", "distance",
-        (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"))
+    far = rows.join(model, "key", "left").withColumn("distance", _distance())
+    return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).select(
+        *counted.columns, "base_failed", "distance", "kept")
+
+
+def robust_quality(docs: DataFrame, core: float = CORE, tail: float = TAIL) -> DataFrame:
+    """`(doc_id, lang, source, <counts>, base_failed, distance, kept)` of every row of `docs (doc_id, text, lang, source)`.
+
+    `base_failed`: fewer than 10 words, or more than a fifth of the words in five-word
+    windows that the text holds twice or more. `distance` is the squared Mahalanobis
+    distance from the estimate of the row's language and source; `kept` is false where
+    base_failed, or where the distance exceeds the chi-square quantile of `tail`.
+
+    A null text counts as empty and fails the base rule. Null languages and sources are
+    groups of their own. Every row is judged for itself, so repeated rows and doc_ids, null
+    ones too, get one result each; a row adds to its group's estimate as often as it comes.
+    An empty table gives an empty result. Other columns are ignored.
+    """
+    counted = written(text_counts(docs, docs["doc_id"], *_groups_of(docs)), "counts")
+    return judged(counted, estimates(counted, core), tail)
+
+
+def kept_by_quality(docs: DataFrame, core: float = CORE, tail: float = TAIL) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `robust_quality` keeps.
+
+    Rows are judged where they lie, by a second count that carries them along: texts are not shuffled.
+    """
+    counted = written(text_counts(docs, *_groups_of(docs)), "counts")
+    model = estimates(counted, core)
+    rows = text_counts(docs, F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *_groups_of(docs))
+    return judged(rows, model, tail).where("kept").select("row.*")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallygrid.session import new_folder
 from tallygrid.sources.files import delete_folder
@@ -38,7 +39,7 @@ def _ship(spark: SparkSession) -> None:
     context._tallygrid_shipped = True
 
 
-def map_arrow(frame: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """`mapInArrow` by functions of this package."""
     _ship(frame.sparkSession)
     return frame.mapInArrow(function, schema)
@@ -89,7 +90,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is (or, `left_anti`, is not) among `ids`."""
-    wanted = ids.select(F.col("doc_id").alias("__wanted_id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__wanted_id"]), how)
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is not among `ids (doc_id)`; null is an id too.
+
+    The ids are written first, so Spark knows their size and ships them only where that is small.
+    """
+    gone = written(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallygrid.llm import words as W
 from tallygrid.llm.shared import map_arrow
@@ -77,7 +78,7 @@ def counts(part: W.Words, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def text_counts(docs: DataFrame, *carried: Column) -> DataFrame:
     """`carried` columns and the counts of every row's whole text; a null text counts as empty."""
-    rows = docs.select(F.col("text"), *carried)
+    rows = docs.select(F.col("text").cast("string").alias("text"), *carried)
     names = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,5 +91,5 @@ def text_counts(docs: DataFrame, *carried: Column) -> DataFrame:
                     [*(batch.column(1 + k).slice(part.first, part.last - part.first) for k in range(len(names))),
                      *(pa.array(found[c]) for c in COUNTS)], [*names, *COUNTS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return map_arrow(rows, run, ", ".join([schema, *(f"{c} bigint" for c in COUNTS)]))
+    schema = StructType([*rows.schema.fields[1:], *(StructField(c, LongType()) for c in COUNTS)])
+    return map_arrow(rows, run, schema)
