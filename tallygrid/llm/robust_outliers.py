@@ -8,8 +8,8 @@ One pass does this for all groups: counts and integer moments per group and dist
 bin, combined per task before the shuffle. The nearest bins that hold the share are the
 next core. The start is the median and quartile range of each statistic.
 
-A group's estimate leans on that of the level above by `PRIOR_ROWS` rows, so a small
-source is judged by its language. Rows beyond the chi-square quantile are rejected.
+A group's estimate leans on that of the level above by `PRIOR_ROWS` rows, and rests on it
+wholly up to `LEAST_ROWS`, so a small source is judged by its language. Rows beyond the chi-square quantile are rejected.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ CORE = 0.75
 STEPS = 4
 #: Rows by which the level above weighs in.
 PRIOR_ROWS = 60
+#: A group whose core has no more rows is judged by the level above alone: five to a statistic.
+LEAST_ROWS = 40
 #: Chance for a clean, normally spread row to be rejected.
 TAIL = 1e-12
 #: Statistics are whole multiples of 1 / SCALE, so that their sums do not depend on the order of rows.
@@ -191,7 +193,8 @@ def _leaned(model: DataFrame) -> DataFrame:
     own = model.where("key LIKE 'source %'").join(lang, "lang_key").withColumn("top", F.lit("all")).join(top, "top").drop("top")
 
     def lean(n, mean, cov, to_mean, to_cov):
-        w = n / (n + PRIOR_ROWS)
+        beyond = max(0.0, n - LEAST_ROWS)
+        w = beyond / (beyond + PRIOR_ROWS)
         apart = mean - to_mean
         return w * mean + (1 - w) * to_mean, w * cov + (1 - w) * to_cov + w * (1 - w) * np.outer(apart, apart)
 
