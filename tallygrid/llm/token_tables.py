@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,43 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Distinct words whose ids a task keeps at hand.
-HELD_WORDS = 1 << 18
-#: Ids handed on at once.
-HELD_IDS = 1 << 20
+HELD_WORDS = 1 << 19
 
 _ROWS = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
+class _HeldWords:
+    """The ids of words met so far, one after the other, and each word's place in them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.at = np.zeros(1, np.int64)
+
+    def encode(self, part: W.Words) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the part's words, and how many each word has."""
+        names, first, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
+        if len(self.known) > HELD_WORDS:
+            self.clear()
+        numbers = names.tolist()
+        new = [k for k, x in enumerate(numbers) if x not in self.known]
+        if new:
+            texts = [part.data[part.starts[k] : part.ends[k]].tobytes().decode() for k in first[new].tolist()]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.known.update(zip([numbers[k] for k in new], range(len(self.known), len(self.known) + len(new))))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in found])))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32)))
+        place = np.fromiter(map(self.known.__getitem__, numbers), np.int64, len(numbers))[inverse]
+        begins, sizes = self.at[place], self.at[place + 1] - self.at[place]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.ids[np.arange(total) + np.repeat(begins - upto + sizes, sizes)], sizes
+
+
 def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """Token rows of sorted partitions. The tokenizer never joins what ASCII white space parts, so
     each distinct word is encoded once and its ids are used again."""
@@ -45,34 +76,24 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        known: dict[bytes, np.ndarray] = {}
-        part, start = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.int32)
+        held = _HeldWords(Tokenizer.from_file(vocabulary))
+        part_number, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            offsets, data = W.buffers(batch.column(1))
-            rows: list[np.ndarray] = []
-            held = first = 0
-            for r in range(batch.num_rows):
-                own = data[offsets[r] : offsets[r + 1]].tobytes().split()
-                new = [x for x in set(own) if x not in known]
-                if new:
-                    if len(known) > HELD_WORDS:
-                        known.clear()
-                        new = list(set(own))
-                    for x, e in zip(new, tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)):
-                        known[x] = np.array(e.ids, np.int32)
-                rows.append(np.concatenate([*map(known.__getitem__, own), end]))
-                held += len(rows[-1])
-                if held > HELD_IDS or r + 1 == batch.num_rows:
-                    n = np.array([len(x) for x in rows])
-                    starts = start + np.cumsum(n) - n
-                    start += int(n.sum())
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(first, len(rows)), pa.array(np.full(len(rows), part, np.int32)),
-                        pa.array(starts), pa.array(n), W.lists(rows, pa.int32())],
-                        ["doc_id", "part", "local_start", "n_tokens", "ids"])
-                    rows, held, first = [], 0, r + 1
+            for part in W.words(batch.column(1)):
+                n = part.last - part.first
+                ids, word_sizes = held.encode(part)
+                upto = np.concatenate(([0], np.cumsum(word_sizes)))
+                # where each document's own ids end, and its end id goes
+                ends = upto[part.at[1:]]
+                ids = np.insert(ids, ends, end_id)
+                sizes = np.diff(upto[part.at]) + 1
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(part.first, n), pa.array(np.full(n, part_number, np.int32)),
+                    pa.array(start + offsets[:-1].astype(np.int64)), pa.array(sizes.astype(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
+                    ["doc_id", "part", "local_start", "n_tokens", "ids"])
+                start += int(offsets[-1])
 
     return map_arrow(docs.select("doc_id", "text"), encode, _ROWS)
 
