@@ -1,9 +1,8 @@
 """Character encoding of text files: UTF-8, UTF-16, GB18030 or Latin-1.
 
-`decide` is the one rule. `detect_encoding` applies it to the first lines of one
-file before it is loaded; `audit_encodings` to every line of any number of
-files, where the UTF-8 test stays in the JVM and only lines that fail it are
-looked at in Python.
+`decide` is the one rule, applied by `audit_encodings` to every line of any number of
+files, where the UTF-8 test stays in the JVM and only lines that fail it are looked at in
+Python. `encoding_of` applies it to bytes at hand.
 """
 
 from __future__ import annotations
@@ -14,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Bytes looked at before a load, and the lines they come from
-SAMPLE_BYTES = 100_000
-SAMPLE_LINES = 1_000
+# bytes and lines of a file's head, from which its delimiter and header are read
+HEAD_BYTES = 100_000
+HEAD_LINES = 1_000
 
 UTF8, UTF16, GB18030, LATIN1 = "UTF-8", "UTF-16", "GB18030", "ISO-8859-1"
 _BOMS = ((b"\xef\xbb\xbf", UTF8), (b"\xff\xfe", UTF16), (b"\xfe\xff", UTF16))
@@ -27,7 +26,8 @@ def decide(bom: str | None, utf8: bool, nul: bool, gb: bool, paired: int, unpair
 
     `gb` tells that the bytes are valid GB18030; `paired` counts its two-byte
     characters from the plain Chinese planes, `unpaired` the others, which is
-    what accented Latin-1 letters look like.
+    what accented Latin-1 letters look like. `nul` tells that at least a quarter of the
+    bytes are zero, as in UTF-16 text without a mark; a stray zero byte says nothing.
     """
     if bom:
         return bom
@@ -54,11 +54,11 @@ def _gb_evidence(raw: bytes) -> tuple[bool, int, int]:
 
 def head_bytes(spark: SparkSession, path: str) -> bytes:
     """The first bytes of a file, cut at a line end."""
-    start = F.substring(F.col("value").cast("binary"), 1, SAMPLE_BYTES)
+    start = F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES)
     out = bytearray()
     # a collected limit reads the first split only
-    for (line,) in spark.read.text(path).select(start).limit(SAMPLE_LINES).collect():
-        if len(out) >= SAMPLE_BYTES:
+    for (line,) in spark.read.text(path).select(start).limit(HEAD_LINES).collect():
+        if len(out) >= HEAD_BYTES:
             break
         out += bytes(line) + b"\n"
     return bytes(out)
@@ -70,12 +70,13 @@ def encoding_of(raw: bytes) -> str:
         utf8 = True
     except UnicodeDecodeError:
         utf8 = False
-    return decide(_bom(raw), utf8, b"\x00" in raw, *_gb_evidence(raw))
+    return decide(_bom(raw), utf8, bool(raw) and raw.count(0) * 4 >= len(raw), *_gb_evidence(raw))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """The encoding of one file, judged by its head."""
-    return encoding_of(head_bytes(spark, path))
+    """The encoding of one file, or of the first of a folder, judged by all its lines."""
+    found = audit_encodings(spark, [path]).orderBy("file").first()
+    return found.encoding if found else UTF8
 
 
 def _look_at_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +109,11 @@ def audit_encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
     start = F.hex(F.substring("value", 1, 3))
     bom8 = F.col("first_split") & (start == "EFBBBF")
     bom16 = F.col("first_split") & (start.startswith("FFFE") | start.startswith("FEFF"))
-    nul = F.instr(F.col("value").cast("string"), "\x00") > 0
+    size = F.octet_length("value")
+    zeros = size - F.octet_length(F.replace(F.col("value").cast("string"), F.lit("\x00"), F.lit("")))
     whole = lines.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"), F.bool_or(bom8).alias("bom8"), F.bool_or(bom16).alias("bom16"),
-        F.bool_or(nul).alias("nul"), F.bool_and(F.is_valid_utf8(F.col("value").cast("string"))).alias("utf8"),
+        (F.sum(zeros) * 4 >= F.greatest(F.sum(size), F.lit(1))).alias("nul"), F.bool_and(F.is_valid_utf8(F.col("value").cast("string"))).alias("utf8"),
     )
     chinese = F.coalesce(F.col("gb") & (F.col("paired") > F.col("unpaired")), F.lit(False))
     return whole.join(evidence, "file", "left").select(

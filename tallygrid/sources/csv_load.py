@@ -1,14 +1,17 @@
-"""Forgiving CSV load: sampled schema, whole read, good rows and reject table.
-
-The file is read once with every field as text, cast by explicit rules, and
-written to Parquet in the same pass: rows that fit under `__ok=true` with a row
-id, rows that do not (wrong number of fields, or a value that does not cast to
-the sampled type) under `__ok=false` with their text and the reason.
+"""Forgiving CSV load: schema of all rows, good rows and reject table.
+
+One pass over the lines finds each file's encoding, header and quotes left open at a line's
+end; files that agree in these are read together, and columns of different files meet by
+name. One pass over the fields finds the types that fit every value; a last one casts by
+explicit rules and writes Parquet: rows that fit under `__ok=true` with a row id, rows
+that do not (wrong number of fields, or a value that does not cast to a type the caller
+gave) under `__ok=false` with their text and the reason.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field as dataclass_field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,11 @@ from pyspark.sql import types as T
 from tallygrid.plans.paging import WrittenRows, with_row_id
 from tallygrid.session import new_folder, setting
 from tallygrid.sources.csv_dialect import Dialect, header_of, sniff
-from tallygrid.sources.csv_encoding import UTF16, encoding_of, head_bytes
+from tallygrid.sources.csv_encoding import UTF16, audit_encodings, detect_encoding, head_bytes
 from tallygrid.sources.files import exists, list_files
 from tallygrid.types import col, text_to_double
 
-# Rows the types are inferred from
-SAMPLE_ROWS = 10_000
+# lines of the head from which the delimiter is read
 SNIFF_LINES = 200
 
 _CORRUPT, _FILE, _OK, _REASON, _LINE = "__corrupt", "__file", "__ok", "__reason", "__line"
@@ -47,7 +49,7 @@ def _cast(text: Column, data_type: str) -> Column:
     return text.try_cast(data_type)
 
 
-# tried in this order; a column gets the first that fits every sampled value
+# tried in this order; a column gets the first that fits every value
 _CANDIDATES = ("boolean", "bigint", "double", "date", "timestamp_ntz")
 # a value that reads as the first also reads as the second
 _ALSO = {"bigint": "double", "date": "timestamp_ntz"}
@@ -118,25 +120,67 @@ class LoadedCsv:
             F.col(_FILE).alias("file"), F.col(_LINE).alias("line"), F.col(_REASON).alias("reason")
         )
 
-    def has_open_quotes(self) -> bool:
-        """True when a row was left out that opens a quote and does not close it."""
-        if not exists(self.spark, self._reject_folder):
-            return False
-        line = F.col("line")
-        quotes = F.length(line) - F.length(F.replace(line, F.lit(self.plan.dialect.quote), F.lit("")))
-        return not self.rejects().where(quotes % 2 == 1).isEmpty()
+
+@dataclass
+class _Group:
+    """Files of one encoding, header and record layout."""
+
+    files: list[str]
+    plan: CsvPlan
 
 
-def examine(spark: SparkSession, path: str, encoding: str | None = None, dialect: Dialect | None = None) -> CsvPlan:
-    """Encoding, dialect and column names from the head of the file."""
-    raw = head_bytes(spark, path)
-    encoding = encoding or encoding_of(raw)
-    text = raw.decode(_PYTHON_CODEC.get(encoding, encoding), errors="replace").lstrip("\ufeff")
+def _line_facts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """`(file, header, odd)`: each file's first line, and how many lines hold an odd number of double quotes."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"),
+        F.monotonically_increasing_id().alias("at"), (F.col("_metadata.file_block_start") == 0).alias("first"))
+    text = F.col("value").cast("string")
+    quotes = F.octet_length(text) - F.octet_length(F.replace(text, F.lit('"'), F.lit("")))
+    return lines.groupBy("file").agg(
+        F.min_by("value", F.when(F.col("first"), F.col("at"))).alias("header"),
+        F.sum((quotes % 2).cast("bigint")).alias("odd"))
+
+
+def examine(
+    spark: SparkSession, path: str, encoding: str | None = None, dialect: Dialect | None = None, odd: int | None = None
+) -> CsvPlan:
+    """Encoding, dialect and column names of a file.
+
+    A quoted line break leaves quotes open on two lines. So records go over lines where the number
+    of such lines in the whole file, `odd`, is even; a single quote left open is that row's own fault.
+    """
+    encoding = encoding or detect_encoding(spark, path)
+    text = head_bytes(spark, path).decode(_PYTHON_CODEC.get(encoding, encoding), errors="replace").lstrip("\ufeff")
     lines = text.splitlines()[:SNIFF_LINES]
-    dialect = dialect or sniff(lines)
+    if dialect is None:
+        found = sniff(lines)
+        if odd is None:
+            odd = _line_facts(spark, path).agg(F.sum("odd")).first()[0] or 0
+        over_lines = odd > 0 and odd % 2 == 0 if found.quote == '"' else found.multiline
+        dialect = Dialect(found.sep, found.quote, multiline=over_lines)
     return CsvPlan(path, encoding, dialect, header_of(lines, dialect))
 
 
+def _grouped(
+    spark: SparkSession, paths: str | list[str], encoding: str | None, dialect: Dialect | None
+) -> list[_Group]:
+    """The files by what they agree in: as many groups as there are different headers and encodings."""
+    facts = _line_facts(spark, paths)
+    if encoding is None:
+        given = [paths] if isinstance(paths, str) else paths
+        facts = facts.join(audit_encodings(spark, given).select("file", "encoding"), "file")
+    else:
+        facts = facts.withColumn("encoding", F.lit(encoding))
+    lasting = F.when(F.col("odd") == 0, "no").when(F.col("odd") % 2 == 0, "yes").otherwise("no")
+    rows = facts.groupBy("header", "encoding", lasting.alias("lasting")).agg(
+        F.sort_array(F.collect_list("file")).alias("files")).collect()
+    groups = []
+    for r in sorted(rows, key=lambda r: r.files[0]):
+        plan = examine(spark, r.files[0], r.encoding, dialect, odd=2 if r.lasting == "yes" else 0)
+        groups.append(_Group(r.files, plan))
+    return groups
+
+
 def _raw(spark: SparkSession, paths: str | list[str], plan: CsvPlan) -> DataFrame:
     """Every field as text `c0, c1, ...`, plus the line of rows that do not split evenly."""
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(plan.names))]
@@ -151,40 +195,46 @@ def _raw(spark: SparkSession, paths: str | list[str], plan: CsvPlan) -> DataFram
 
 
 def infer_types(raw: DataFrame, names: list[str]) -> dict[str, str]:
-    """Types that fit all of the first `SAMPLE_ROWS` rows; text where nothing else does.
-
-    Collecting a limit starts tasks on the first split only and goes on while
-    rows are missing; aggregating a limited frame would start one per split.
-    """
-    rows = raw.limit(SAMPLE_ROWS).collect()
-    sample = raw.sparkSession.createDataFrame(rows, raw.schema).where(F.col(_CORRUPT).isNull())
-    found = sample.agg(*[F.bit_and(_fitting(F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(names))]).first()
+    """Types that fit all rows; text where nothing else does."""
+    whole = raw.where(F.col(_CORRUPT).isNull())
+    found = whole.agg(*[F.bit_and(_fitting(F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(names))]).first()
     return {
+        # a column without any value is text
         name: next((t for t in _CANDIDATES if (found[i] or 0) & _bit(t)), "string")
         for i, name in enumerate(names)
     }
 
 
-def _typed(raw: DataFrame, plan: CsvPlan) -> DataFrame:
+def _together(spark: SparkSession, groups: list[_Group], names: list[str]) -> DataFrame:
+    """The rows of all groups, their fields under `c0, c1, ...` in the order of `names`; missing ones are NULL."""
+    parts = []
+    for group in groups:
+        own = {name: f"c{i}" for i, name in enumerate(group.plan.names)}
+        raw = _raw(spark, group.files, group.plan)
+        line = F.coalesce(F.col(_CORRUPT), F.concat_ws(group.plan.dialect.sep, *[F.coalesce(c, F.lit("")) for c in own.values()]))
+        parts.append(raw.select(
+            *[(F.col(own[n]) if n in own else F.lit(None).cast("string")).alias(f"c{i}") for i, n in enumerate(names)],
+            _CORRUPT, F.col("_metadata.file_path").alias(_FILE), line.alias(_LINE)))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _typed(raw: DataFrame, names: list[str], types: dict[str, str]) -> DataFrame:
     """User columns, and for rows that do not fit the reason and the line."""
-    kept = [F.col(f"c{i}") for i in range(len(plan.names))]
-    cast = [_cast(text, plan.types[name]) for text, name in zip(kept, plan.names)]
+    kept = [F.col(f"c{i}") for i in range(len(names))]
+    cast = [_cast(text, types[name]) for text, name in zip(kept, names)]
     uncast = [
         F.when(text.isNotNull() & value.isNull(), F.lit(name))
-        for text, value, name in zip(kept, cast, plan.names) if plan.types[name] != "string"
+        for text, value, name in zip(kept, cast, names) if types[name] != "string"
     ]
     reason = F.when(F.col(_CORRUPT).isNotNull(), F.lit("number of fields"))
     if uncast:
         bad = F.coalesce(*uncast)
         reason = F.coalesce(reason, F.when(bad.isNotNull(), F.concat(F.lit("value of "), bad)))
-    line = F.coalesce(F.col(_CORRUPT), F.concat_ws(plan.dialect.sep, *[F.coalesce(t, F.lit("")) for t in kept]))
     framed = raw.select(
-        *[value.alias(name) for value, name in zip(cast, plan.names)],
-        F.col("_metadata.file_path").alias(_FILE), reason.alias(_REASON), line.alias(_LINE),
-    )
+        *[value.alias(name) for value, name in zip(cast, names)], _FILE, reason.alias(_REASON), _LINE)
     fits = F.col(_REASON).isNull()
     return framed.select(
-        *[col(n) for n in plan.names],
+        *[col(n) for n in names],
         *[F.when(~fits, F.col(c)).alias(c) for c in (_FILE, _REASON, _LINE)], fits.alias(_OK),
     )
 
@@ -194,31 +244,38 @@ def load_csv(
     paths: str | list[str],
     encoding: str | None = None,
     dialect: Dialect | None = None,
+    types: dict[str, str] | None = None,
 ) -> LoadedCsv:
-    """Load one file, or several of the same layout, into a written table."""
-    first = paths if isinstance(paths, str) else paths[0]
-    size = sum(
-        list_files(spark, p).agg(F.sum("length")).first()[0] or 0
-        for p in ([paths] if isinstance(paths, str) else paths)
-    )
-    plan = examine(spark, first, encoding, dialect)
-    if not plan.names:
-        raise ValueError(f"no header in {first}")
+    """Load a file, a folder, or several of either into a written table.
+
+    Files may differ in header, encoding and delimiter; their columns meet by name. A
+    column's type fits all its values. `types` names types for some columns instead; values
+    that do not cast to them put their rows among the rejects.
+    """
+    given = [paths] if isinstance(paths, str) else paths
+    size = sum(list_files(spark, p).agg(F.sum("length")).first()[0] or 0 for p in given)
     with setting(spark, "spark.sql.legacy.javaCharsets", "true"), \
             setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
-        plan.types = infer_types(_raw(spark, first, plan), plan.names)
-        loaded = _write(spark, paths, plan, size)
-        if not plan.dialect.multiline and loaded.has_open_quotes():
-            # a quoted line break beyond the sample: read again record by record
-            plan.dialect = Dialect(plan.dialect.sep, plan.dialect.quote, multiline=True)
-            loaded = _write(spark, paths, plan, size)
-    return loaded
-
-
-def _write(spark: SparkSession, paths: str | list[str], plan: CsvPlan, size: int) -> LoadedCsv:
+        groups = [g for g in _grouped(spark, paths, encoding, dialect) if g.plan.names]
+        if not groups:
+            raise ValueError(f"no header in {given[0]}")
+        plan = groups[0].plan
+        names, taken = [], set()
+        for name in (n for g in groups for n in g.plan.names):
+            if name.lower() not in taken:
+                taken.add(name.lower())
+                names.append(name)
+        for g in groups:  # the first spelling counts
+            g.plan.names = [next(n for n in names if n.lower() == own.lower()) for own in g.plan.names]
+        raw = _together(spark, groups, names)
+        found = CsvPlan(plan.path, plan.encoding, plan.dialect, names, infer_types(raw, names) | (types or {}))
+        return _write(spark, raw, found, size)
+
+
+def _write(spark: SparkSession, raw: DataFrame, plan: CsvPlan, size: int) -> LoadedCsv:
     folder = new_folder(spark, "csv")
     # two open writers per task take both kinds of row as they come, so nothing is sorted
-    with_row_id(_typed(_raw(spark, paths, plan), plan)).write.partitionBy(_OK).parquet(folder)
+    with_row_id(_typed(raw, plan.names, plan.types)).write.partitionBy(_OK).parquet(folder)
     schema = T.StructType([T.StructField(n, T._parse_datatype_string(plan.types[n])) for n in plan.names])
     good = f"{folder}/{_OK}=true"
     rows = WrittenRows.open(spark, good, plan.names) if exists(spark, good) else None
