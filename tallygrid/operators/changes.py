@@ -26,6 +26,15 @@ def insert(df: DataFrame, rows: DataFrame, by_position: bool = False) -> DataFra
     return df.union(named.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
 
 
+def insert_named(df: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The table with `rows` added whose values belong to `columns`, the others NULL."""
+    for c in columns:
+        field(df, c)
+    named = rows.toDF(*columns)
+    return df.union(named.select(*[
+        (col(f.name) if f.name in columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+
+
 def update(df: DataFrame, assignments: dict[str, Column], where: Column | None = None) -> DataFrame:
     """New values where the condition is true; unknown leaves a row alone."""
     hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)

@@ -16,13 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.plans.cells import ValueCounts
-from tallygrid.plans.order_statistics import QUARTILES, pivot_quantiles
+from tallygrid.plans.order_statistics import QUARTILES
 from tallygrid.types import STRING, category, clean, clean_sql, col, is_numeric, numeric_columns, percent, quoted, string_columns
 
 # aggregation buffers per pass: whole-stage codegen gives up beyond 100 fields
 _BUFFERS_PER_PASS = 90
-# beyond this many rows quartiles alone do not justify a shuffle of the values
-COUNTED_ROWS = 100_000_000
 # Bytes assumed per row, length of the top list, severity bands in percent
 BYTES_PER_ROW = 100
 TOP_VALUES = 10
@@ -73,6 +71,9 @@ def column_statistics(df: DataFrame, columns: list[str] | None = None, statistic
     """Long frame, one row per column: counts, and the min/max/mean/length family."""
     position = {name: k for k, name in enumerate(df.columns)}
     names = list(columns if columns is not None else df.columns)
+    if not names:  # no row, the same columns
+        one = df.select(F.lit(None).cast("int").alias("none"))
+        return column_statistics(one, ["none"], statistics).where("false")
     passes: list[list[int]] = [[]]
     used = 0
     for name in names:
@@ -124,23 +125,12 @@ def profile_base(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def _quartiles(df: DataFrame, columns: list[str], counted_rows: int) -> DataFrame:
-    """Exact quartiles: from value counts while the table is not too long for
-    moving its values just for this, else by pivots."""
-    if df.count() <= counted_rows:
-        return ValueCounts(df, columns).quantiles(QUARTILES)
-    position = {name: k for k, name in enumerate(df.columns)}
-    return pivot_quantiles(df, {position[c]: col(c) for c in columns})
-
-
-def profile_numeric(
-    df: DataFrame, columns: list[str] | None = None, counted_rows: int = COUNTED_ROWS
-) -> DataFrame:
+def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Min, max, mean, median, deviation and quartiles of the numeric columns."""
     names = [c for c in numeric_columns(df) if columns is None or c in columns]
     return (
         column_statistics(df, names)
-        .join(F.broadcast(_quartiles(df, names, counted_rows)), "k", "left")
+        .join(F.broadcast(ValueCounts(df, names).quantiles(QUARTILES)), "k", "left")
         .select(
             "column_name", "min_value", "max_value", "mean_value",
             *[clean(F.col(c)).alias(c) for c in ("median_value",)],
@@ -269,12 +259,12 @@ def missing_ranked(df: DataFrame) -> DataFrame:
     )
 
 
-def numeric_summary(df: DataFrame, counted_rows: int = COUNTED_ROWS) -> DataFrame:
+def numeric_summary(df: DataFrame) -> DataFrame:
     """The numeric columns' statistics together with their missing values."""
     names = numeric_columns(df)
     return (
         column_statistics(df, names)
-        .join(F.broadcast(_quartiles(df, names, counted_rows)), "k", "left")
+        .join(F.broadcast(ValueCounts(df, names).quantiles(QUARTILES)), "k", "left")
         .select(
             "column_name", "dtype", "min_value", "max_value", "mean_value",
             clean(F.col("median_value")).alias("median_value"), "std_value",

@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,10 @@ from tallygrid.plans.paging import page
 PAGE_ROWS = 1_000
 
 
+# what a statement can fail with; all of it belongs in the answer
+FAILURES = (PySparkException, Py4JJavaError, ValueError)
+
+
 @dataclass
 class ResultPage:
     columns: list[str] = field(default_factory=list)
@@ -50,7 +55,7 @@ def execute(spark: SparkSession, sql: str, limit: int = PAGE_ROWS, offset: int =
     started = time.perf_counter()
     try:
         result = fetch(parse(spark, sql), limit, offset)
-    except PySparkException as error:
+    except FAILURES as error:
         result = ResultPage(error=str(error))
     result.execution_time = time.perf_counter() - started
     return result

@@ -89,6 +89,8 @@ class ValueCounts:
 
     def __init__(self, df: DataFrame, columns: list[str] | None = None):
         names = list(columns if columns is not None else df.columns)
+        if not names:  # nothing to count, the same columns
+            df, names = df.select(F.lit(None).cast("int").alias("none")).where("false"), ["none"]
         self.parts = []
         for start in range(0, len(names), COLUMNS_PER_SCAN):
             long, slots = cells(df, names[start:start + COLUMNS_PER_SCAN])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.plans.order_statistics import DISCRETE, LINEAR, ORDINAL, Quantile
+from tallygrid.types import col
 
 # a value axis is cut into STEPS * STEPS buckets of about equally many values
 STEPS = 16
@@ -64,7 +65,7 @@ def _within(start: Column, count: Column, place: str) -> Column:
 def counted_quantiles(with_cuts: DataFrame, keys: list[str], wanted: tuple[Quantile, ...]) -> DataFrame:
     """`keys` and one double per quantile, from rows `(keys, v, n, cuts)`."""
     bucketed = _bucketed(with_cuts).select(
-        F.struct(F.struct(*keys).alias("k"), F.col("bucket").alias("b")).alias(_G), "v", "n"
+        F.struct(F.struct(*map(col, keys)).alias("k"), F.col("bucket").alias("b")).alias(_G), "v", "n"
     )
     across = Window.partitionBy(_K)
     sizes = (
@@ -92,12 +93,12 @@ def counted_quantiles(with_cuts: DataFrame, keys: list[str], wanted: tuple[Quant
         low, high, weight = F.col(f"{q.name}__l"), F.col(f"{q.name}__h"), F.col(f"{q.name}__w")
         between = low * (1 - weight) + high * weight
         out.append(F.when((low == high) | (weight == 0), low).otherwise(between).alias(q.name))
-    return picked.select(*[F.col(f"{_K}.{k}") for k in keys], *out)
+    return picked.select(*[F.col(_K).getField(k).alias(k) for k in keys], *out)
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: tuple[Quantile, ...]) -> DataFrame:
     """Exact quantiles of `column` per group of `keys`."""
-    values = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("v"))
-    counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    values = df.where(col(column).isNotNull()).select(*map(col, keys), col(column).cast("double").alias("v"))
+    counted = values.groupBy(*map(col, keys), "v").agg(F.count(F.lit(1)).alias("n"))
     cuts = values.agg(cut_points(F.col("v")))
     return counted_quantiles(counted.withColumn("cuts", cuts.scalar()), keys, wanted)

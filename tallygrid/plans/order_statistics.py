@@ -1,31 +1,9 @@
-"""Exact quantiles of whole columns without moving their values.
-
-The wanted order statistics are narrowed down by pivots. Each round takes a
-mergeable sketch of the values still in question, reads a few actual values next
-to the wanted position from it, and counts exactly how many rows lie below and
-at each of them. That either hits the wanted value or leaves a much smaller open
-interval between two pivots. A round is two map-side combined aggregates over
-pruned columns: nothing is sorted or shuffled by value, no task holds more than
-`INTERVAL_ROWS` values, and a value that makes up a third of the rows is hit by
-the sketch at once.
-
-This is the way for very long columns whose values are not counted anyway; see
-`plans.counted_quantiles` for the others.
-"""
+"""What an exact quantile is: share and rule. See `plans.counted_quantiles` for how they are found."""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-INTERVAL_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
-# whole-stage codegen stops at 100 fields; a few columns share one pass
-COLUMNS_PER_PASS = 4
-
 LINEAR, ORDINAL, DISCRETE = "linear", "ordinal", "discrete"
 
 
@@ -38,135 +16,5 @@ class Quantile:
     p: float
     rule: str = LINEAR
 
-    def ranks(self, n: int) -> tuple[int, int, float]:
-        """Zero-based neighbours and the weight of the upper one."""
-        if self.rule != LINEAR:
-            rank = int(self.p * n) if self.rule == ORDINAL else max(math.ceil(self.p * n), 1) - 1
-            rank = min(rank, n - 1)
-            return rank, rank, 0.0
-        place = self.p * (n - 1)
-        low = int(place)
-        return low, min(low + 1, n - 1), place - low
-
 
 QUARTILES = (Quantile("median_value", 0.5), Quantile("q1_value", 0.25), Quantile("q3_value", 0.75))
-
-
-def pivot_quantiles(
-    df: DataFrame, values: dict[int, Column], wanted: tuple[Quantile, ...] = QUARTILES
-) -> DataFrame:
-    """One row `(k, <quantile names>)` per entry of `values`, NULLs ignored."""
-    pruned = df.select(*[v.cast("double").alias(f"c{k}") for k, v in values.items()])
-    rows = []
-    keys = list(values)
-    for start in range(0, len(keys), COLUMNS_PER_PASS):
-        rows += _narrowed(pruned, keys[start:start + COLUMNS_PER_PASS], wanted)
-    names = ", ".join(f"{q.name} double" for q in wanted)
-    return df.sparkSession.createDataFrame(rows, f"k int, {names}")
-
-
-@dataclass
-class _Target:
-    """One wanted position: `low < value < high`, rows [start, end) in between."""
-
-    k: int
-    rank: int
-    start: int
-    end: int
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def inside(self) -> Column:
-        value = F.col(f"c{self.k}")
-        test = ~F.isnan(value)
-        if self.low is not None:
-            test = test & (value > F.lit(self.low))
-        if self.high is not None:
-            test = test & (value < F.lit(self.high))
-        return F.when(test, value)
-
-    def fractions(self) -> list[float]:
-        """Where to read the sketch: the position itself and its error margin."""
-        middle = (self.rank - self.start + 0.5) / (self.end - self.start)
-        margin = 2.0 / SKETCH_ACCURACY
-        spread = (middle - 8 * margin, middle - margin, middle, middle + margin, middle + 8 * margin)
-        return [min(max(f, 0.0), 1.0) for f in spread]
-
-    def narrow(self, counted: dict[float, tuple[int, int]]) -> None:
-        for pivot, (below, up_to) in counted.items():
-            if below <= self.rank < up_to:
-                self.value = pivot
-            elif up_to <= self.rank and up_to >= self.start and (self.low is None or pivot > self.low):
-                self.low, self.start = pivot, up_to
-            elif below > self.rank and below <= self.end and (self.high is None or pivot < self.high):
-                self.high, self.end = pivot, below
-
-
-def _narrowed(pruned: DataFrame, keys: list[int], wanted: tuple[Quantile, ...]) -> list[tuple]:
-    """Driver side of the rounds; only counts and pivots ever reach it."""
-    sizes = pruned.agg(
-        *[F.count(f"c{k}").alias(f"n{k}") for k in keys],
-        *[F.count_if(F.isnan(f"c{k}")).alias(f"nan{k}") for k in keys],
-    ).first()
-    targets: dict[tuple[int, int], _Target] = {}
-    for k in keys:
-        n, numbers = sizes[f"n{k}"], sizes[f"n{k}"] - sizes[f"nan{k}"]
-        for q in wanted if n else ():
-            for rank in q.ranks(n)[:2]:
-                target = _Target(k, rank, 0, numbers)
-                if rank >= numbers:  # NaN sorts after every number
-                    target.value = float("nan")
-                targets[k, rank] = target
-
-    while True:
-        open_ = [t for t in targets.values() if t.value is None and t.end - t.start > INTERVAL_ROWS]
-        if not open_:
-            break
-        # positions in the same interval, all of a column at first, share a sketch
-        intervals: dict[tuple, list[_Target]] = {}
-        for t in open_:
-            intervals.setdefault((t.k, t.low, t.high), []).append(t)
-        sketches = pruned.agg(*[
-            F.percentile_approx(
-                group[0].inside(), sorted({f for t in group for f in t.fractions()}), SKETCH_ACCURACY
-            ) for group in intervals.values()
-        ]).first()
-        pivots = sorted({(k, v) for (k, _, _), found in zip(intervals, sketches) for v in found})
-        counts = pruned.agg(*[
-            F.count_if((F.col(f"c{k}") < F.lit(v))).alias(f"b{i}") for i, (k, v) in enumerate(pivots)
-        ], *[
-            F.count_if((F.col(f"c{k}") <= F.lit(v))).alias(f"u{i}") for i, (k, v) in enumerate(pivots)
-        ]).first()
-        for t in open_:
-            t.narrow({
-                v: (counts[f"b{i}"], counts[f"u{i}"]) for i, (k, v) in enumerate(pivots) if k == t.k
-            })
-
-    left = [t for t in targets.values() if t.value is None]
-    # neighbouring positions mostly share one interval, which is gathered once
-    shared = {(t.k, t.low, t.high): t for t in left}
-    if shared:
-        held = pruned.agg(*[
-            F.sort_array(F.collect_list(t.inside())).alias(f"h{i}") for i, t in enumerate(shared.values())
-        ])
-        place = {key: i for i, key in enumerate(shared)}
-        found = held.select(*[
-            F.element_at(f"h{place[t.k, t.low, t.high]}", t.rank - t.start + 1).alias(f"f{j}")
-            for j, t in enumerate(left)
-        ]).first()
-        for j, t in enumerate(left):
-            t.value = found[f"f{j}"]
-
-    rows = []
-    for k in keys:
-        n, out = sizes[f"n{k}"], []
-        for q in wanted:
-            if not n:
-                out.append(None)
-                continue
-            low, high, weight = q.ranks(n)
-            a, b = targets[k, low].value, targets[k, high].value
-            out.append(float(a if a == b or weight == 0.0 else a * (1 - weight) + b * weight))
-        rows.append((k, *out))
-    return rows

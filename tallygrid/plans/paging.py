@@ -1,9 +1,8 @@
 """Pages of a result.
 
-A shallow page is a top-k: every task keeps `offset + limit` rows. That stops
-being sensible deep into a large result, so from `DEEP_ROWS` on the ordered
-result is written once with a running row id, and a page reads only the row
-groups that hold its rows.
+`page` is one query of its own: every task keeps `offset + limit` rows. A result that is
+to be paged through is written once with a running row id (`write_rows`), and a page then
+reads only the row groups that hold its rows.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from tallygrid.session import new_folder
 from tallygrid.types import col
 
 ROW_ID = "__row_id"
-DEEP_ROWS = 100_000
 # monotonically_increasing_id keeps the partition number above this bit
 _PARTITION_SHIFT = 33
 
@@ -31,21 +29,23 @@ class WrittenRows:
     """Rows written with a row id, and how many each written partition holds.
 
     `partitions` is one `(first row id, rows)` pair per write task; `columns`
-    are the ones shown, by default all but the row id.
+    are the ones shown, by default all but the row id; `dense` tells that the ids of
+    each partition run without a gap.
     """
 
     spark: SparkSession
     path: str
     partitions: list[tuple[int, int]]
     columns: list[str] | None = None
+    dense: bool = False
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, columns: list[str] | None = None) -> "WrittenRows":
-        ids = spark.read.parquet(path).select(
-            F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT).alias("p")
-        )
-        counted = ids.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
-        return cls(spark, path, sorted((r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted), columns)
+        part = F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT)
+        counted = spark.read.parquet(path).groupBy(part.alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("low"), F.max(ROW_ID).alias("high")).collect()
+        dense = all(r["high"] - r["low"] + 1 == r["n"] and r["low"] == r["p"] << _PARTITION_SHIFT for r in counted)
+        return cls(spark, path, sorted((r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted), columns, dense)
 
     @property
     def row_count(self) -> int:
@@ -69,6 +69,10 @@ class WrittenRows:
         rows = self.spark.read.parquet(self.path)
         if not ranges or limit <= 0:
             return self._shown(rows).limit(0)
+        if self.dense:  # the ids of the page are known
+            before = sum(n for first, n in self.partitions if first < ranges[-1])
+            lower, upper = ranges[0] + first_skip, ranges[-1] + offset + limit - before
+            return self._shown(rows.where((F.col(ROW_ID) >= lower) & (F.col(ROW_ID) < upper)).orderBy(ROW_ID).limit(limit))
         upper = ranges[-1] + (1 << _PARTITION_SHIFT)
         # partitions are contiguous, so one range of ids is what the scan prunes by
         wanted = rows.where((F.col(ROW_ID) >= ranges[0]) & (F.col(ROW_ID) < upper))
@@ -88,8 +92,6 @@ def page(
 ) -> DataFrame:
     """One page of `df`, in `order_by` order where one is given."""
     ordered = df.orderBy(*order_by) if order_by else df
-    if offset + limit > DEEP_ROWS and offset > 0:
-        return write_rows(ordered).page(limit, offset)
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 

@@ -8,22 +8,21 @@ from typing import Any
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallygrid.functions.scalar_sql import register_functions
 from tallygrid.operators import changes, distribution as dist, profile
 from tallygrid.operators.adhoc_profile import profile_sql_column, top_values
 from tallygrid.operators.catalog import catalog_columns, free_name, search, table_name_for
 from tallygrid.operators.columns import COLUMN_QUERIES
-from tallygrid.operators.query import PAGE_ROWS, ResultPage, execute, fetch, parse
-from tallygrid.plans.paging import DEEP_ROWS, WrittenRows, write_rows
+from tallygrid.operators.query import FAILURES, PAGE_ROWS, ResultPage, fetch, parse
+from tallygrid.operators.statements import Change, change_of
+from tallygrid.plans.paging import WrittenRows, write_rows
 from tallygrid.sources.csv_export import export_csv
 from tallygrid.sources.csv_load import LoadedCsv, load_csv
 from tallygrid.sources.files import delete_folder
 from tallygrid.types import quoted
 
-# Fixed value: row cap of a view export
-VIEW_EXPORT_ROWS = 1_000_000
-
 
 @dataclass
 class Table:
@@ -60,7 +59,7 @@ class Workbench:
         self._tables: dict[str, Table] = {}
         self._views: dict[str, str] = {}
         self._profiles: dict[tuple[str, int], DataFrame] = {}
-        self._results: dict[str, WrittenRows] = {}
+        self._results: dict[str, tuple[WrittenRows, list[str]]] = {}
         self._versions = 0
         register_functions(spark)
 
@@ -111,10 +110,23 @@ class Workbench:
     # catalog -----------------------------------------------------------------
 
     def tables(self) -> list[Table]:
-        return list(self._tables.values())
+        """Registered tables, then those that statements made."""
+        made = [t.name for t in self.spark.catalog.listTables() if not t.isTemporary and t.name not in self._tables]
+        return [*self._tables.values(), *map(self._made_by_statement, made)]
 
     def table_info(self, name: str) -> Table | None:
-        return self._tables.get(name)
+        if name in self._tables or not self.spark.catalog.tableExists(quoted(name)) or name in self._views:
+            return self._tables.get(name)
+        return self._made_by_statement(name)
+
+    def _made_by_statement(self, name: str) -> Table:
+        frame = self.spark.table(quoted(name))
+        columns = [{"name": f.name, "dtype": f.dataType.simpleString()} for f in frame.schema.fields]
+        return Table(name, "", frame.count(), columns, 0, "UTF-8", 0, None)
+
+    def _names(self) -> list[str]:
+        made = [t.name for t in self.spark.catalog.listTables() if not t.isTemporary]
+        return list(dict.fromkeys([*self._tables, *made]))
 
     def table(self, name: str) -> DataFrame:
         """A registered table, or one a statement such as CREATE TABLE made."""
@@ -130,11 +142,11 @@ class Workbench:
         return loaded.rejects()
 
     def columns(self) -> DataFrame:
-        return catalog_columns(self.spark, {n: self.table(n) for n in self._tables})
+        return catalog_columns(self.spark, {n: self.table(n) for n in self._names()})
 
     def search(self, text: str) -> DataFrame:
         """Tables and views whose name contains the text."""
-        rows = [(n, "table") for n in self._tables] + [(n, "view") for n in self._views]
+        rows = [(n, "table") for n in self._names()] + [(n, "view") for n in self._views]
         return search(self.spark.createDataFrame(rows, "name string, kind string"), text, "name")
 
     def save_view(self, name: str, sql: str) -> bool:
@@ -171,12 +183,18 @@ class Workbench:
         return True
 
     def drop_table(self, name: str) -> bool:
-        self.spark.catalog.dropTempView(name)
+        """Drop a table, also one that a statement made; false when there is none."""
+        table = self._tables.pop(name, None)
         self.clear_profiles(name)
         self._forget_results()
-        table = self._tables.pop(name, None)
-        if table and table.rows:
-            delete_folder(self.spark, table.loaded.folder if table.loaded else table.rows.path)
+        if table is None:
+            if not self.spark.catalog.tableExists(quoted(name)):
+                return False
+            self.spark.sql(f"DROP TABLE {quoted(name)}")
+            return True
+        self.spark.catalog.dropTempView(name)
+        for folder in {f for f in (table.loaded and table.loaded.folder, table.rows and table.rows.path) if f}:
+            delete_folder(self.spark, folder)
         return True
 
     def clear_all(self) -> bool:
@@ -187,30 +205,68 @@ class Workbench:
         return True
 
     def _forget_results(self) -> None:
-        for stored in self._results.values():
+        for stored, _ in self._results.values():
             delete_folder(self.spark, stored.path)
         self._results.clear()
 
     # queries -----------------------------------------------------------------
 
     def execute(self, sql: str, limit: int = PAGE_ROWS, offset: int = 0) -> ResultPage:
-        """A page of a statement's result.
+        """A page of a statement's result; changes of workbench tables are carried out as their methods are.
 
-        A deep page has the result written once; later pages of the same text
-        read it, until a table or view changes.
+        A result that is longer than the first page asked for is written once, and all its pages are
+        read from there, so they fit each other. It is kept until a table or view changes.
         """
-        if not offset or offset + limit <= DEEP_ROWS:
-            return execute(self.spark, sql, limit, offset)
         started = time.perf_counter()
         try:
-            if sql not in self._results:
-                self._results[sql] = write_rows(parse(self.spark, sql), "result")
-        except PySparkException as error:
-            return ResultPage(error=str(error))
-        page = _stored_page(self._results[sql], limit, offset)
+            page = self._execute(sql, limit, offset)
+        except FAILURES as error:
+            page = ResultPage(error=str(error))
         page.execution_time = time.perf_counter() - started
         return page
 
+    def _execute(self, sql: str, limit: int, offset: int) -> ResultPage:
+        text = sql.strip().removesuffix(";")
+        change = change_of(self.spark, text, set(self._tables))
+        if change:
+            self._carry_out(change)
+            return ResultPage()
+        if sql not in self._results:
+            df = parse(self.spark, sql)
+            if not df.columns:
+                self._forget_results()  # a statement may have changed what results rest on
+                return ResultPage()
+            if not offset:
+                rows = [list(r) for r in df.limit(limit + 1).collect()]
+                if len(rows) <= limit:
+                    return ResultPage(df.columns, rows, len(rows), len(rows))
+            # results may repeat a name or have columns without a type
+            kept = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+            untyped = {c: F.col(c).cast("string") for c, t in kept.dtypes if t == "void"}
+            self._results[sql] = (write_rows(kept.withColumns(untyped) if untyped else kept), df.columns)
+        stored, names = self._results[sql]
+        page = _stored_page(stored, limit, offset)
+        page.columns = names
+        return page
+
+    def _carry_out(self, change: Change) -> None:
+        if change.kind == "insert":
+            rows, columns = change.arguments
+            if columns:  # named columns, the others NULL
+                if len(columns) != len(rows.columns):
+                    raise ValueError(f"{len(rows.columns)} values for {len(columns)} columns")
+                self._replace(change.table, changes.insert_named(self.table(change.table), rows, columns))
+            else:
+                self._replace(change.table, changes.insert(self.table(change.table), rows, by_position=True))
+        elif change.kind == "add_column":
+            for column, data_type in change.arguments:
+                self.add_column(change.table, column, data_type)
+        elif change.kind == "drop_column":
+            for column in change.arguments:
+                self.drop_column(change.table, column)
+        else:
+            getattr(self, change.kind)(change.table, *change.arguments)
+
     def table_data(self, name: str, limit: int = PAGE_ROWS, offset: int = 0) -> ResultPage:
         """A page of a stored table in load order; reads only the rows' own files."""
         table = self._tables.get(name)
@@ -231,7 +287,7 @@ class Workbench:
             return False
         return True
 
-    def export_view(self, name: str, path: str, limit: int | None = VIEW_EXPORT_ROWS) -> str:
+    def export_view(self, name: str, path: str, limit: int | None = None) -> str:
         return export_csv(self.spark.table(quoted(name)), path, limit)
 
     # profiles ----------------------------------------------------------------
@@ -282,7 +338,8 @@ class Workbench:
         old = self._tables[name]
         written = write_rows(df, "table")
         self.clear_profiles(name)
-        return self._register(name, written.frame(), written, old.file_path, None)
+        # rejects, size and encoding stay those of the load
+        return self._register(name, written.frame(), written, old.file_path, old.loaded)
 
     def insert(self, name: str, rows: DataFrame | str) -> Table:
         """Add rows: a DataFrame by column name, `VALUES` or `SELECT` text by position."""

@@ -9,9 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrid.operators import adhoc_profile, distribution, profile
-from tallygrid.plans import order_statistics
 from tallygrid.plans.cells import ValueCounts
-from tallygrid.plans.order_statistics import ORDINAL, Quantile, pivot_quantiles
+from tallygrid.plans.order_statistics import ORDINAL, Quantile
 from tallygrid.types import category, text_to_double
 
 
@@ -93,40 +92,33 @@ def test_names_with_odd_characters(spark):
         profile.profile_column(df, "none")
 
 
-@pytest.fixture
-def tight(monkeypatch):
-    monkeypatch.setattr(order_statistics, "INTERVAL_ROWS", 40)
-    monkeypatch.setattr(order_statistics, "SKETCH_ACCURACY", 50)
-
-
 @pytest.mark.parametrize("value", [
     "id", "id % 7", "7", "CASE WHEN id % 3 = 0 THEN 500 ELSE id END", "CASE WHEN id < 2500 THEN 1 ELSE 2 END",
     "exp(id / 10)", "CASE WHEN id % 4 = 0 THEN double('nan') ELSE id END", "CASE WHEN id % 2 = 0 THEN -id END",
     "CAST(NULL AS DOUBLE)", "CASE WHEN id = 3 THEN 5 END", "CASE WHEN id % 3 = 0 THEN double('inf') ELSE id END",
 ])
-def test_pivots_find_exact_quantiles(spark, tight, value):
+def test_counts_give_exact_quantiles(spark, value):
     df = spark.range(5000).select(F.expr(value).cast("double").alias("x"))
     wanted = (Quantile("a", 0.5), Quantile("b", 0.25), Quantile("c", 0.99), Quantile("d", 0.0), Quantile("e", 1.0))
     built_in = df.agg(F.percentile("x", [q.p for q in wanted])).first()[0] or [None] * len(wanted)
-    by_pivots = pivot_quantiles(df, {0: F.col("x")}, wanted).first()
     by_counts = ValueCounts(df).quantiles(wanted).first() or [0] + [None] * len(wanted)
-    assert [str(v) for v in by_pivots[1:]] == [str(v) for v in built_in]
     assert [str(v) for v in by_counts[1:]] == [str(v) for v in built_in]
 
 
-def test_numeric_profile_is_the_same_either_way(spark, mixed, tight):
-    by_pivots = profile.profile_numeric(mixed, counted_rows=0).collect()
-    assert by_pivots == profile.profile_numeric(mixed).collect()
-    assert len(by_pivots) == 5
+def test_profiles_without_a_fitting_column(spark):
+    text, numbers = spark.createDataFrame([("a",)], "t string"), spark.range(3)
+    assert profile.profile_numeric(text).collect() == [] and profile.numeric_summary(text).collect() == []
+    assert profile.profile_string(numbers).collect() == []
+    assert profile.profile_numeric(text).columns == profile.profile_numeric(numbers).columns
 
 
-def test_ordinal_quartiles_follow_sorted_positions(spark, tight):
+def test_ordinal_quartiles_follow_sorted_positions(spark):
     wanted = (Quantile("q1", 0.25, ORDINAL), Quantile("q3", 0.75, ORDINAL))
     for n in (1, 2, 3, 4, 5, 7, 8, 41, 200):
         df = spark.range(n).select((F.col("id") * 37 % 101).cast("double").alias("x"))
         ordered = sorted(i * 37 % 101 for i in range(n))
-        for row in (pivot_quantiles(df, {0: F.col("x")}, wanted).first(), ValueCounts(df).quantiles(wanted).first()):
-            assert (row.q1, row.q3) == (ordered[n // 4], ordered[3 * n // 4]), n
+        row = ValueCounts(df).quantiles(wanted).first()
+        assert (row.q1, row.q3) == (ordered[n // 4], ordered[3 * n // 4]), n
 
 
 def test_text_to_double(spark):

@@ -70,13 +70,14 @@ def test_pages_add_up_to_the_sorted_table(skewed):
     assert got == whole and paging.page_count(0) == 1 and paging.page_count(101, 100) == 2
 
 
-def test_deep_pages_read_written_rows(spark, skewed, monkeypatch):
-    monkeypatch.setattr(paging, "DEEP_ROWS", 100)
+def test_pages_of_a_query_and_of_written_rows(spark, skewed):
     order = [F.col("o"), F.col("id")]
     whole = [r.id for r in skewed.orderBy(*order).collect()]
+    stored = paging.write_rows(skewed.orderBy(*order))
+    assert stored.dense
     for limit, offset in ((10, 95), (500, 1234), (100, 5950), (5, 6000), (0, 200)):
-        got = [r.id for r in paging.page(skewed, limit, offset, order).collect()]
-        assert got == whole[offset:offset + limit], (limit, offset)
+        for page in (paging.page(skewed, limit, offset, order), stored.page(limit, offset)):
+            assert [r.id for r in page.collect()] == whole[offset:offset + limit], (limit, offset)
 
 
 def test_stored_page_prunes_the_scan(spark, skewed):

@@ -48,11 +48,9 @@ def test_queries(bench):
     ]
 
 
-def test_deep_pages_of_a_query_are_written_once(bench, monkeypatch):
-    from tallygrid import workbench
-    monkeypatch.setattr(workbench, "DEEP_ROWS", 100)
+def test_pages_of_a_query_are_written_once(bench):
     sql = "SELECT id FROM sales ORDER BY id DESC"
-    for offset in (1000, 2450, 2499, 2500):
+    for offset in (0, 1000, 2450, 2499, 2500):
         page = bench.execute(sql, 100, offset)
         assert [r[0] for r in page.data] == list(range(2499 - offset, -1, -1))[:100] and page.total_rows == 2500
     assert len(bench._results) == 1
@@ -111,6 +109,8 @@ def test_tables_made_by_statements(bench, spark, tmp_path):
     made = bench.execute(f"CREATE TABLE {name} USING parquet LOCATION '{tmp_path}/t' AS SELECT city, id FROM sales")
     assert made.error is None and made.columns == []
     assert bench.execute(f"INSERT INTO {name} VALUES ('C', -1)").error is None
+    assert bench.table_info(name).row_count == 2501 and name in [t.name for t in bench.tables()]
+    assert bench.columns().where(f"table_name = '{name}'").count() == 2 and bench.search(name).count() == 1
     assert [r.row_count for r in bench.analyze_table(name).collect()] == [2501, 2501]
     assert bench.analyze_column(name, "city").first().unique_count == 3
     assert bench.execute(f"DROP TABLE {name}").error is None
@@ -118,6 +118,30 @@ def test_tables_made_by_statements(bench, spark, tmp_path):
         bench.analyze_table(name)
 
 
+def test_changes_by_statement(bench):
+    run = lambda sql: bench.execute(sql).error
+    assert run("INSERT INTO sales VALUES (9001, 'X', 1.5), (9002, 'X', NULL);") is None
+    assert run("INSERT INTO sales (price, id) SELECT 7, 9003") is None
+    assert bench.execute("SELECT id, city, price FROM sales WHERE id > 9000 ORDER BY id").data == [
+        [9001, "X", 1.5], [9002, "X", None], [9003, None, 7.0]]
+    assert run("UPDATE sales SET city = concat(city, 'Y'), price = price + 1 WHERE id IN (9001, 9002)") is None
+    assert bench.execute("SELECT city, price FROM sales WHERE id = 9001").data == [["XY", 2.5]]
+    assert run("DELETE FROM sales WHERE id < 2500 AND city LIKE 'A%'") is None
+    assert bench.table_info("sales").row_count == 1253
+    assert run("ALTER TABLE sales ADD COLUMNS (note STRING, n INT)") is None
+    assert run("ALTER TABLE sales RENAME COLUMN note TO remark") is None and run("ALTER TABLE sales DROP COLUMN n") is None
+    assert bench.table("sales").columns == ["id", "city", "price", "remark"]
+    assert [r.line for r in bench.rejects("sales").collect()] == ["bad"] and bench.table_info("sales").file_size > 0
+    assert run("DELETE FROM gone WHERE a = 1") and run("DELETE FROM sales WHERE nothing = 1") and run("INSERT INTO sales VALUES (1)")
+    assert run("DROP TABLE sales") is None and bench.table_info("sales") is None and bench.table_data("sales").error
+    assert not bench.drop_table("sales")
+
+
+def test_results_with_repeated_and_untyped_columns(bench):
+    page = bench.execute("SELECT id AS a, id AS a, NULL AS b FROM sales ORDER BY id", 2, 0)
+    assert page.columns == ["a", "a", "b"] and page.data == [[0, 0, None], [1, 1, None]] and page.total_rows == 2500
+
+
 def test_unknown_conditions_change_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, 5), (3, 9)], "a int, b int")
     assert sorted(r.a for r in changes.delete(df, F.col("b") > 6).collect()) == [1, 2]
