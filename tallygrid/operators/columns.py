@@ -76,3 +76,17 @@ COLUMN_QUERIES = {
     "filter_null": filter_null,
     "filter_not_null": filter_not_null,
 }
+
+
+def not_in(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows whose value is NOT IN a column of another table, by SQL's rule for NULL.
+
+    A NULL on either side makes the answer unknown, unless the other table is empty. Two
+    counts of the other table tell that, so neither side has to be shipped whole.
+    """
+    listed = others.select(col(other).alias("__listed"))
+    facts = listed.agg(F.count(F.lit(1)).alias("__all"), F.count("__listed").alias("__known")).withColumn("__one", F.lit(1))
+    open_ = (F.col("__all") == 0) | ((F.col("__all") == F.col("__known")) & F.col("__value").isNotNull())
+    rows = df.withColumns({"__value": col(column), "__one": F.lit(1)})
+    kept = rows.join(listed.distinct(), F.col("__value") == F.col("__listed"), "left_anti")
+    return kept.join(F.broadcast(facts), "__one").where(open_).select(*[col(c) for c in df.columns])  # facts: one row

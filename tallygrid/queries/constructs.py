@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrid.operators.columns import not_in
 from tallygrid.plans.split_window import SplitWindow
 from tallygrid.queries.profiles import GAPS_ORACLE, orders_with_gaps
 from tallygrid.queries.registry import query, table
@@ -68,10 +69,9 @@ def sql_limit(spark, folder):
 )
 def sql_group_having(spark, folder):
     grouped = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"),
-        F.round(F.avg("l_discount"), 6).alias("discount"),
-    )
-    return grouped.where(F.col("quantity") > 15000)
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"))
+    return grouped.where(F.col("quantity") > 15000).select(
+        "l_suppkey", "n", F.round("quantity", 2).alias("quantity"), F.round("discount", 6).alias("discount"))
 
 
 def _revenue_per_order(spark, folder):
@@ -91,7 +91,7 @@ def join_inner(spark, folder):
     orders = table(spark, folder, "orders")
     lines = _revenue_per_order(spark, folder)
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey).groupBy("o_orderpriority", "o_orderstatus").agg(
-        F.count(F.lit(1)).alias("n_orders"), F.sum("n_lines").alias("n_lines"), F.round(F.sum("revenue"), 2).alias("revenue")
+        F.count_distinct("o_orderkey").alias("n_orders"), F.sum("n_lines").alias("n_lines"), F.round(F.sum("revenue"), 2).alias("revenue")
     )
 
 
@@ -129,29 +129,28 @@ def join_rows(spark, folder):
     )
 
 
-def _large_per_customer(spark, folder):
-    return table(spark, folder, "orders").where(F.col("o_totalprice") > 450000).groupBy("o_custkey").agg(
+def _orders_per_customer(spark, folder):
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("largest")
     )
 
 
-_LARGE = """(SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS largest FROM orders
-             WHERE o_totalprice > 450000 GROUP BY o_custkey)"""
+_ORDERED = """(SELECT o_custkey, COUNT(*) AS n, MAX(o_totalprice) AS largest FROM orders GROUP BY o_custkey)"""
 
 
-@query("join_left", f"SELECT c_custkey, c_name, n, largest FROM customer LEFT JOIN {_LARGE} ON c_custkey = o_custkey")
+@query("join_left", f"SELECT c_custkey, c_name, n, largest FROM customer LEFT JOIN {_ORDERED} ON c_custkey = o_custkey")
 def join_left(spark, folder):
-    customer, large = table(spark, folder, "customer"), _large_per_customer(spark, folder)
-    return customer.join(large, customer.c_custkey == large.o_custkey, "left").select("c_custkey", "c_name", "n", "largest")
+    customer, ordered = table(spark, folder, "customer"), _orders_per_customer(spark, folder)
+    return customer.join(ordered, customer.c_custkey == ordered.o_custkey, "left").select("c_custkey", "c_name", "n", "largest")
 
 
 @query(
     "join_right",
-    f"SELECT o_custkey, n, c_custkey, c_mktsegment FROM {_LARGE} RIGHT JOIN customer ON c_custkey = o_custkey",
+    f"SELECT o_custkey, n, c_custkey, c_mktsegment FROM {_ORDERED} RIGHT JOIN customer ON c_custkey = o_custkey",
 )
 def join_right(spark, folder):
-    customer, large = table(spark, folder, "customer"), _large_per_customer(spark, folder)
-    return large.join(customer, customer.c_custkey == large.o_custkey, "right").select(
+    customer, ordered = table(spark, folder, "customer"), _orders_per_customer(spark, folder)
+    return ordered.join(customer, customer.c_custkey == ordered.o_custkey, "right").select(
         "o_custkey", "n", "c_custkey", "c_mktsegment"
     )
 
@@ -201,51 +200,64 @@ def join_semi(spark, folder):
 @query(
     "join_anti",
     """SELECT c_custkey, c_name FROM customer
-       WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000 AND o_custkey IS NOT NULL)
+       WHERE NULLIF(c_custkey, 7) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)
          AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 3)""",
 )
 def join_anti(spark, folder):
     customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
-    buyers = table(spark, folder, "orders").where(F.col("o_totalprice") > 480000).select("o_custkey").distinct()
+    buyers = table(spark, folder, "orders").where(F.col("o_totalprice") > 480000)
     near = nation.where(F.col("n_regionkey") < 3)
-    return (
-        customer.join(buyers, customer.c_custkey == buyers.o_custkey, "left_anti")
-        .join(near, customer.c_nationkey == near.n_nationkey, "left_anti").select("c_custkey", "c_name")
-    )
+    nullable = customer.withColumn("key", F.nullif("c_custkey", F.lit(7)))
+    return not_in(nullable, "key", buyers, "o_custkey").join(
+        near, nullable.c_nationkey == near.n_nationkey, "left_anti").select("c_custkey", "c_name")
+
+
+@query(
+    "join_not_in_null",
+    """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 1) FROM orders WHERE o_custkey < 5)
+       UNION ALL SELECT c_custkey FROM customer WHERE NULLIF(c_custkey, 7) NOT IN (SELECT o_custkey FROM orders WHERE o_custkey < 0)""",
+)
+def join_not_in_null(spark, folder):
+    """A list with NULL lets nothing through, an empty list everything, NULL too."""
+    customer, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
+    listed = orders.where("o_custkey < 5").select(F.nullif("o_custkey", F.lit(1)).alias("key"))
+    nullable = customer.withColumn("key", F.nullif("c_custkey", F.lit(7)))
+    return not_in(customer, "c_custkey", listed, "key").select("c_custkey").unionAll(
+        not_in(nullable, "key", orders.where("o_custkey < 0"), "o_custkey").select("c_custkey"))
 
 
 def _keys(spark, folder):
-    customers = table(spark, folder, "customer").where(F.col("c_acctbal") < 5000).select(F.col("c_custkey").alias("key"))
-    buyers = table(spark, folder, "orders").where(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("key"))
-    return customers, buyers
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("key"))
+    buyers = table(spark, folder, "orders").select(F.col("o_custkey").alias("key"))
+    return parts, buyers
 
 
-_CUSTOMER_KEYS = "SELECT c_custkey AS key FROM customer WHERE c_acctbal < 5000"
-_BUYER_KEYS = "SELECT o_custkey AS key FROM orders WHERE o_totalprice > 400000"
+_PART_KEYS = "SELECT p_partkey AS key FROM part"
+_BUYER_KEYS = "SELECT o_custkey AS key FROM orders"
 
 
-@query("set_union", f"{_CUSTOMER_KEYS} UNION {_BUYER_KEYS}")
+@query("set_union", f"{_PART_KEYS} UNION {_BUYER_KEYS}")
 def set_union(spark, folder):
-    customers, buyers = _keys(spark, folder)
-    return customers.union(buyers).distinct()
+    parts, buyers = _keys(spark, folder)
+    return parts.union(buyers).distinct()
 
 
-@query("set_union_all", f"{_CUSTOMER_KEYS} UNION ALL {_BUYER_KEYS}")
+@query("set_union_all", f"{_PART_KEYS} UNION ALL {_BUYER_KEYS}")
 def set_union_all(spark, folder):
-    customers, buyers = _keys(spark, folder)
-    return customers.union(buyers)
+    parts, buyers = _keys(spark, folder)
+    return parts.union(buyers)
 
 
-@query("set_except", f"{_CUSTOMER_KEYS} EXCEPT {_BUYER_KEYS}")
+@query("set_except", f"{_PART_KEYS} EXCEPT {_BUYER_KEYS}")
 def set_except(spark, folder):
-    customers, buyers = _keys(spark, folder)
-    return customers.distinct().subtract(buyers.distinct())
+    parts, buyers = _keys(spark, folder)
+    return parts.distinct().subtract(buyers.distinct())
 
 
-@query("set_intersect", f"{_CUSTOMER_KEYS} INTERSECT {_BUYER_KEYS}")
+@query("set_intersect", f"{_PART_KEYS} INTERSECT {_BUYER_KEYS}")
 def set_intersect(spark, folder):
-    customers, buyers = _keys(spark, folder)
-    return customers.distinct().intersect(buyers.distinct())
+    parts, buyers = _keys(spark, folder)
+    return parts.distinct().intersect(buyers.distinct())
 
 
 @query(

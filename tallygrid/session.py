@@ -36,17 +36,17 @@ def build_session(app_name: str = "tallygrid", master: str | None = None, **extr
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Where it is unset, a cluster falls back to the warehouse (shared by
-    definition) and a local master to a temporary folder.
+    Where it is unset, a local master gets a temporary folder; on a cluster there is no
+    safe guess, so it has to be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallygrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tallygrid"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="tallygrid-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
