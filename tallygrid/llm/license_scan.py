@@ -71,7 +71,7 @@ def templates(spark: SparkSession, texts: dict[str, list[str]] | None = None) ->
 
 def _words(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), APART, " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(plain, " "), "")  # an empty text splits into one empty word
 
 
 def _bigrams(frame: DataFrame, *keys: str) -> DataFrame:
@@ -95,15 +95,18 @@ def license_scan(docs: DataFrame, licenses: DataFrame, percent: int = PERCENT) -
     empty. Other columns are ignored.
     """
     notices = licenses.select("license_id", _words(F.col("text")).alias("words")).distinct()
+    # a part outside these sizes cannot reach the threshold with any template
+    least, most = notices.where("size(words) >= 2").agg(F.min(F.size("words") - 1), F.max(F.size("words") - 1)).first()
+    fits = F.size("words").between((percent * (least or 0)) // (200 - percent) + 1, (200 - percent) * (most or 0) // percent + 2)
     notices = _bigrams(notices.withColumn("template", F.xxhash64("license_id", "words")), "license_id", "template").groupBy(
         "license_id", "template", "size", "gram").agg(F.count("gram").alias("in_notice")).withColumnRenamed("size", "notice_size")
 
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n\n+"), F.array(text)))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(parts).alias("part")).select(
-        "doc_id", _words(F.col("part")).alias("words"))
+    # words come out of the explode, so that the filter behind it does not work them out again
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.transform(parts, _words)).alias("words"))
     # equal word sequences of a document are one part, wherever they stand
-    rows = rows.where("size(words) >= 2").withColumn("part", F.xxhash64("words"))
+    rows = rows.where(fits & (F.size("words") >= 2)).withColumn("part", F.xxhash64("words"))
     shared = (
         _bigrams(rows, "doc_id", "part")
         .join(notices, "gram")
