@@ -4,11 +4,16 @@
     digests = run(spark, folder_of_the_tables)
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last give back rows
-of `documents` with all their columns; the last gives one row per written document.
+of `documents` with all their columns; the last gives one row per written document. A
+stage's result has to be stored before the next stage begins, which deletes the
+intermediates that the result rests on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +22,25 @@ from tallygrid.llm.jaccard_join import jaccard_join
 from tallygrid.llm.q_decontamination import benchmark_items
 from tallygrid.llm.q_tokens import token_digests
 from tallygrid.llm.robust_outliers import kept_by_quality
-from tallygrid.llm.shared import table, without_ids, written
+from tallygrid.llm.shared import intermediates, table, without_ids, written
 from tallygrid.llm.source_mixing import mixed, repeated_by_mix
 
 
+def _stage(build: Callable) -> Callable:
+    @wraps(build)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with intermediates(spark, "pipeline"):
+            return build(spark, docs, sf_dir)
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the robust distance keep."""
     return kept_by_quality(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at 0.8 or more connect: the smallest doc_id.
 
@@ -44,16 +59,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionAll(best.select("row.*"))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     return without_ids(docs, contaminated(docs, benchmark_items(spark, sf_dir)))
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return repeated_by_mix(docs, mixed(docs))
 
 
+@_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Start, number and checksum of each document's ids in the token table, read back from its files."""
     return token_digests(spark, docs)

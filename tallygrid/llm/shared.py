@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from tallygrid.sources.files import delete_folder
 FILTER_BITS = 1 << 23
 _BITMAP_BITS = 32768
 
-_written: list[str] = []
+#: Folders of intermediates by what they belong to.
+_written: dict[str, list[str]] = {}
+_scope = ""
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -48,7 +51,7 @@ def map_arrow(frame: DataFrame, function: Callable, schema: str | StructType) ->
 def temporary_folder(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder, deleted by `release`."""
     folder = new_folder(spark, label)
-    _written.append(folder)
+    _written.setdefault(_scope, []).append(folder)
     return folder
 
 
@@ -60,10 +63,23 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediates of all results so far; call it once these are stored."""
-    while _written:
-        delete_folder(spark, _written.pop())
+def release(spark: SparkSession, scope: str | None = None) -> None:
+    """Delete the intermediates of all results so far, or of one scope; call it once these are stored."""
+    for name in [scope] if scope is not None else list(_written):
+        for folder in _written.pop(name, []):
+            delete_folder(spark, folder)
+
+
+@contextmanager
+def intermediates(spark: SparkSession, scope: str) -> Iterator[None]:
+    """What is written in the block belongs to `scope`, whose earlier intermediates go."""
+    global _scope
+    release(spark, scope)
+    before, _scope = _scope, scope
+    try:
+        yield
+    finally:
+        _scope = before
 
 
 def slot(column: Column) -> Column:
