@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from tallygrid.llm import words as W
 from tallygrid.llm.components import components
 from tallygrid.llm.decontamination import contaminated, retrieve, split_item
 from tallygrid.llm.jaccard_join import jaccard_join
-from tallygrid.llm.license_scan import license_scan, templates
+from tallygrid.llm.license_scan import TEMPLATES, license_scan, templates
 from tallygrid.llm.recompression import remove_repeats
 from tests.llm.conftest import words_of
 
@@ -189,6 +189,35 @@ def test_license_scan(spark):
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
 
 
+def test_license_scan_within_longer_parts(spark):
+    """Notices whose line or paragraph goes on, against all stretches as long as a template."""
+    mit, wrapped = "Released under the MIT License.", TEMPLATES["BSD-3-Clause"][0].replace(" ", "\r\n", 4)
+    rows = [(1, f"{mit} See the file COPYING for details."), (2, "prose " * 300 + mit + " prose" * 300),
+            (3, "Copyright (c) 2020 Example Inc. All rights reserved."), (4, f"a b c\r\n\r\n{wrapped}\r\n \r\nd e f"),
+            (5, "released under under under under the other words here"), (5, "the the the license mit the released " * 20),
+            (6, f"x {mit} y {mit} z"), (6, f"x {mit} y {mit} z"), (7, f"{mit}\nand then {mit} again and again")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.license_id): (r.dice, r.n_parts) for r in license_scan(frame, templates(spark)).collect()}
+
+    def bag(text):
+        w = re.findall("[a-z0-9]+", text.lower())
+        return [tuple(w[k : k + 2]) for k in range(len(w) - 1)]
+
+    wanted = defaultdict(float)
+    for i, text in rows:
+        own = bag(text)
+        for key, notices in TEMPLATES.items():
+            for notice in map(bag, notices):
+                parts = [bag(x) for x in (*text.split("\n"), *re.split(r"\r?\n[ \t]*\r?\n", text), text)]
+                for part in parts + [own[k : k + len(notice)] for k in range(len(own) - len(notice) + 1)]:
+                    dice = 2 * (Counter(part) & Counter(notice)).total() / (len(part) + len(notice))
+                    if dice >= 0.7:
+                        wanted[i, key] = max(wanted[i, key], dice)
+    assert {k: v[0] for k, v in got.items()} == wanted
+    assert {(i, "MIT") for i in (1, 2, 6, 7)} | {(4, "BSD-3-Clause")} <= got.keys()
+    assert got[7, "MIT"] == (1.0, 1) and got[1, "MIT"] == (1.0, 1)
+
+
 def test_words_agree_with_split(texts):
     import pyarrow as pa
     column = pa.array([r[1] for r in texts])
