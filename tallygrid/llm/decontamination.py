@@ -33,6 +33,8 @@ THRESHOLD = 0.5
 #: Part of the word triples of the question, and of the answer, that must stand near the passage.
 OVERLAP = 0.6
 GRAM = 3
+#: A part of fewer triples may be judged by its words, of which one may be missing.
+FEW_GRAMS = 3
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
 #: Words of the items indexed at once; some 100 MB of postings.
@@ -52,7 +54,8 @@ class Index:
     impacts: np.ndarray
     ids: list                # item ids
     sizes: np.ndarray        # words per item
-    parts: list              # per item, for question and answer, width and numbers of the word triples
+    parts: list              # per item, for question and answer, width and numbers of the word triples, and numbers of the words
+    wholes: list             # per item, width and numbers of the word triples of both
     blocks: int
 
 
@@ -91,7 +94,8 @@ def _built(rows: list, known: dict[int, int], n_items: int, mean_words: float) -
         score = idf * times * (K1 + 1) / (times + K1 * (1 - B + B * len(both) / mean_words))
         windows = [both[k : k + STRIDE] for k in range(max(1, len(both) - STRIDE + 1))]
         norm = min(score[np.isin(names, w)].sum() for w in windows)
-        scored.append((norm, row.item_id, names, score / norm, len(both), (_grams(question), _grams(answer))))
+        scored.append((norm, row.item_id, names, score / norm, len(both), 
+                       [(*_grams(x), np.unique(x)) for x in (question, answer)], _grams(both)))
     scored.sort(key=lambda x: x[0])
     names = np.unique(np.concatenate([x[2] for x in scored]))
     term = np.concatenate([np.searchsorted(names, x[2]) for x in scored])
@@ -110,7 +114,8 @@ def _built(rows: list, known: dict[int, int], n_items: int, mean_words: float) -
     np.maximum.at(block_most, inverse, impact)
     return Index(
         names, rank, most[order], np.searchsorted(block_keys, np.arange(len(names) + 1) * blocks), block_keys, block_most,
-        keys[by], impact[by], [x[1] for x in scored], np.array([x[4] for x in scored]), [x[5] for x in scored], blocks)
+        keys[by], impact[by], [x[1] for x in scored], np.array([x[4] for x in scored]), [x[5] for x in scored],
+        [x[6] for x in scored], blocks)
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -171,6 +176,21 @@ def retrieve(index: Index, words: np.ndarray, chunks: np.ndarray, ends: np.ndarr
     return owner[keep], item[keep], score[keep]
 
 
+def _held(index: Index, item: int, near: np.ndarray, shares: list[float], overlap: float) -> bool:
+    """Whether words hold an item: by both of its parts, short ones by their words, or by all its triples."""
+    if min(shares) >= overlap:
+        return True
+    width, grams = index.wholes[item]
+    if np.isin(grams, W.grams(near, width)).mean() >= overlap:
+        return True
+    # the other part has to vouch for a part of few triples
+    if max(shares) < overlap or not all(len(g) for _, g, _ in index.parts[item]):
+        return False
+    return all(
+        share >= overlap or len(g) < FEW_GRAMS and np.isin(own, near).sum() >= min(len(own) - 1, overlap * len(own))
+        for share, (_, g, own) in zip(shares, index.parts[item]))
+
+
 _HITS = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
 
@@ -193,8 +213,8 @@ def _searched(docs: DataFrame, index: Index, threshold: float, overlap: float) -
                     own = part.hashes[part.at[row] : part.at[row + 1]]
                     begin, margin = (c - before[row]) * STRIDE, int(index.sizes[item])
                     near = own[max(0, begin - margin) : begin + 2 * STRIDE + margin]
-                    shares = [np.isin(g, W.grams(near, width)).mean() if len(g) else 1.0 for width, g in index.parts[item]]
-                    if min(shares) >= overlap:
+                    shares = [np.isin(g, W.grams(near, width)).mean() if len(g) else 1.0 for width, g, _ in index.parts[item]]
+                    if _held(index, item, near, shares, overlap):
                         found.append((part.first + row, index.ids[item], score, *shares))
                 rows, ids, *numbers = list(zip(*found)) if found else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
@@ -220,8 +240,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     item of `items (item_id, question, answer)`.
 
     A pair is reported where a passage reaches `threshold` and both the question's and the
-    answer's word triples stand near it to the part `overlap`; one row per pair, with the
-    best score. Words are runs of letters and digits, A-Z in lower case.
+    answer's word triples stand near it to the part `overlap`, or the item's triples all together
+    do; a part of one or two triples may instead miss one of its words, or as many as `overlap` lets.
+    One row per pair, with the best score and the shares of the triples. Words are runs of letters and digits, A-Z in lower case.
 
     Null and empty texts hold nothing; an item without words is left out, one without an
     answer (or question) is judged by the other part. Null ids are reported as null.
