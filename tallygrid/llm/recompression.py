@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     key = ["key1", "key2", "n_words"]
     first = parsed.groupBy(*key).agg(F.min("doc_id").alias("first_id"))
     copies = parsed.select("doc_id", *key).join(first, key).where("doc_id > first_id").select(
-        "doc_id", "key1", F.array(F.lit(0), F.col("n_words").cast("int") - 1).alias("spans"))
+        "doc_id", "key1", F.array(F.lit(0), F.col("n_words").cast("int") - 1).alias("spans")).distinct()
     texts = written(
         parsed.join(first, key).where("doc_id = first_id").drop("first_id", "key2").dropDuplicates(["doc_id", "key1"]), "texts")
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tallygrid.llm import words as W
-from tallygrid.llm.recompression import recompress
+from tallygrid.llm.recompression import recompress, remove_repeats
 
 
 @pytest.mark.parametrize("letters", [1, 2, 3, 8, 60])
@@ -27,3 +27,10 @@ def test_symbols_follow_from_their_context(letters):
             inside.append(set(symbols[own].tolist()))
             everywhere.append(set(symbols[row == 1].tolist()))
         assert inside[0] <= everywhere[1] and inside[1] <= everywhere[0]
+
+
+def test_a_repeated_row_that_is_a_copy_of_an_earlier_document(spark):
+    text = " ".join(f"word{k}" for k in range(70))
+    docs = spark.createDataFrame([(1, text), (2, text), (2, text), (2, text)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(docs, 50).collect())
+    assert got == [(1, 70, 0)] + [(2, 70, 70)] * 3
