@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.ansi.enabled": "true",
@@ -66,3 +70,34 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
+
+
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_tallygrid_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallygrid-code-"), "tallygrid.zip")  # read by the driver only
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
+    context.addPyFile(archive)
+    context._tallygrid_shipped = True
+
+
+def map_arrow(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """`mapInArrow` by functions of this package."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(function, schema)
+
+
+def map_pandas(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """`mapInPandas` by functions of this package."""
+    ship(frame.sparkSession)
+    return frame.mapInPandas(function, schema)

@@ -1,4 +1,4 @@
-"""Delimiter, quote and record layout of CSV text, from its first lines."""
+"""Separator and quote of CSV text, from the field counts of all its lines."""
 
 from __future__ import annotations
 
@@ -18,19 +18,44 @@ class Dialect:
     multiline: bool = False
 
 
-def _records(lines: list[str], sep: str, quote: str) -> list[list[str]]:
+def records_of(lines: list[str], sep: str, quote: str) -> list[list[str]]:
     return [r for r in csv.reader([l + "\n" for l in lines], delimiter=sep, quotechar=quote) if r]
 
 
+def choose(widths: dict[tuple[str, str], Counter], header: str) -> Dialect:
+    """The dialect under which most lines have as many fields as the header, and more than one.
+
+    `widths` counts, for each (quote, separator), the lines by their number of fields. Of separators that fit
+    equally many lines the one with more fields counts, and `"` before `'`.
+    """
+    best, best_score = Dialect(), None
+    for quote in QUOTES:
+        for sep in DELIMITERS:
+            own = widths.get((quote, sep))
+            if not own:
+                continue
+            first = records_of([header], sep, quote)
+            width = len(first[0]) if first else 1
+            if width < 2:
+                # no field is parted in the header: the commonest number of fields speaks, but weakly
+                width, rows = max(own.items(), key=lambda item: (item[1], item[0]))
+                score = (0, rows, width)
+            else:
+                score = (1, own[width], width)
+            if width >= 2 and (best_score is None or score > best_score):
+                best, best_score = Dialect(sep, quote), score
+    return best
+
+
 def sniff(lines: list[str]) -> Dialect:
-    """The dialect under which the lines split most evenly into most fields."""
+    """The dialect under which a few lines at hand split most evenly into most fields."""
     lines = [l for l in lines if l.strip()]
     best, best_score = Dialect(), None
     for quote in QUOTES:
         if quote == "'" and not _wraps_fields(lines, quote):
             continue
         for sep in DELIMITERS:
-            records = _records(lines, sep, quote)
+            records = records_of(lines, sep, quote)
             width, rows = Counter(map(len, records)).most_common(1)[0] if records else (1, 0)
             if width < 2:
                 continue
@@ -68,5 +93,5 @@ def column_names(header: list[str]) -> list[str]:
 
 
 def header_of(lines: list[str], dialect: Dialect) -> list[str]:
-    records = _records(lines, dialect.sep, dialect.quote)
+    records = records_of(lines, dialect.sep, dialect.quote)
     return column_names(records[0] if records else [])

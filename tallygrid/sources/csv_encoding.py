@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.session import map_pandas
+
 # bytes and lines of a file's head, from which its delimiter and header are read
 HEAD_BYTES = 100_000
 HEAD_LINES = 1_000
@@ -38,11 +40,11 @@ def decide(bom: str | None, utf8: bool, nul: bool, gb: bool, paired: int, unpair
     return GB18030 if gb and paired > unpaired else LATIN1
 
 
-def _bom(head: bytes) -> str | None:
+def bom_of(head: bytes) -> str | None:
     return next((name for mark, name in _BOMS if head.startswith(mark)), None)
 
 
-def _gb_evidence(raw: bytes) -> tuple[bool, int, int]:
+def gb_evidence(raw: bytes) -> tuple[bool, int, int]:
     try:
         text = raw.decode("gb18030")
     except UnicodeDecodeError:
@@ -70,7 +72,7 @@ def encoding_of(raw: bytes) -> str:
         utf8 = True
     except UnicodeDecodeError:
         utf8 = False
-    return decide(_bom(raw), utf8, bool(raw) and raw.count(0) * 4 >= len(raw), *_gb_evidence(raw))
+    return decide(bom_of(raw), utf8, bool(raw) and raw.count(0) * 4 >= len(raw), *gb_evidence(raw))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -81,7 +83,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 def _look_at_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [_gb_evidence(bytes(v)) for v in batch["value"]]
+        found = [gb_evidence(bytes(v)) for v in batch["value"]]
         evidence = pd.DataFrame(found, columns=["gb", "paired", "unpaired"])
         evidence.insert(0, "file", batch["file"].to_numpy())
         yield (
@@ -102,7 +104,7 @@ def audit_encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     odd = lines.where(~F.is_valid_utf8(F.col("value").cast("string"))).select("file", "value")
     evidence = (
-        odd.mapInPandas(_look_at_lines, "file string, gb boolean, paired bigint, unpaired bigint")
+        map_pandas(odd, _look_at_lines, "file string, gb boolean, paired bigint, unpaired bigint")
         .groupBy("file")
         .agg(F.bool_and("gb").alias("gb"), F.sum("paired").alias("paired"), F.sum("unpaired").alias("unpaired"))
     )

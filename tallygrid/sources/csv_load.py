@@ -1,10 +1,12 @@
 """Forgiving CSV load: schema of all rows, good rows and reject table.
 
-One pass over the lines finds each file's encoding, header and quotes left open at a line's
-end; files that agree in these are read together, and columns of different files meet by
-name. One pass over the fields finds the types that fit every value; a last one casts by
-explicit rules and writes Parquet: rows that fit under `__ok=true` with a row id, rows
-that do not (wrong number of fields, or a value that does not cast to a type the caller
+One pass over the lines finds each file's encoding, header, separator, quote, and whether lines
+leave quotes open (`csv_lines`); files that agree in these are read together, and columns of
+different files meet by name. Where quotes are left open, records are put together
+from lines (`csv_records`); other files Spark's reader takes as they are. One pass over the
+fields finds the types that fit every value; a last one casts by explicit rules and
+writes Parquet: rows that fit under `__ok=true` with a row id, rows that do not (wrong
+number of fields, a quote left open, or a value that does not cast to a type the caller
 gave) under `__ok=false` with their text and the reason.
 """
 
@@ -19,15 +21,14 @@ from pyspark.sql import types as T
 
 from tallygrid.plans.paging import WrittenRows, with_row_id
 from tallygrid.session import new_folder, setting
-from tallygrid.sources.csv_dialect import Dialect, header_of, sniff
-from tallygrid.sources.csv_encoding import UTF16, audit_encodings, detect_encoding, head_bytes
+from tallygrid.sources.csv_dialect import QUOTES, Dialect, choose, header_of
+from tallygrid.sources.csv_encoding import UTF16, head_bytes
+from tallygrid.sources.csv_lines import LineFacts, line_facts
+from tallygrid.sources.csv_records import records
 from tallygrid.sources.files import exists, list_files
 from tallygrid.types import col, text_to_double
 
-# lines of the head from which the delimiter is read
-SNIFF_LINES = 200
-
-_CORRUPT, _FILE, _OK, _REASON, _LINE = "__corrupt", "__file", "__ok", "__reason", "__line"
+_CORRUPT, _FILE, _OK, _REASON, _LINE, _OPEN = "__corrupt", "__file", "__ok", "__reason", "__line", "__open"
 _PYTHON_CODEC = {"ISO-8859-1": "latin-1"}
 _WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
 _DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
@@ -123,75 +124,62 @@ class LoadedCsv:
 
 @dataclass
 class _Group:
-    """Files of one encoding, header and record layout."""
+    """Files of one encoding, header and dialect."""
 
     files: list[str]
     plan: CsvPlan
+    returns: bool = False
 
 
-def _line_facts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """`(file, header, odd)`: each file's first line, and how many lines hold an odd number of double quotes."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"),
-        F.monotonically_increasing_id().alias("at"), (F.col("_metadata.file_block_start") == 0).alias("first"))
-    text = F.col("value").cast("string")
-    quotes = F.octet_length(text) - F.octet_length(F.replace(text, F.lit('"'), F.lit("")))
-    return lines.groupBy("file").agg(
-        F.min_by("value", F.when(F.col("first"), F.col("at"))).alias("header"),
-        F.sum((quotes % 2).cast("bigint")).alias("odd"))
-
+def _codec(encoding: str) -> str:
+    return _PYTHON_CODEC.get(encoding, encoding)
 
-def examine(
-    spark: SparkSession, path: str, encoding: str | None = None, dialect: Dialect | None = None, odd: int | None = None
-) -> CsvPlan:
-    """Encoding, dialect and column names of a file.
 
-    A quoted line break leaves quotes open on two lines. So records go over lines where the number
-    of such lines in the whole file, `odd`, is even; a single quote left open is that row's own fault.
-    """
-    encoding = encoding or detect_encoding(spark, path)
-    text = head_bytes(spark, path).decode(_PYTHON_CODEC.get(encoding, encoding), errors="replace").lstrip("\ufeff")
-    lines = text.splitlines()[:SNIFF_LINES]
-    if dialect is None:
-        found = sniff(lines)
-        if odd is None:
-            odd = _line_facts(spark, path).agg(F.sum("odd")).first()[0] or 0
-        over_lines = odd > 0 and odd % 2 == 0 if found.quote == '"' else found.multiline
-        dialect = Dialect(found.sep, found.quote, multiline=over_lines)
-    return CsvPlan(path, encoding, dialect, header_of(lines, dialect))
+def _plan(spark: SparkSession, facts: LineFacts, dialect: Dialect | None) -> CsvPlan:
+    """Dialect and column names of a file. `multiline` tells that lines with quotes left open have to be looked at."""
+    header = (facts.header or b"").decode(_codec(facts.encoding), errors="replace").strip("\ufeff\x00\r\n")
+    found = dialect or choose(facts.widths, header)
+    odd = facts.odd[QUOTES.index(found.quote)] if found.quote in QUOTES else 0
+    found = Dialect(found.sep, found.quote, multiline=odd > 0 or found.multiline)
+    lines = [header]
+    if found.multiline and header.count(found.quote) % 2:  # the header's own names hold line breaks
+        lines = head_bytes(spark, facts.file).decode(_codec(facts.encoding), errors="replace").lstrip("\ufeff").splitlines()
+    return CsvPlan(facts.file, facts.encoding, found, header_of(lines, found))
 
 
 def _grouped(
     spark: SparkSession, paths: str | list[str], encoding: str | None, dialect: Dialect | None
 ) -> list[_Group]:
-    """The files by what they agree in: as many groups as there are different headers and encodings."""
-    facts = _line_facts(spark, paths)
-    if encoding is None:
-        given = [paths] if isinstance(paths, str) else paths
-        facts = facts.join(audit_encodings(spark, given).select("file", "encoding"), "file")
-    else:
-        facts = facts.withColumn("encoding", F.lit(encoding))
-    lasting = F.when(F.col("odd") == 0, "no").when(F.col("odd") % 2 == 0, "yes").otherwise("no")
-    rows = facts.groupBy("header", "encoding", lasting.alias("lasting")).agg(
-        F.sort_array(F.collect_list("file")).alias("files")).collect()
-    groups = []
-    for r in sorted(rows, key=lambda r: r.files[0]):
-        plan = examine(spark, r.files[0], r.encoding, dialect, odd=2 if r.lasting == "yes" else 0)
-        groups.append(_Group(r.files, plan))
-    return groups
-
-
-def _raw(spark: SparkSession, paths: str | list[str], plan: CsvPlan) -> DataFrame:
+    """The files by what they agree in: as many groups as there are different headers, encodings and dialects."""
+    groups: dict[tuple, _Group] = {}
+    for facts in line_facts(spark, paths, encoding):
+        plan = _plan(spark, facts, dialect)
+        key = (facts.encoding, facts.returns, plan.dialect, tuple(plan.names))
+        groups.setdefault(key, _Group([], plan, facts.returns)).files.append(facts.file)
+    return list(groups.values())
+
+
+def _schema(plan: CsvPlan) -> T.StructType:
     """Every field as text `c0, c1, ...`, plus the line of rows that do not split evenly."""
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(plan.names))]
-    reader = spark.read.schema(T.StructType([*fields, T.StructField(_CORRUPT, T.StringType())])).options(
-        header=True, sep=plan.dialect.sep, quote=plan.dialect.quote, escape=plan.dialect.quote,
-        mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT, encoding=plan.encoding,
-    )
-    # UTF-16 line ends are two bytes, which only the whole-file reader finds
-    if plan.dialect.multiline or plan.encoding == UTF16:
-        reader = reader.option("multiLine", True)
-    return reader.csv(paths)
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*(f"c{i}" for i in range(len(plan.names))), _CORRUPT)])
+
+
+def _raw(spark: SparkSession, group: _Group) -> DataFrame:
+    """The fields of `_schema`, the file, and whether the row's quote was left open."""
+    plan = group.plan
+    options = {
+        "sep": plan.dialect.sep, "quote": plan.dialect.quote, "escape": plan.dialect.quote, "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": _CORRUPT}
+    if plan.encoding == UTF16 or not plan.dialect.multiline:
+        reader = spark.read.schema(_schema(plan)).options(header=True, encoding=plan.encoding, **options)
+        if plan.encoding == UTF16:  # line ends are two bytes, which only the whole-file reader finds
+            reader = reader.option("multiLine", True)
+        return reader.csv(group.files).select(*_schema(plan).names, F.col("_metadata.file_path").alias(_FILE), F.lit(False).alias(_OPEN))
+    rows = records(spark, group.files, plan.dialect.sep, plan.dialect.quote, len(plan.names), _codec(plan.encoding), group.returns)
+    parsed = rows.select(F.from_csv("text", _schema(plan).simpleString()[7:-1].replace(":", " "), options).alias("r"), "text", "file", "open")
+    return parsed.select(
+        *[f"r.{c}" for c in _schema(plan).names[:-1]], F.when(F.col("open"), F.col("text")).otherwise(F.col(f"r.{_CORRUPT}")).alias(_CORRUPT),
+        F.col("file").alias(_FILE), F.col("open").alias(_OPEN))
 
 
 def infer_types(raw: DataFrame, names: list[str]) -> dict[str, str]:
@@ -210,11 +198,11 @@ def _together(spark: SparkSession, groups: list[_Group], names: list[str]) -> Da
     parts = []
     for group in groups:
         own = {name: f"c{i}" for i, name in enumerate(group.plan.names)}
-        raw = _raw(spark, group.files, group.plan)
+        raw = _raw(spark, group)
         line = F.coalesce(F.col(_CORRUPT), F.concat_ws(group.plan.dialect.sep, *[F.coalesce(c, F.lit("")) for c in own.values()]))
         parts.append(raw.select(
             *[(F.col(own[n]) if n in own else F.lit(None).cast("string")).alias(f"c{i}") for i, n in enumerate(names)],
-            _CORRUPT, F.col("_metadata.file_path").alias(_FILE), line.alias(_LINE)))
+            _CORRUPT, _FILE, _OPEN, line.alias(_LINE)))
     return reduce(DataFrame.unionAll, parts)
 
 
@@ -226,7 +214,7 @@ def _typed(raw: DataFrame, names: list[str], types: dict[str, str]) -> DataFrame
         F.when(text.isNotNull() & value.isNull(), F.lit(name))
         for text, value, name in zip(kept, cast, names) if types[name] != "string"
     ]
-    reason = F.when(F.col(_CORRUPT).isNotNull(), F.lit("number of fields"))
+    reason = F.when(F.col(_OPEN), F.lit("quote left open")).when(F.col(_CORRUPT).isNotNull(), F.lit("number of fields"))
     if uncast:
         bad = F.coalesce(*uncast)
         reason = F.coalesce(reason, F.when(bad.isNotNull(), F.concat(F.lit("value of "), bad)))
@@ -254,7 +242,9 @@ def load_csv(
     """
     given = [paths] if isinstance(paths, str) else paths
     size = sum(list_files(spark, p).agg(F.sum("length")).first()[0] or 0 for p in given)
-    with setting(spark, "spark.sql.legacy.javaCharsets", "true"), \
+    # the splits of a file stay the same from pass to pass, however many executors there are by then
+    splits = str(spark.sparkContext.defaultParallelism)
+    with setting(spark, "spark.sql.legacy.javaCharsets", "true"), setting(spark, "spark.sql.files.minPartitionNum", splits), \
             setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
         groups = [g for g in _grouped(spark, paths, encoding, dialect) if g.plan.names]
         if not groups:
