@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from tallygrid.session import new_folder
+from tallygrid.session import map_arrow, new_folder  # noqa: F401
 from tallygrid.sources.files import delete_folder
 
 #: Bits of an id filter: 1 MB, whatever the number of ids. Beyond some ten million ids it lets
@@ -23,29 +19,6 @@ _BITMAP_BITS = 32768
 #: Folders of intermediates by what they belong to.
 _written: dict[str, list[str]] = {}
 _scope = ""
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def _ship(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_tallygrid_shipped", False):
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="tallygrid-code-"), "tallygrid.zip")  # read by the driver only
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(_PACKAGE):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
-    context.addPyFile(archive)
-    context._tallygrid_shipped = True
-
-
-def map_arrow(frame: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """`mapInArrow` by functions of this package."""
-    _ship(frame.sparkSession)
-    return frame.mapInArrow(function, schema)
 
 
 def temporary_folder(spark: SparkSession, label: str) -> str:
