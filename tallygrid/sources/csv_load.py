@@ -137,7 +137,10 @@ def _codec(encoding: str) -> str:
 
 def _plan(spark: SparkSession, facts: LineFacts, dialect: Dialect | None) -> CsvPlan:
     """Dialect and column names of a file. `multiline` tells that lines with quotes left open have to be looked at."""
-    header = (facts.header or b"").decode(_codec(facts.encoding), errors="replace").strip("\ufeff\x00\r\n")
+    first = facts.header or b""
+    if facts.encoding == UTF16:  # the line was cut inside its last character
+        first = first[: len(first) // 2 * 2]
+    header = first.decode(_codec(facts.encoding), errors="replace").strip("\ufeff\x00\r\n")
     found = dialect or choose(facts.widths, header)
     odd = facts.odd[QUOTES.index(found.quote)] if found.quote in QUOTES else 0
     found = Dialect(found.sep, found.quote, multiline=odd > 0 or found.multiline)
