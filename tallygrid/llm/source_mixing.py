@@ -5,11 +5,14 @@ with its length, within the limit; a source's documents together are expected to
 target. The whole part of the expected number is taken for certain. The rest, p, is an
 inclusion chance: documents are ranked by the odds of a fixed random number over the odds
 of p, and the first ones are taken until the source's sample has its size, measured in
-words; shorter ones fill up what the one at the cut would exceed.
-
-The rank at which a source is cut is found without sorting it: ranks are whole numbers of
-50 bits, and five passes narrow the cut by ten bits each, with sums per source and bin
-combined per task before the shuffle. No task holds more than 1024 bins of a source.
+words. Where the next document is too long for what is left, the sample goes on, in the same order, with
+those that are not, turn by turn until the size is met or nothing fits; so the last document's
+worth of words, and no more, prefers short texts.
+
+A turn is one row per source: a cut in the ranks and a bound on the length. The cut is found
+without sorting: ranks are whole numbers of 48 bits, and three levels of a plan narrow it by 16 bits
+each, with sums per source and bin combined per task before the shuffle. No task holds more
+than 65,536 bins of a source. Whether a row is taken follows from its source's turns.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ WEIGHTS = (1, 2, 3)
 #: Expected copies grow with this power of the length.
 LENGTH_POWER = 0.25
 SEED = 4
-#: Turns in which shorter documents fill up what the document at the cut would exceed.
-FILLS = 2
-_BITS, _LEVELS = 10, 5
+#: A sample is met when less than this share of its source's target is left.
+NEAR = 1e-4
+_BITS, _LEVELS = 16, 3
+_PARTS = 64
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -74,9 +78,12 @@ def _targets(sources: DataFrame, weights: Sequence[float], limit: float) -> Data
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("sid") % len(weights) + 1).cast("int"))
     rows = written(_ranked(sources).withColumn("weight", weight), "weights")
     most = limit * F.col("source_size")
-    total = float(rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
-    level = 0.0
-    while True:  # each round stops at least one more source
+    # the level at which targets stop, from below: first by bins of sources that stop at about the same one
+    ratio = F.floor(F.log2(most / F.col("weight")) * _PARTS)
+    bins = rows.groupBy(F.when(most > 0, ratio).alias("bin")).agg(F.sum(most).alias("most"), F.sum("weight").alias("weight")).collect()
+    total = float(sum(r.most or 0 for r in bins)) / limit
+    level = _level(total, [(2.0 ** ((r.bin + 1) / _PARTS) if r.bin is not None else 0.0, float(r.most), r.weight) for r in bins])
+    while True:  # then exactly, among the sources of one bin
         stopped = F.lit(level) * F.col("weight") > most
         fixed, open_ = rows.agg(
             F.sum(F.when(stopped, most).otherwise(0.0)), F.sum(F.when(stopped, 0.0).otherwise(F.col("weight")))).first()
@@ -87,6 +94,18 @@ def _targets(sources: DataFrame, weights: Sequence[float], limit: float) -> Data
     return rows.withColumn("target", F.least(F.lit(level) * F.col("weight"), most.cast("double")))
 
 
+def _level(total: float, bins: list[tuple[float, float, float]]) -> float:
+    """A level that the true one is not below, from `(level at which all of it has stopped, words at most, weight)` of bins."""
+    level = 0.0
+    while True:
+        fixed = sum(most for edge, most, _ in bins if edge < level)
+        open_ = sum(weight for edge, _, weight in bins if edge >= level)
+        now = (total - fixed) / open_ if open_ else level
+        if now <= level:
+            return level * (1 - 1e-12)
+        level = now
+
+
 def _copies(classes: DataFrame, limit: float) -> DataFrame:
     """For each source and length class, the copies taken for certain and the chance of one more."""
 
@@ -115,45 +134,59 @@ def _copies(classes: DataFrame, limit: float) -> DataFrame:
     return classes.groupBy("sid").applyInArrow(solve, schema)  # some 40 classes to a source
 
 
-def _cuts(rows: DataFrame, rests: DataFrame) -> DataFrame:
-    """`(sid, cut, rest, at_cut)`: the rank at which each source's words would exceed its `rest`, what is left
-    of it before, and the words of the rows at the cut."""
-    state = rests.select("sid", F.lit(0).cast("bigint").alias("cut"), "rest")
-    by = Window.partitionBy("sid").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+def _taken(turns: str = "turns"):
+    return F.expr(f"exists({turns}, t -> rank >= t.low and rank < t.cut and size <= t.fits)")
+
+
+def _cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """`(sid, cut, before)`: the rank at which the words of a source's `rows (sid, rank, size)` would exceed its `left`,
+    and their words before it. A source whose rows all fit has no row."""
+    found = state.select("sid", F.lit(0).cast("bigint").alias("cut"), F.lit(0).cast("bigint").alias("before"), "left")
+    by = Window.partitionBy("sid").orderBy("bin")
     for level in range(1, _LEVELS + 1):
         shift = _BITS * (_LEVELS - level)
-        inside = rows.join(state, "sid").where(F.shiftright("rank", shift + _BITS) == F.col("cut"))
+        inside = rows.join(found, "sid").where(F.shiftright("rank", shift + _BITS) == F.col("cut"))
         bins = inside.groupBy("sid", F.shiftright("rank", shift).alias("bin")).agg(
-            F.sum("size").alias("words"), F.first("rest").alias("rest"))
-        over = bins.withColumn("before", F.coalesce(F.sum("words").over(by), F.lit(0))).where(
-            F.col("before") + F.col("words") > F.col("rest"))
-        state = written(over.groupBy("sid").agg(
-            F.min("bin").alias("cut"), F.min_by(F.col("rest") - F.col("before"), "bin").alias("rest"),
-            F.min_by("words", "bin").alias("at_cut")), "cuts")
-    # a source that can take all its rows has no cut
-    whole = rests.select("sid", F.col("rest").alias("of")).join(rows.groupBy("sid").agg(F.sum("size").alias("all")), "sid", "left")
-    return written(whole.join(state, "sid", "left").select(
-        "sid", F.coalesce("cut", F.lit(1 << (_BITS * _LEVELS))).alias("cut"),
-        F.coalesce("rest", F.col("of") - F.coalesce("all", F.lit(0))).alias("rest"), F.coalesce("at_cut", F.lit(0)).alias("at_cut")), "cuts")
-
-
-def _sampled(rows: DataFrame, rests: DataFrame) -> DataFrame:
-    """`rows` with `more`: whether the ranked row is in its source's sample.
-
-    Where the row at the cut is too long for what is left, the sample goes on, in the same
-    order, with rows that are not; after `FILLS` such turns the row at the cut is taken if
-    that comes nearer to the size.
+            F.sum("size").alias("words"), F.first("before").alias("before"), F.first("left").alias("left"))
+        upto = bins.withColumn("upto", F.col("before") + F.sum("words").over(by)).where("upto > left")
+        found = upto.groupBy("sid").agg(
+            F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before"), F.first("left").alias("left"))
+    return found.select("sid", "cut", "before")
+
+
+def _turns(rows: DataFrame, rests: DataFrame) -> DataFrame:
+    """`(sid, turns array<(low, cut, fits)>)`: a ranked row is taken if a turn's ranks hold it and its size fits.
+
+    The first turn takes rows of any size up to the cut; each further one those that fit what is left. At the
+    end one more row is taken if the sample comes nearer to its size by it.
     """
-    rows, left = rows.withColumn("more", F.lit(False)), rests
-    for turn in range(FILLS + 1):
-        open_ = F.col("rank").isNotNull() & ~F.col("more") & (F.lit(turn == 0) | (F.col("size") <= F.col("left")))
-        tagged = rows.join(left.select("sid", F.col("rest").alias("left")), "sid").withColumn("open", open_)
-        cuts = _cuts(tagged.where("open").select("sid", "size", "rank"), left)
-        last = (F.col("rank") == F.col("cut")) & (F.col("rest") > F.col("at_cut") / 2) & F.lit(turn == FILLS)
-        rows = tagged.join(cuts, "sid").withColumn(
-            "more", F.col("more") | (F.col("open") & ((F.col("rank") < F.col("cut")) | last))).select(*rows.columns)
-        left = cuts
-    return rows
+    ends = 1 << (_BITS * _LEVELS)
+    kind = "array<struct<low:bigint,cut:bigint,fits:bigint>>"
+    state = written(rests.select(
+        "sid", F.expr(f"cast(array() as {kind})").alias("turns"), "rest", F.floor("rest").alias("left"),
+        F.lit((1 << 62) - 1).cast("bigint").alias("fits")), "turns")
+    while True:
+        joined = rows.join(state.select("sid", "turns", "fits"), "sid")
+        waiting = joined.where((F.col("size") <= F.col("fits")) & ~_taken()).select("sid", "rank", "size")
+        cuts = _cuts(waiting, state)
+        sums = waiting.groupBy("sid").agg(F.sum("size").alias("all"))
+        after = state.join(cuts, "sid", "left").join(sums, "sid", "left")
+        left = F.col("left") - F.coalesce("before", "all", F.lit(0))
+        turn = F.struct(F.lit(0).cast("bigint").alias("low"), F.coalesce("cut", F.lit(ends)).alias("cut"), F.col("fits"))
+        after = written(after.select(
+            "sid", F.when(F.col("all") > 0, F.concat("turns", F.array(turn))).otherwise(F.col("turns")).alias("turns"), "rest",
+            left.alias("left"), left.alias("fits"), "cut"), "turns")
+        going = F.col("cut").isNotNull() & (F.col("left") > 0) & (F.col("left") > NEAR * F.col("rest"))
+        more = after.where(going).select("sid").limit(1).collect()
+        state = after.drop("cut")
+        if not more:
+            break
+    # rows of one rank are repeats and stand together
+    nearer = rows.join(state, "sid").where(~_taken()).groupBy("sid", "rank").agg(F.sum("size").alias("size"), F.max("size").alias("longest"), F.first("left").alias("left"))
+    last = nearer.where("size < 2 * left").groupBy("sid").agg(F.min_by(F.struct("rank", "longest"), "rank").alias("last"))
+    one = F.struct(F.col("last.rank").alias("low"), (F.col("last.rank") + 1).alias("cut"), F.col("last.longest").alias("fits"))
+    return written(state.join(last, "sid", "left").select(
+        "sid", F.when(F.col("last").isNotNull(), F.concat("turns", F.array(one))).otherwise(F.col("turns")).alias("turns")), "turns")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -162,7 +195,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMI
     `size` is the row's number of words and `source_size` its source's; sources in code point
     order, null last, have the `weights` in turn and share all words, none above `limit`
     times its own. `copies`, 0 to `limit`, is how often the mix takes the row; a source's
-    words come near its target (see `_sampled`). Reruns agree.
+    words come near its target (see `_turns`). Reruns agree.
 
     Null and empty texts have size 0 and are never taken. Null sources are one source, null
     doc_ids are rows like others. Rows that repeat doc_id and text are taken alike, all or none at
@@ -186,9 +219,10 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMI
         sized.join(plan, F.col("source").eqNullSafe(F.col("of_source")) & (length == F.col("of_length"))).select(
             "doc_id", "drawn", "size", *facts, "whole", F.when((F.col("size") > 0) & (F.col("chance") > 0), rank).alias("rank")),
         "rows")
-    picked = _sampled(rows, plan.groupBy("sid").agg(F.max("rest").alias("rest")))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more").cast("bigint")).otherwise(0).cast("bigint")
-    return picked.select("doc_id", "drawn", "size", "source_size", "target", copies.alias("copies"))
+    turns = _turns(rows.where("rank is not null").select("sid", "rank", "size"), plan.groupBy("sid").agg(F.max("rest").alias("rest")))
+    more = F.coalesce(_taken(), F.lit(False)).cast("bigint")
+    copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("bigint")
+    return rows.join(turns, "sid").select("doc_id", "drawn", "size", "source_size", "target", copies.alias("copies"))
 
 
 def repeated_by_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
