@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,38 +30,67 @@ from tallygrid.llm.shared import map_arrow
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-#: Distinct words whose ids a task keeps at hand.
+#: Distinct words whose ids a worker keeps at hand.
 HELD_WORDS = 1 << 19
 
 _ROWS = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
 class _HeldWords:
-    """The ids of words met so far, one after the other, and each word's place in them."""
+    """The ids of words met so far, one after the other, and each word's place in them.
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.clear()
+    A Python worker keeps them from task to task. Beyond `HELD_WORDS` those met in one call only go.
+    """
+
+    _all: dict[str, "_HeldWords"] = {}
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        from tokenizers import Tokenizer
 
-    def clear(self) -> None:
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known: dict[int, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
+        self.calls = np.zeros(0, np.int32)
+
+    @classmethod
+    def of(cls, vocabulary: str) -> "_HeldWords":
+        if vocabulary not in cls._all:
+            cls._all[vocabulary] = cls(vocabulary)
+        return cls._all[vocabulary]
+
+    def _drop_rare(self) -> None:
+        """At most half of the words stay, the ones met most often."""
+        often = np.flatnonzero(self.calls > 1)
+        often = often[np.argsort(-self.calls[often], kind="stable")[: HELD_WORDS // 2]]
+        often.sort()
+        sizes = np.diff(self.at)
+        self.ids = self.ids[np.repeat(np.isin(np.arange(len(sizes)), often), sizes)]
+        self.at = np.concatenate(([0], np.cumsum(sizes[often])))
+        names = np.fromiter(self.known, np.uint64, len(self.known))  # in the order of their places
+        self.known = dict(zip(names[often].tolist(), range(len(often))))
+        self.calls = np.ones(len(often), np.int32)
 
     def encode(self, part: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the part's words, and how many each word has."""
         names, first, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
         if len(self.known) > HELD_WORDS:
-            self.clear()
+            self._drop_rare()
         numbers = names.tolist()
-        new = [k for k, x in enumerate(numbers) if x not in self.known]
-        if new:
-            texts = [part.data[part.starts[k] : part.ends[k]].tobytes().decode() for k in first[new].tolist()]
+        place = np.fromiter(map(self.known.get, numbers, repeat(-1)), np.int64, len(numbers))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            data, starts, ends = part.data, part.starts[first[new]].tolist(), part.ends[first[new]].tolist()
+            texts = [data[s:e].tobytes().decode() for s, e in zip(starts, ends)]
             found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            self.known.update(zip([numbers[k] for k in new], range(len(self.known), len(self.known) + len(new))))
+            place[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(names[new].tolist(), place[new].tolist()))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in found])))
             self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32)))
-        place = np.fromiter(map(self.known.__getitem__, numbers), np.int64, len(numbers))[inverse]
+            self.calls = np.concatenate((self.calls, np.zeros(len(new), np.int32)))
+        self.calls[place] += 1
+        place = place[inverse]
         begins, sizes = self.at[place], self.at[place + 1] - self.at[place]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
@@ -73,10 +102,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     each distinct word is encoded once and its ids are used again."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-        from tokenizers import Tokenizer
-
-        held = _HeldWords(Tokenizer.from_file(vocabulary))
+        held = _HeldWords.of(vocabulary)
         part_number, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in W.words(batch.column(1)):

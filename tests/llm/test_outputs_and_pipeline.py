@@ -54,6 +54,22 @@ def test_token_table_of_odd_rows(spark, docs, texts, tokenizer):
     assert "GreaterThanOrEqual(doc_id,101)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+def test_tokens_when_few_words_are_held(docs, texts, tokenizer, monkeypatch):
+    """Words are forgotten and met again."""
+    import pyarrow as pa
+
+    from tallygrid.llm import token_tables, words
+
+    monkeypatch.setattr(token_tables, "HELD_WORDS", 50)
+    monkeypatch.setattr(token_tables._HeldWords, "_all", {})
+    held = token_tables._HeldWords.of(vocabulary())
+    for _, text, *_ in texts + texts[:5]:
+        for part in words.words(pa.array([text], pa.string())):
+            ids, sizes = held.encode(part)
+            assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids and len(sizes) == len(words_of(text))
+    assert token_tables._HeldWords.of(vocabulary()) is held
+
+
 def test_token_files_have_indexes_and_encodings(spark, docs):
     import pyarrow.parquet as pq
     folder = temporary_folder(spark, "tokens")
