@@ -85,8 +85,10 @@ def not_in(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFra
     counts of the other table tell that, so neither side has to be shipped whole.
     """
     listed = others.select(col(other).alias("__listed"))
-    facts = listed.agg(F.count(F.lit(1)).alias("__all"), F.count("__listed").alias("__known")).withColumn("__one", F.lit(1))
-    open_ = (F.col("__all") == 0) | ((F.col("__all") == F.col("__known")) & F.col("__value").isNotNull())
-    rows = df.withColumns({"__value": col(column), "__one": F.lit(1)})
-    kept = rows.join(listed.distinct(), F.col("__value") == F.col("__listed"), "left_anti")
-    return kept.join(F.broadcast(facts), "__one").where(open_).select(*[col(c) for c in df.columns])  # facts: one row
+    counts = F.struct(F.count(F.lit(1)).alias("all"), F.count("__listed").alias("known"))
+    facts = listed.agg(counts.alias("facts")).scalar()
+    rows = df.withColumn("__value", col(column))
+    kept = rows.join(listed.distinct(), F.col("__value") == F.col("__listed"), "left_anti").withColumn("__facts", facts)
+    all_known = F.col("__facts.all") == F.col("__facts.known")
+    open_ = (F.col("__facts.all") == 0) | (all_known & F.col("__value").isNotNull())
+    return kept.where(open_).select(*[col(c) for c in df.columns])
