@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.plans.counted_quantiles import counted_quantiles, cut_points
+from tallygrid.plans.counted_quantiles import counted_quantiles
 from tallygrid.plans.order_statistics import LINEAR, ORDINAL, QUARTILES, Quantile
 from tallygrid.types import BOOLEAN, STRING, category, clean, col, field, is_numeric, percent, text_to_double
 
@@ -40,8 +40,7 @@ def _summary(counted: DataFrame, wanted: tuple[Quantile, ...]) -> DataFrame:
     mean = F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))
     centre = counted.agg(mean.alias("mean")).scalar()
     keyed = counted.select(F.lit(0).alias("k"), "v", "n")
-    cuts = keyed.agg(cut_points(F.when(n > 0, v)))
-    quantiles = counted_quantiles(keyed.withColumn("cuts", cuts.scalar()), ["k"], wanted)
+    quantiles = counted_quantiles(keyed, ["k"], wanted, few_groups=True)
     totals = counted.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"), F.count("value").alias("unique_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("present"),

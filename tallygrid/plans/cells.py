@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.plans.counted_quantiles import counted_quantiles, cut_points
+from tallygrid.plans.counted_quantiles import counted_quantiles
 from tallygrid.plans.order_statistics import Quantile
 from tallygrid.types import INTEGER, category, col
 
@@ -137,16 +137,12 @@ class ValueCounts:
     def quantiles(self, wanted: tuple[Quantile, ...]) -> DataFrame:
         """`(k, <quantile names>)` of the numeric columns.
 
-        The cut points are one row per column, which bounds the broadcast.
+        The groups are columns, which bounds what a round looks for.
         """
         def from_counts(counted: DataFrame, slots: list[str]) -> DataFrame:
             numeric = [s for s in slots if s.startswith(("v_bigint", "v_double", "v_float", "v_decimal"))]
             number = F.coalesce(*[F.col(s).cast("double") for s in numeric], F.lit(None).cast("double"))
-            values = counted.select("k", number.alias("v"), "n")
-            # `n` again: see `distinct`
-            cuts = values.groupBy("k").agg(cut_points(F.when(F.col("n") > 0, F.col("v"))))
-            # columns without numbers have no cut points and end at this join
-            return counted_quantiles(values.join(F.broadcast(cuts.where("cuts IS NOT NULL")), "k"), ["k"], wanted)
+            return counted_quantiles(counted.select("k", number.alias("v"), "n"), ["k"], wanted, few_groups=True)
         return self._each(from_counts)
 
     def _each(self, build) -> DataFrame:

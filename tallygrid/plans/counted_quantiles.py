@@ -1,49 +1,44 @@
-"""Exact quantiles from values and their counts, for any number of groups.
-
-The input is one row per distinct value of a group with its count. Cut points
-from a sketch spread the values over buckets; one row per bucket tells in which
-bucket a wanted position lies; only those buckets are sorted. Everything reads
-the one shuffle that counted the values.
+"""Exact quantiles from values and their counts, for any number of groups and values.
+
+The input is one row per distinct value of a group with its count. A value is mapped to a
+64-bit number of the same order, and a wanted position is found digit by digit: a round counts
+the rows under each next digit of the numbers that begin as the position's does, in bins that
+tasks combine before the shuffle, and the running sum over the bins tells which one holds the
+position. After the last round the number is known whole, so no value is ever sorted: a
+round holds at most 2^BITS bins of a group and beginning, however many values there are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.plans.order_statistics import DISCRETE, LINEAR, ORDINAL, Quantile
 from tallygrid.types import col
 
-# a value axis is cut into STEPS * STEPS buckets of about equally many values
-STEPS = 16
-_SHARES = [i / STEPS**2 for i in range(1, STEPS**2)]
-_ACCURACY = 2000
-# Group and bucket as one struct: never NULL, so a plain equality joins on it
-_G, _OTHER_G, _K, _B = "__group", "__g", "__keys", "__bucket"
-
+#: Bits of a digit.
+BITS = 22
+_K = "__keys"
 
-def cut_points(values: Column) -> Column:
-    """The aggregate that yields the cut points of an axis."""
-    return F.percentile_approx(values, _SHARES, _ACCURACY).alias("cuts")
 
+def order_key(value: Column) -> Column:
+    """A bigint for each double, in the same order; NaN is above all, and both zeros are one."""
+    size, unit = F.abs(value), 1 << 52
+    guess = F.floor(F.log2(size))
+    share = size / F.pow(F.lit(2.0), guess)
 
-def _bucketed(with_cuts: DataFrame) -> DataFrame:
-    """The number of cut points that are not above `v`, as `bucket`.
-
-    Two steps of STEPS - 1 comparisons each, in generated code: every STEPS-th
-    cut first, then those behind it. Rows without a value weigh nothing; a
-    filter would slip under the shared count and split it in two.
-    """
-    def up_to(first: str, stride: int) -> str:
-        return " + ".join(f"CAST(cuts[{first} + {stride * i}] <= v AS INT)" for i in range(STEPS - 1))
+    def normal(exponent: Column, mantissa: Column) -> Column:
+        return (exponent + 1023) * unit + ((mantissa - 1) * float(unit)).cast("bigint")
 
-    return (
-        with_cuts.withColumn("step", F.expr(f"({up_to(str(STEPS - 1), STEPS)}) * {STEPS}"))
-        .withColumn("bucket", F.expr(f"step + {up_to('step', 1)}"))
-        .withColumn("n", F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0))
-    )
+    # the logarithm may have been rounded over a power of two
+    found = F.when(share < 1, normal(guess - 1, share * 2)).when(share >= 2, normal(guess + 1, share / 2)).otherwise(normal(guess, share))
+    # below 2^-1022 doubles are multiples of 2^-1074
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    top = F.lit((1 << 63) - 2)
+    code = (
+        F.when(size == 0, F.lit(0)).when(size == float("inf"), top)
+        .when(size < 2.0**-1022, tiny).when(size >= 2.0**1023, normal(F.lit(1023), size / F.lit(2.0**1023))).otherwise(found))
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -code).otherwise(code)
 
 
 def _position(q: Quantile, total: Column) -> tuple[Column, Column, Column]:
@@ -58,47 +53,60 @@ def _position(q: Quantile, total: Column) -> tuple[Column, Column, Column]:
     return place, place, F.lit(0.0)
 
 
-def _within(start: Column, count: Column, place: str) -> Column:
-    return (F.col(place) >= start) & (F.col(place) < start + count)
+def counted_quantiles(counted: DataFrame, keys: list[str], wanted: tuple[Quantile, ...], few_groups: bool = False) -> DataFrame:
+    """`keys` and one double per quantile, from rows `(keys, v, n)` with a row per distinct value or more.
 
-
-def counted_quantiles(with_cuts: DataFrame, keys: list[str], wanted: tuple[Quantile, ...]) -> DataFrame:
-    """`keys` and one double per quantile, from rows `(keys, v, n, cuts)`."""
-    bucketed = _bucketed(with_cuts).select(
-        F.struct(F.struct(*map(col, keys)).alias("k"), F.col("bucket").alias("b")).alias(_G), "v", "n"
-    )
-    across = Window.partitionBy(_K)
-    sizes = (
-        bucketed.groupBy(F.col(_G).alias(_OTHER_G)).agg(F.sum("n").alias("rows"))
-        .withColumns({_K: F.col(f"{_OTHER_G}.k"), _B: F.col(f"{_OTHER_G}.b")})
-        .withColumn("before", F.sum("rows").over(across.orderBy(_B)) - F.col("rows"))
-        .withColumn("total", F.sum("rows").over(across))
-    )
-    for q in wanted:
+    `few_groups` tells that the groups are bounded (columns of a table), so that what is looked for fits every task.
+    """
+    # rows without a value weigh nothing; a filter would slip under the shared count and split it in two
+    n = F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    rows = counted.select(F.struct(*map(col, keys)).alias(_K), F.coalesce(order_key(F.col("v")), F.lit(0)).alias("key"), "v", n.alias("n"))
+    shift = 64 - BITS
+    bins = rows.groupBy(_K, F.shiftright("key", shift).alias("at")).agg(F.sum("n").alias("n"), F.max("v").alias("v"))
+    along = Window.partitionBy(_K)
+    bins = bins.withColumns({"before": F.sum("n").over(along.orderBy("at")) - F.col("n"), "total": F.sum("n").over(along)})
+    places, weights = {}, {}
+    for i, q in enumerate(wanted):
         low, high, weight = _position(q, F.col("total"))
-        sizes = sizes.withColumns({f"{q.name}__l": low, f"{q.name}__h": high, f"{q.name}__w": weight})
-    places = [f"{q.name}__{side}" for q in wanted for side in "lh"]
-    needed = reduce(lambda a, b: a | b, [_within(F.col("before"), F.col("rows"), p) for p in places])
-    # a few rows per group against all distinct values: hash the few, and leave
-    # the rows partitioned the way the window below wants them
-    held = bucketed.join(sizes.where(needed).hint("shuffle_hash"), F.col(_G) == F.col(_OTHER_G))
-    inside = Window.partitionBy(_G).orderBy("v")
-    ranked = held.withColumn("start", F.col("before") + F.sum("n").over(inside) - F.col("n"))
-    picked = ranked.groupBy(F.col(f"{_G}.k").alias(_K)).agg(
-        *[F.max(F.when(_within(F.col("start"), F.col("n"), p), F.col("v"))).alias(p) for p in places],
-        *[F.first(f"{q.name}__w").alias(f"{q.name}__w") for q in wanted],
-    )
+        places |= {f"__r{2 * i}": low.cast("bigint"), f"__r{2 * i + 1}": high.cast("bigint")}
+        weights[f"__w{i}"] = weight.cast("double")
+    count = len(places)
+    # one row per group: of each place the bin, the place counted from the bin's first row, and the bin's largest value
+    state = _found(bins.withColumns(places | weights), _K, "at", list(weights), count)
+    while shift:
+        step = min(BITS, shift)
+        held = state.withColumnRenamed(_K, "__k").drop(*(f"__v{i}" for i in range(count)))
+        found = rows.join(F.broadcast(held) if few_groups else held, F.col(_K) == F.col("__k")).withColumn("at", F.shiftright("key", shift))
+        shift -= step
+        kept = [*(f"__at{i}" for i in range(count)), *(f"__r{i}" for i in range(count)), *weights]
+        bins = found.where(F.col("at").isin(*(F.col(f"__at{i}") for i in range(count)))).groupBy(_K, "at", F.shiftright("key", shift).alias("to")).agg(
+            F.sum("n").alias("n"), F.max("v").alias("v"), *(F.first(c).alias(c) for c in kept))
+        bins = bins.withColumn("before", F.sum("n").over(Window.partitionBy(_K, "at").orderBy("to")) - F.col("n"))
+        state = _found(bins, _K, "to", list(weights), count)
     out = []
-    for q in wanted:
-        low, high, weight = F.col(f"{q.name}__l"), F.col(f"{q.name}__h"), F.col(f"{q.name}__w")
+    for i, q in enumerate(wanted):
+        low, high, weight = F.col(f"__v{2 * i}"), F.col(f"__v{2 * i + 1}"), F.col(f"__w{i}")
         between = low * (1 - weight) + high * weight
         out.append(F.when((low == high) | (weight == 0), low).otherwise(between).alias(q.name))
-    return picked.select(*[F.col(_K).getField(k).alias(k) for k in keys], *out)
+    return state.where("__v0 is not null").select(*[F.col(_K).getField(k).alias(k) for k in keys], *out)
+
+
+def _found(bins: DataFrame, key: str, bin_: str, weights: list[str], count: int) -> DataFrame:
+    """Per group the bin that holds each place."""
+    later = "at" != bin_
+    out = []
+    for i in range(count):
+        rest = F.col(f"__r{i}")
+        here = (rest >= F.col("before")) & (rest < F.col("before") + F.col("n"))
+        if later:
+            here = here & (F.col("at") == F.col(f"__at{i}"))
+        out += [F.max(F.when(here, F.col(bin_))).alias(f"__at{i}"), F.max(F.when(here, rest - F.col("before"))).alias(f"__r{i}"),
+                F.max(F.when(here, F.col("v"))).alias(f"__v{i}")]
+    return bins.groupBy(key).agg(*out, *(F.first(w).alias(w) for w in weights))
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], column: str, wanted: tuple[Quantile, ...]) -> DataFrame:
     """Exact quantiles of `column` per group of `keys`."""
     values = df.where(col(column).isNotNull()).select(*map(col, keys), col(column).cast("double").alias("v"))
     counted = values.groupBy(*map(col, keys), "v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = values.agg(cut_points(F.col("v")))
-    return counted_quantiles(counted.withColumn("cuts", cuts.scalar()), keys, wanted)
+    return counted_quantiles(counted, keys, wanted)

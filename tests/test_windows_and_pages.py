@@ -103,3 +103,32 @@ def test_column_queries(skewed, kind):
         assert values[0] is None and [r["count"] for r in found] == sorted((r["count"] for r in found), reverse=True)
     else:
         assert len(found) == (1200 if kind == "filter_null" else 4800)
+
+
+@pytest.mark.parametrize("bits", [22, 6])
+def test_quantiles_by_digits(spark, monkeypatch, bits):
+    """Exact whatever the width of a digit; at 6 bits no bin list is longer than 64 rows."""
+    import random
+
+    from tallygrid.plans import counted_quantiles as cq
+    from tallygrid.plans.order_statistics import DISCRETE, LINEAR, ORDINAL, Quantile
+
+    monkeypatch.setattr(cq, "BITS", bits)
+    random.seed(7)
+    kinds = {
+        "unique": [random.gauss(0, 1e6) for _ in range(3000)], "near": [1000 + k * 1e-9 for k in range(500)], "ties": [1.0, 1.0, 2.0] * 50 + [-3.0],
+        "one": [5e-324], "wide": [10.0**k for k in range(-300, 300, 7)] + [-(10.0**k) for k in range(-300, 300, 11)], "zero": [0.0, -0.0, 0.0, None],
+        "inf": [float("inf"), float("-inf"), 1.0], "none": [None, None],
+    }
+    frame = spark.createDataFrame([(k, v) for k, vs in kinds.items() for v in vs], "k string, v double")
+    wanted = (Quantile("a", 0.5, LINEAR), Quantile("b", 0.25, ORDINAL), Quantile("c", 0.9, DISCRETE), Quantile("d", 0.0, LINEAR), Quantile("e", 1.0, LINEAR))
+    got = {r.k: r for r in cq.grouped_quantiles(frame, ["k"], "v", wanted).collect()}
+    assert "none" not in got and len(got) == len(kinds) - 1
+    for k, vs in kinds.items():
+        s = sorted(v for v in vs if v is not None)
+        if s:
+            low, share = int(0.5 * (len(s) - 1)), 0.5 * (len(s) - 1) % 1
+            middle = s[low] if not share else s[low] * (1 - share) + s[min(low + 1, len(s) - 1)] * share
+            assert got[k].a == pytest.approx(middle, rel=1e-12), k
+            assert (got[k].b, got[k].d, got[k].e) == (s[min(len(s) // 4, len(s) - 1)], s[0], s[-1]), k
+            assert got[k].c == s[max(-(-9 * len(s) // 10), 1) - 1], k
