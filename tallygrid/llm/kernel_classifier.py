@@ -3,7 +3,7 @@
 The statistics of a text are standardised and mapped to cosines of random projections,
 whose products approximate a Gaussian kernel. Tasks sum the products of their training
 rows to normal equations; the sums of all tasks meet per row of the matrix, and the
-driver solves a system of fixed size. The raw scores of the training rows, counted in
+driver solves systems of fixed size, one for each penalty tried. The raw scores of the training rows, counted in
 bins of fixed number, give a monotone calibration by pooling adjacent violators.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,10 @@ from tallygrid.llm.text_stats import text_counts
 FEATURES = 256
 #: Width of the kernel in standard deviations of the statistics.
 WIDTH = 3.0
-RIDGE = 1e-3
+#: Penalties tried, as shares of the number of training rows; generalised cross-validation picks one.
+RIDGES = tuple(10.0 ** (k / 2) for k in range(-14, 3))
+#: Task sums are added up in two steps, this many groups to a row of the matrix at first.
+SALTS = 512
 SEED = 20
 #: Bins to a unit of raw score; raw scores are held within -1 and 2.
 BINS = 1024
@@ -59,19 +63,43 @@ def _normal_equations(train: DataFrame, n: int, projection: tuple) -> tuple[np.n
                 y = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
                 total += z.T @ np.column_stack((z, y))
         at = np.arange(0, total.size + 1, FEATURES + 2, dtype=np.int32)
+        salt = np.full(FEATURES + 1, TaskContext.get().partitionId() % SALTS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(FEATURES + 1)), pa.ListArray.from_arrays(pa.array(at), pa.array(total.ravel()))], ["at", "sums"])
+            [pa.array(np.arange(FEATURES + 1)), pa.array(salt), pa.ListArray.from_arrays(pa.array(at), pa.array(total.ravel()))], ["at", "salt", "sums"])
 
     def add(rows: pa.Table) -> pa.Table:
         sums = np.sum(rows.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES + 2), axis=0)
-        return pa.table({"at": rows.column("at").slice(0, 1), "sums": pa.array([sums], pa.list_(pa.float64()))})
+        return pa.table({**{c: rows.column(c).slice(0, 1) for c in ("at", "salt")}, "sums": pa.array([sums], pa.list_(pa.float64()))})
 
-    schema = "at bigint, sums array<double>"
-    rows = map_arrow(train, part, schema).groupBy("at").applyInArrow(add, schema).collect()  # FEATURES + 1 rows
+    schema = "at bigint, salt bigint, sums array<double>"
+    some = map_arrow(train, part, schema).groupBy("at", "salt").applyInArrow(add, schema)
+    rows = some.groupBy("at").applyInArrow(add, schema).collect()  # FEATURES + 1 rows
     total = np.array([r.sums for r in sorted(rows, key=lambda r: r.at)]).reshape(-1, FEATURES + 2)
     return total[:, :-1], total[:, -1]
 
 
+def ridge(squares: np.ndarray, products: np.ndarray, n: int, total: float) -> np.ndarray:
+    """Weights under the penalty with the least generalised cross-validation error; the constant has none.
+
+    All that the error needs is in the normal equations and `total`, the sum of squared labels.
+    """
+    # without the constant: sums about the means, in the axes in which all penalties are diagonal
+    means, level = squares[0, 1:] / n, products[0] / n
+    values, axes = np.linalg.eigh(squares[1:, 1:] - n * np.outer(means, means))
+    values, along = np.maximum(values, 0.0), axes.T @ (products[1:] - n * level * means)
+    spread = total - n * level**2
+    best, least = None, np.inf
+    for share in RIDGES:
+        found = along / (values + share * n)
+        rest = spread - 2 * found @ along + found @ (values * found)
+        free = n - 1 - (values / (values + share * n)).sum()
+        error = max(rest, 0.0) / free**2 if free > 1e-6 * n else np.inf
+        if best is None or error < least:
+            best, least = found, error
+    weights = axes @ best
+    return np.concatenate(([level - weights @ means], weights))
+
+
 def isotonic(places: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centres and means of the blocks of the monotone fit, in ascending order."""
     blocks: list[list[float]] = []
@@ -105,15 +133,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold
     train = written(rows.where("NOT held_out").join(known, "doc_id"), "training")
 
     names = [f"x{i}" for i in range(n)]
-    facts = train.agg(F.count("label"), *(F.avg(c) for c in names), *(F.stddev_pop(c) for c in names)).first()
+    facts = train.agg(F.count("label"), F.sum(F.col("label") * F.col("label")), *(F.avg(c) for c in names), *(F.stddev_pop(c) for c in names)).first()
     if not facts[0]:
         return rows.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(int(threshold <= 0.5)).alias("predicted"))
-    mean, spread = np.array(facts[1 : n + 1]), np.maximum(np.array(facts[n + 1 :]), 0.05)
+    mean, spread = np.array(facts[2 : n + 2]), np.maximum(np.array(facts[n + 2 :]), 0.05)
     projection = _projection(mean, spread)
     squares, products = _normal_equations(train, n, projection)
-    penalty = np.full(FEATURES + 1, RIDGE * facts[0])
-    penalty[0] = 0
-    weights = np.linalg.solve(squares + np.diag(penalty + 1e-9), products)
+    weights = ridge(squares, products, facts[0], float(facts[1]))
 
     def raw(batch: pa.RecordBatch) -> np.ndarray:
         return np.clip(_mapped(batch, n, projection) @ weights, -1, 2)

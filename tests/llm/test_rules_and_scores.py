@@ -10,7 +10,7 @@ import pytest
 
 from tallygrid.llm import hidden_markov as H
 from tallygrid.llm import robust_outliers as R
-from tallygrid.llm.kernel_classifier import isotonic, quality_scores
+from tallygrid.llm.kernel_classifier import RIDGES, isotonic, quality_scores, ridge
 from tallygrid.llm.registry import QUERIES
 from tests.llm.conftest import words_of
 
@@ -111,10 +111,37 @@ def test_classifier_on_held_out_rows(spark, small):
     found = QUERIES["op9_fourier_quality_classifier"](spark, small).toPandas()
     assert len(found) == 200 and found.score.between(0, 1).all() and ((found.score >= 0.3) == (found.predicted == 1)).all()
     assert (found.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in found.doc_id]).all()
-    held = found.merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id").query("held_out")
+    held = found.merge(spark.read.parquet(f"{small}/labels.parquet").toPandas(), on="doc_id").query("held_out")
     assert (held.predicted == held.quality).mean() > 0.85
 
 
+def test_classifier_where_labels_are_enough(spark):
+    """Accuracy and ranking of rows that were not learnt from."""
+    folder = "/root/testdata/sf0.01"
+    found = QUERIES["op9_fourier_quality_classifier"](spark, folder).toPandas()
+    held = found.merge(spark.read.parquet(f"{folder}/labels.parquet").toPandas(), on="doc_id").query("held_out")
+    good, bad = held.score[held.quality == 1].to_numpy(), held.score[held.quality == 0].to_numpy()
+    above = (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2
+    assert (held.predicted == held.quality).mean() > 0.95 and above > 0.97
+
+
+def test_penalty_against_leaving_one_out():
+    """The chosen penalty predicts left-out rows about as well as the best one."""
+    random = np.random.default_rng(1)
+    x = np.column_stack((np.ones(80), random.standard_normal((80, 40))))
+    y = (x[:, 1] + random.standard_normal(80) > 0).astype(float)
+
+    def left_out(share):
+        penalty = np.diag([1e-9] + [share * 80 + 1e-9] * 40)
+        hat = x @ np.linalg.inv(x.T @ x + penalty) @ x.T
+        return np.mean(((y - hat @ y) / (1 - np.diag(hat))) ** 2)
+
+    weights = ridge(x.T @ x, x.T @ y, 80, y @ y)
+    errors = {share: left_out(share) for share in RIDGES}
+    chosen = min(RIDGES, key=lambda s: np.abs(np.linalg.solve(x.T @ x + np.diag([1e-9] + [s * 80 + 1e-9] * 40), x.T @ y) - weights).max())
+    assert errors[chosen] < 1.1 * min(errors.values())
+
+
 def test_classifier_of_odd_rows(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (16, 0), (15, 0)] + [(100 + k, 1) for k in range(40)], "doc_id bigint, quality int")
     found = quality_scores(docs, labels).collect()
