@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrid.operators.columns import not_in
-from tallygrid.plans.split_window import SplitWindow
+from tallygrid.plans.split_window import Order, SplitWindow
 from tallygrid.queries.profiles import GAPS_ORACLE, orders_with_gaps
 from tallygrid.queries.registry import query, table
 
@@ -315,10 +315,56 @@ def sql_recursive(spark, folder):
 )
 def win_rank(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    month = F.date_trunc("month", "o_orderdate")
-    numbered = SplitWindow(["o_orderstatus"], ["o_orderdate", "o_orderkey"], month).row_number("row_number")
-    ranked = SplitWindow(["o_orderstatus"], ["o_orderdate"], month).rank("rank").dense_rank("dense_rank")
-    return ranked.apply(numbered.apply(orders)).drop("o_orderdate")
+    window = SplitWindow(["o_orderstatus"], ["o_orderdate"], ["o_orderkey"])
+    return window.row_number("row_number").rank("rank").dense_rank("dense_rank").apply(orders).drop("o_orderdate")
+
+
+@query(
+    "win_rank_desc",
+    """WITH o AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN month(o_orderdate) END AS m FROM orders)
+       SELECT o_orderkey, o_orderstatus,
+              RANK() OVER (PARTITION BY o_orderstatus ORDER BY m DESC NULLS LAST) AS rank_last,
+              DENSE_RANK() OVER (PARTITION BY o_orderstatus ORDER BY m DESC NULLS LAST) AS dense_last,
+              ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY m DESC NULLS LAST, o_orderkey DESC) AS row_last,
+              RANK() OVER (PARTITION BY o_orderstatus ORDER BY m NULLS FIRST) AS rank_first
+       FROM o""",
+)
+def win_rank_desc(spark, folder):
+    # twelve order values and NULL in a group: its peers lie over many partitions
+    month = F.when(F.col("o_orderkey") % 5 != 0, F.month("o_orderdate"))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", month.alias("m"))
+    last = SplitWindow(["o_orderstatus"], [Order("m", descending=True)], [Order("o_orderkey", descending=True)])
+    ranked = last.rank("rank_last").dense_rank("dense_last").row_number("row_last").apply(orders)
+    return SplitWindow(["o_orderstatus"], [Order("m", nulls_first=True)]).rank("rank_first").apply(ranked).drop("m")
+
+
+@query(
+    "win_frames",
+    """SELECT o_orderkey,
+              ROUND(SUM(o_totalprice) OVER (w ROWS 2 PRECEDING), 2) AS last_three,
+              MAX(o_totalprice) OVER (w ROWS BETWEEN 3 PRECEDING AND 4 FOLLOWING) AS near_max,
+              COUNT(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS following,
+              LEAD(o_orderkey, 5) OVER w AS fifth_next
+       FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey)""",
+)
+def win_frames(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    price = F.col("o_totalprice")
+    window = SplitWindow(["o_orderstatus"], [Order("o_orderdate", descending=True)], ["o_orderkey"])
+    framed = window.rows("last_three", F.sum, price, -2, 0).rows("near_max", F.max, price, -3, 4).rows(
+        "following", F.count, F.lit(1), 1, 2).lead("fifth_next", F.col("o_orderkey"), 5).apply(orders)
+    return framed.withColumn("last_three", F.round("last_three", 2)).drop("o_orderstatus", "o_orderdate", "o_totalprice")
+
+
+@query(
+    "win_group_totals",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ROUND(SUM(l_quantity) OVER (PARTITION BY l_returnflag), 2) AS group_quantity,
+              COUNT(*) OVER (PARTITION BY l_returnflag) AS group_rows FROM lineitem""",
+)
+def win_group_totals(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
+    window = SplitWindow(["l_returnflag"], ["l_orderkey", "l_linenumber"]).total("group_quantity", F.col("l_quantity")).count("group_rows")
+    return window.apply(lines).withColumn("group_quantity", F.round("group_quantity", 2)).drop("l_returnflag", "l_quantity")
 
 
 @query(
@@ -334,7 +380,7 @@ def win_lag_lead(spark, folder):
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     price = F.col("l_extendedprice")
-    window = SplitWindow(["l_returnflag"], order, F.date_trunc("month", "l_shipdate"))
+    window = SplitWindow(["l_returnflag"], order)
     return window.lag("previous", price).lead("next", price).apply(lines).drop("l_returnflag", "l_extendedprice")
 
 
@@ -347,10 +393,5 @@ def win_lag_lead(spark, folder):
 )
 def win_running_sum(spark, folder):
     events = table(spark, folder, "events").select("event_id", "event_type", "ts", "value")
-    window = SplitWindow(["event_type"], ["ts", "event_id"], F.date_trunc("day", "ts"))
-    running = window.running_sum("running", F.col("value")).apply(events)
-    # a count over the whole group needs no window: one row per group, joined back
-    sizes = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return running.join(sizes, "event_type").select(
-        "event_id", "event_type", F.round("running", 2).alias("running"), "n"
-    )
+    window = SplitWindow(["event_type"], ["ts", "event_id"]).running_sum("running", F.col("value")).count("n")
+    return window.apply(events).select("event_id", "event_type", F.round("running", 2).alias("running"), "n")

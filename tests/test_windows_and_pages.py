@@ -8,7 +8,15 @@ from tallygrid.operators.columns import COLUMN_QUERIES
 from tallygrid.plans import paging
 from tallygrid.plans.counted_quantiles import grouped_quantiles
 from tallygrid.plans.order_statistics import DISCRETE, Quantile
-from tallygrid.plans.split_window import SplitWindow
+from tallygrid.plans.split_window import Order, SplitWindow
+from tallygrid.session import setting
+
+
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Small tables stay in as many partitions as large ones would have."""
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        yield
 
 
 @pytest.fixture(scope="module")
@@ -29,12 +37,10 @@ def test_split_window_equals_plain_window(skewed):
         F.lead("v").over(plain).alias("lead"),
         F.sum("v").over(plain.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("sum"),
     )
-    bucket = F.floor(F.col("o") / 60)
-    rows = (
-        SplitWindow(["k"], ["o", "id"], bucket).row_number("rn").lag("lag", F.col("v")).lead("lead", F.col("v"))
-        .running_sum("sum", F.col("v")).apply(skewed)
+    both = (
+        SplitWindow(["k"], ["o"], ["id"]).row_number("rn").lag("lag", F.col("v")).lead("lead", F.col("v"))
+        .running_sum("sum", F.col("v")).rank("rk").dense_rank("dr").apply(skewed)
     )
-    both = SplitWindow(["k"], ["o"], bucket).rank("rk").dense_rank("dr").apply(rows)
     got = {r.id: r for r in both.collect()}
     assert len(got) == 6000
     for row in expected.collect():
@@ -132,3 +138,41 @@ def test_quantiles_by_digits(spark, monkeypatch, bits):
             assert got[k].a == pytest.approx(middle, rel=1e-12), k
             assert (got[k].b, got[k].d, got[k].e) == (s[min(len(s) // 4, len(s) - 1)], s[0], s[-1]), k
             assert got[k].c == s[max(-(-9 * len(s) // 10), 1) - 1], k
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("nulls_first", [False, True])
+def test_directions_null_order_and_frames(spark, skewed, monkeypatch, descending, nulls_first):
+    """Few order values, NULL among them, so peers lie over many partitions; blocks of nine rows."""
+    from tallygrid.plans import split_window
+
+    monkeypatch.setattr(split_window, "BLOCK", 9)
+    rows = skewed.withColumn("o", F.when(F.col("o") % 7 != 0, F.floor(F.col("o") / 100)))
+    order = Order("o", descending, nulls_first)
+    by_value = Window.partitionBy("k").orderBy(order.of("o"))
+    plain = Window.partitionBy("k").orderBy(order.of("o"), F.col("id").desc())
+    whole = Window.partitionBy("k")
+    expected = rows.select(
+        "id", F.row_number().over(plain).alias("rn"), F.rank().over(by_value).alias("rk"), F.dense_rank().over(by_value).alias("dr"),
+        F.lag("v").over(plain).alias("lag"), F.lead("v", 3).over(plain).alias("lead3"), F.sum("v").over(plain.rowsBetween(-2, 0)).alias("last3"),
+        F.max("v").over(plain.rowsBetween(-4, 5)).alias("near"), F.count("v").over(plain.rowsBetween(1, 2)).alias("next2"),
+        F.sum("v").over(whole).alias("total"), F.count(F.lit(1)).over(whole).alias("n"))
+    window = (
+        SplitWindow(["k"], [order], [Order("id", True)]).row_number("rn").rank("rk").dense_rank("dr").lag("lag", F.col("v")).lead("lead3", F.col("v"), 3)
+        .rows("last3", F.sum, F.col("v"), -2, 0).rows("near", F.max, F.col("v"), -4, 5).rows("next2", F.count, F.col("v"), 1, 2)
+        .total("total", F.col("v")).count("n"))
+    got = window.apply(rows)
+    assert got.columns == [*rows.columns, "rn", "rk", "dr", "lag", "total", "n", "lead3", "last3", "near", "next2"]
+    assert {tuple(r) for r in got.select(*expected.columns).collect()} == {tuple(r) for r in expected.collect()} and got.count() == 6000
+
+
+def test_one_order_value_is_split(spark):
+    """A group of one day: its rows lie in many partitions."""
+    rows = spark.range(20000).select("id", F.lit("x").alias("k"), F.lit(1).alias("day"))
+    found = SplitWindow(["k"], ["day"], ["id"]).row_number("rn").rank("rk").dense_rank("dr").apply(rows)
+    assert found.where("rn = id + 1 and rk = 1 and dr = 1").count() == 20000
+    assert len(found.inputFiles()) >= 4
+
+
+def test_split_window_of_no_rows(skewed):
+    assert SplitWindow(["k"], ["o"]).rank("rk").rows("s", F.sum, F.col("v"), -1, 0).apply(skewed.where("false")).collect() == []
