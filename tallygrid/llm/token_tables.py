@@ -32,6 +32,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Distinct words whose ids a worker keeps at hand.
 HELD_WORDS = 1 << 19
+#: New words encoded in one text.
+TOGETHER = 256
 
 _ROWS = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
@@ -49,6 +51,10 @@ class _HeldWords:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # a special token parts words that are encoded in one text
+        parting = [(k, t.content) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
+                   if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.part_id, self.parting = parting[0] if parting else (None, None)
         self.known: dict[int, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
@@ -72,6 +78,17 @@ class _HeldWords:
         self.known = dict(zip(names[often].tolist(), range(len(often))))
         self.calls = np.ones(len(often), np.int32)
 
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that the tokenizer has not seen, and how many each has."""
+        if self.parting is None or any(self.parting in t for t in texts):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
+        joined = [self.parting.join(texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.append(np.array(x.ids, np.int32), np.int32(self.part_id)) for x in found])
+        sizes = np.diff(np.flatnonzero(ids == self.part_id), prepend=-1) - 1
+        return ids[ids != self.part_id], sizes
+
     def encode(self, part: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the part's words, and how many each word has."""
         names, first, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
@@ -82,12 +99,11 @@ class _HeldWords:
         new = np.flatnonzero(place < 0)
         if len(new):
             data, starts, ends = part.data, part.starts[first[new]].tolist(), part.ends[first[new]].tolist()
-            texts = [data[s:e].tobytes().decode() for s, e in zip(starts, ends)]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, sizes = self._encoded([data[s:e].tobytes().decode() for s, e in zip(starts, ends)])
             place[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip(names[new].tolist(), place[new].tolist()))
-            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum([len(x) for x in found])))
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.int32)))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
+            self.ids = np.concatenate((self.ids, ids))
             self.calls = np.concatenate((self.calls, np.zeros(len(new), np.int32)))
         self.calls[place] += 1
         place = place[inverse]
