@@ -16,6 +16,7 @@ from tallygrid.operators.adhoc_profile import profile_sql_column, top_values
 from tallygrid.operators.catalog import catalog_columns, free_name, search, table_name_for
 from tallygrid.operators.columns import COLUMN_QUERIES
 from tallygrid.operators.query import FAILURES, PAGE_ROWS, ResultPage, fetch, parse
+from tallygrid.operators.sql_text import adapted
 from tallygrid.operators.statements import Change, change_of
 from tallygrid.plans.paging import WrittenRows, write_rows
 from tallygrid.sources.csv_export import export_csv
@@ -154,8 +155,8 @@ class Workbench:
 
         The view keeps its text, so it follows later versions of its tables.
         """
-        text = sql.strip().removesuffix(";")
         try:
+            text = adapted(self.spark, sql.strip().removesuffix(";"))
             self.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {quoted(name)} AS {text}")
         except PySparkException:
             return False
@@ -226,7 +227,7 @@ class Workbench:
         return page
 
     def _execute(self, sql: str, limit: int, offset: int) -> ResultPage:
-        text = sql.strip().removesuffix(";")
+        text = adapted(self.spark, sql.strip().removesuffix(";"))
         change = change_of(self.spark, text, set(self._tables))
         if change:
             self._carry_out(change)
