@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -45,9 +46,15 @@ def release(spark: SparkSession, scope: str | None = None) -> None:
 
 @contextmanager
 def intermediates(spark: SparkSession, scope: str) -> Iterator[None]:
-    """What is written in the block belongs to `scope`, whose earlier intermediates go."""
+    """What is written in the block belongs to `scope`, whose earlier intermediates go.
+
+    The driver lets go of the plans of earlier blocks too, and Spark's cleaner of their broadcasts and shuffles:
+    both wait for a collection, which a driver with a heap to spare may put off for a long time.
+    """
     global _scope
     release(spark, scope)
+    gc.collect()
+    spark._jvm.System.gc()
     before, _scope = _scope, scope
     try:
         yield
