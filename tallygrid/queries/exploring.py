@@ -200,3 +200,42 @@ def ddl_alter(spark, folder):
     part = table(spark, folder, "part")
     renamed = changes.rename_column(part, "p_name", "p_title")
     return changes.add_column(changes.drop_column(renamed, "p_retailprice"), "p_note", "string")
+
+
+@query(
+    "dml_statements",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 2 ELSE o_totalprice END AS price,
+              CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE o_orderstatus END AS status, CAST(NULL AS VARCHAR) AS note
+       FROM orders WHERE o_orderkey % 3 <> 0
+       UNION ALL SELECT -c_custkey, c_acctbal, c_mktsegment, c_name FROM customer WHERE c_acctbal > 0""",
+)
+def dml_statements(spark, folder):
+    # five statements on one table; the first alone writes all rows
+    bench = Workbench(spark)
+    bench.create_table("changed_orders", table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")))
+    table(spark, folder, "customer").createOrReplaceTempView("new_customers")
+    for statement in (
+        "DELETE FROM changed_orders WHERE o_orderkey % 3 = 0",
+        "UPDATE changed_orders SET price = price / 2, status = 'closed' WHERE status = 'F'",
+        "ALTER TABLE changed_orders DROP COLUMN o_custkey",
+        "ALTER TABLE changed_orders ADD COLUMN note STRING",
+        "INSERT INTO changed_orders SELECT -c_custkey, c_acctbal, c_mktsegment, c_name FROM new_customers WHERE c_acctbal > 0",
+    ):
+        page = bench.execute(statement)
+        if page.error:
+            raise ValueError(page.error)
+    return bench.table("changed_orders")
+
+
+@query(
+    "dml_page",
+    """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0 ORDER BY o_orderkey LIMIT 700 OFFSET 9000""",
+)
+def dml_page(spark, folder):
+    # a page of a table that rows were taken out of, from their own places
+    bench = Workbench(spark)
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
+    bench.create_table("thinned_orders", rows)
+    bench.delete("thinned_orders", F.col("o_orderkey") % 5 == 0)
+    return bench.table_info("thinned_orders").rows.page(700, 9000)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.errors import PySparkException
@@ -19,6 +20,7 @@ from tallygrid.operators.query import FAILURES, PAGE_ROWS, ResultPage, fetch, pa
 from tallygrid.operators.sql_text import adapted
 from tallygrid.operators.statements import Change, change_of
 from tallygrid.plans.paging import WrittenRows, write_rows
+from tallygrid.plans.versions import TableVersion
 from tallygrid.sources.csv_export import export_csv
 from tallygrid.sources.csv_load import LoadedCsv, load_csv
 from tallygrid.sources.files import delete_folder
@@ -36,7 +38,7 @@ class Table:
     file_size: int
     encoding: str
     version: int
-    rows: WrittenRows | None
+    rows: TableVersion | None
     loaded: LoadedCsv | None = None
 
 
@@ -48,7 +50,7 @@ class LoadStatus:
     error: str | None = None
 
 
-def _stored_page(stored: WrittenRows, limit: int, offset: int) -> ResultPage:
+def _stored_page(stored: WrittenRows | TableVersion, limit: int, offset: int) -> ResultPage:
     shown = stored.page(limit, offset)
     rows = [list(r) for r in shown.collect()]
     return ResultPage(shown.columns, rows, len(rows), stored.row_count)
@@ -72,7 +74,7 @@ class Workbench:
         taken = set(self._tables)
         name = free_name(table_name, taken) if table_name else table_name_for(first, taken)
         loaded = load_csv(self.spark, path, **how)
-        return self._register(name, loaded.frame(), loaded.rows, first, loaded)
+        return self._register(name, TableVersion.of(loaded.rows, loaded.schema, self.spark), first, loaded)
 
     def load_files(self, paths: list[str]) -> list[LoadStatus]:
         """Load a list of files; one that fails is reported and passed over."""
@@ -91,18 +93,15 @@ class Workbench:
         if name in self._tables:
             raise ValueError(f"table exists: {name}")
         written = write_rows(df, "table")
-        return self._register(name, written.frame(), written, "", None)
+        return self._register(name, TableVersion.of(written, written.frame().schema, self.spark), "", None)
 
-    def _register(
-        self, name: str, frame: DataFrame, rows: WrittenRows | None, path: str, loaded: LoadedCsv | None
-    ) -> Table:
-        frame.createOrReplaceTempView(quoted(name))
+    def _register(self, name: str, rows: TableVersion, path: str, loaded: LoadedCsv | None) -> Table:
+        rows.frame().createOrReplaceTempView(quoted(name))
         self._forget_results()
         self._versions += 1
-        columns = [{"name": f.name, "dtype": f.dataType.simpleString()} for f in frame.schema.fields]
+        columns = [{"name": f.name, "dtype": f.dataType.simpleString()} for f in rows.schema.fields]
         table = Table(
-            name, path, rows.row_count if rows else 0, columns,
-            loaded.file_size if loaded else 0, loaded.plan.encoding if loaded else "UTF-8",
+            name, path, rows.row_count, columns, loaded.file_size if loaded else 0, loaded.plan.encoding if loaded else "UTF-8",
             self._versions, rows, loaded,
         )
         self._tables[name] = table
@@ -194,10 +193,23 @@ class Workbench:
             self.spark.sql(f"DROP TABLE {quoted(name)}")
             return True
         self.spark.catalog.dropTempView(name)
-        for folder in {f for f in (table.loaded and table.loaded.folder, table.rows and table.rows.path) if f}:
+        for folder in {*(table.rows.folders if table.rows else ()), *([table.loaded.folder] if table.loaded else ())}:
             delete_folder(self.spark, folder)
         return True
 
+    def release_versions(self, name: str) -> int:
+        """Delete what only earlier versions of a table read; who still reads one of these is cut off."""
+        table = self._tables[name]
+        unused = table.rows.unused()
+        for folder in unused:
+            delete_folder(self.spark, folder)
+        table.rows = replace(table.rows, folders=table.rows.folders - unused)
+        return len(unused)
+
+    def compact(self, name: str) -> Table:
+        """Write a table of many changes as one part."""
+        return self._change(name, lambda rows: rows.rewritten(rows.frame()))
+
     def clear_all(self) -> bool:
         for name in list(self._views):
             self.delete_view(name)
@@ -256,9 +268,9 @@ class Workbench:
             if columns:  # named columns, the others NULL
                 if len(columns) != len(rows.columns):
                     raise ValueError(f"{len(rows.columns)} values for {len(columns)} columns")
-                self._replace(change.table, changes.insert_named(self.table(change.table), rows, columns))
+                self._change(change.table, lambda old: old.insert(changes.insert_named(old.frame().limit(0), rows, columns)))
             else:
-                self._replace(change.table, changes.insert(self.table(change.table), rows, by_position=True))
+                self._change(change.table, lambda old: old.insert(changes.insert(old.frame().limit(0), rows, by_position=True)))
         elif change.kind == "add_column":
             for column, data_type in change.arguments:
                 self.add_column(change.table, column, data_type)
@@ -334,31 +346,39 @@ class Workbench:
 
     # changes -----------------------------------------------------------------
 
-    def _replace(self, name: str, df: DataFrame) -> Table:
-        """Write `df` as the table's next version; the old files stay for running readers."""
+    def _change(self, name: str, change: Callable[[TableVersion], TableVersion]) -> Table:
+        """Make a table's next version; earlier ones stay for those who read them (see `release_versions`)."""
         old = self._tables[name]
-        written = write_rows(df, "table")
+        rows = change(old.rows)
         self.clear_profiles(name)
         # rejects, size and encoding stay those of the load
-        return self._register(name, written.frame(), written, old.file_path, old.loaded)
+        return self._register(name, rows, old.file_path, old.loaded)
 
     def insert(self, name: str, rows: DataFrame | str) -> Table:
-        """Add rows: a DataFrame by column name, `VALUES` or `SELECT` text by position."""
+        """Add rows: a DataFrame by column name, `VALUES` or `SELECT` text by position. Only they are written."""
         by_position = isinstance(rows, str)
         added = parse(self.spark, rows) if by_position else rows
-        return self._replace(name, changes.insert(self.table(name), added, by_position))
+        return self._change(name, lambda old: old.insert(changes.insert(old.frame().limit(0), added, by_position)))
 
     def update(self, name: str, assignments: dict[str, Column], where: Column | None = None) -> Table:
-        return self._replace(name, changes.update(self.table(name), assignments, where))
+        """New values for the rows for which `where` is true; only they are written, and stand at the end."""
+        return self._change(name, lambda old: old.update(lambda rows: changes.update(rows, assignments), where))
 
     def delete(self, name: str, where: Column | None = None) -> Table:
-        return self._replace(name, changes.delete(self.table(name), where))
+        """Take out the rows for which `where` is true; bit maps of their places are written."""
+        return self._change(name, lambda old: old.delete(where))
 
     def add_column(self, name: str, column: str, data_type: str, default: Column | None = None) -> Table:
-        return self._replace(name, changes.add_column(self.table(name), column, data_type, default))
+        """A new column; without a default no data is written."""
+        made = changes.add_column(self.table(name), column, data_type, default)
+        return self._change(name, lambda old: old.add_column(column, data_type) if default is None else old.rewritten(made))
 
     def rename_column(self, name: str, old: str, new: str) -> Table:
-        return self._replace(name, changes.rename_column(self.table(name), old, new))
+        """A new name; no data is written."""
+        changes.rename_column(self.table(name), old, new)
+        return self._change(name, lambda rows: rows.rename_column(old, new))
 
     def drop_column(self, name: str, column: str) -> Table:
-        return self._replace(name, changes.drop_column(self.table(name), column))
+        """A column less; no data is written."""
+        changes.drop_column(self.table(name), column)
+        return self._change(name, lambda rows: rows.drop_column(column))
