@@ -18,6 +18,8 @@ from tallygrid.types import col
 ROW_ID = "__row_id"
 # monotonically_increasing_id keeps the partition number above this bit
 _PARTITION_SHIFT = 33
+# where ids have gaps, rows are counted per this many ids: a page then reads the row groups of these only
+BLOCK_SHIFT = 16
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -28,9 +30,9 @@ def with_row_id(df: DataFrame) -> DataFrame:
 class WrittenRows:
     """Rows written with a row id, and how many each written partition holds.
 
-    `partitions` is one `(first row id, rows)` pair per write task; `columns`
-    are the ones shown, by default all but the row id; `dense` tells that the ids of
-    each partition run without a gap.
+    `partitions` is one `(first id, rows)` pair per write task, or per block of ids where these have gaps;
+    `shift` tells which, and `dense` that there is none. `columns` are the ones shown, by default
+    all but the row id.
     """
 
     spark: SparkSession
@@ -38,6 +40,7 @@ class WrittenRows:
     partitions: list[tuple[int, int]]
     columns: list[str] | None = None
     dense: bool = False
+    shift: int = _PARTITION_SHIFT
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, columns: list[str] | None = None) -> "WrittenRows":
@@ -45,7 +48,17 @@ class WrittenRows:
         counted = spark.read.parquet(path).groupBy(part.alias("p")).agg(
             F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("low"), F.max(ROW_ID).alias("high")).collect()
         dense = all(r["high"] - r["low"] + 1 == r["n"] and r["low"] == r["p"] << _PARTITION_SHIFT for r in counted)
-        return cls(spark, path, sorted((r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted), columns, dense)
+        if dense:
+            return cls(spark, path, sorted((r["p"] << _PARTITION_SHIFT, r["n"]) for r in counted), columns, True)
+        return cls(spark, path, block_counts(spark.read.parquet(path)), columns, False, BLOCK_SHIFT)
+
+    @property
+    def blocks(self) -> list[tuple[int, int]]:
+        """`(first id, rows)` of every block of ids."""
+        if not self.dense:
+            return self.partitions
+        size = 1 << BLOCK_SHIFT
+        return [(first + k, min(size, n - k)) for first, n in self.partitions for k in range(0, n, size)]
 
     @property
     def row_count(self) -> int:
@@ -73,12 +86,19 @@ class WrittenRows:
             before = sum(n for first, n in self.partitions if first < ranges[-1])
             lower, upper = ranges[0] + first_skip, ranges[-1] + offset + limit - before
             return self._shown(rows.where((F.col(ROW_ID) >= lower) & (F.col(ROW_ID) < upper)).orderBy(ROW_ID).limit(limit))
-        upper = ranges[-1] + (1 << _PARTITION_SHIFT)
-        # partitions are contiguous, so one range of ids is what the scan prunes by
+        upper = ranges[-1] + (1 << self.shift)
+        # partitions, and blocks, are contiguous, so one range of ids is what the scan prunes by
         wanted = rows.where((F.col(ROW_ID) >= ranges[0]) & (F.col(ROW_ID) < upper))
         return self._shown(wanted.orderBy(ROW_ID).offset(first_skip).limit(limit))
 
 
+def block_counts(rows: DataFrame) -> list[tuple[int, int]]:
+    """`(first id, rows)` of every block of ids that has rows."""
+    block = F.shiftright(F.col(ROW_ID), BLOCK_SHIFT)
+    counted = rows.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row to 65,536 ids
+    return sorted((r["b"] << BLOCK_SHIFT, r["n"]) for r in counted)
+
+
 def write_rows(df: DataFrame, label: str = "result") -> WrittenRows:
     """Write an ordered result to the shared folder."""
     spark = df.sparkSession

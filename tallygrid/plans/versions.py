@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.plans.paging import ROW_ID, WrittenRows, write_rows
+from tallygrid.plans.paging import BLOCK_SHIFT, ROW_ID, WrittenRows, write_rows
 from tallygrid.session import new_folder
 from tallygrid.types import col
 
@@ -29,7 +29,7 @@ class Part:
     rows: WrittenRows
     stored: dict[str, str | None]    # column -> stored column; None where the part has no value
     gone: str | None = None          # folder of (word, bits)
-    live: tuple[tuple[int, int], ...] | None = None   # live rows per written partition, where some are gone
+    live: tuple[tuple[int, int], ...] | None = None   # live rows per block of ids, where some are gone
 
     @property
     def row_count(self) -> int:
@@ -97,7 +97,8 @@ class TableVersion:
                 first = first if wanted else offset - skipped
                 wanted.append(start)
             skipped += n
-        rows = self._rows(part).where((F.col(ROW_ID) >= wanted[0]) & (F.col(ROW_ID) < wanted[-1] + (1 << 33)))
+        span = 1 << (part.rows.shift if part.live is None else BLOCK_SHIFT)
+        rows = self._rows(part).where((F.col(ROW_ID) >= wanted[0]) & (F.col(ROW_ID) < wanted[-1] + span))
         if part.gone is None and part.rows.dense:  # the ids of the page are known
             before = sum(n for start, n in sizes if start < wanted[-1])
             rows = rows.where((F.col(ROW_ID) >= wanted[0] + first) & (F.col(ROW_ID) < wanted[-1] + offset + limit - before))
@@ -135,9 +136,9 @@ class TableVersion:
                 now = self.spark.read.schema("word bigint, bits bigint").parquet(own)
                 own = new_folder(self.spark, "gone")
                 before.unionAll(now).groupBy("word").agg(F.bit_or("bits").alias("bits")).write.parquet(own)
-            lost = {r.p << 33: r.n for r in self.spark.read.parquet(own).groupBy(F.shiftright("word", 33 - _WORD).alias("p")).agg(
+            lost = {r.b << BLOCK_SHIFT: r.n for r in self.spark.read.parquet(own).groupBy(F.shiftright("word", BLOCK_SHIFT - _WORD).alias("b")).agg(
                 F.sum(F.bit_count("bits")).alias("n")).collect()}
-            live = tuple((start, n - lost.get(start, 0)) for start, n in part.rows.partitions)
+            live = tuple((start, n - lost.get(start, 0)) for start, n in part.rows.blocks)
             parts.append(replace(part, gone=own, live=live))
         return tuple(p for p in parts if p.row_count)
 

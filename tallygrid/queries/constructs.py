@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallygrid.operators.columns import not_in
 from tallygrid.plans.split_window import Order, SplitWindow
 from tallygrid.queries.profiles import GAPS_ORACLE, orders_with_gaps
+from tallygrid.session import unbound_recursion
 from tallygrid.queries.registry import query, table
 
 
@@ -286,8 +287,7 @@ def sql_cte(spark, folder):
     return spark.sql(MONTHLY, orders=table(spark, folder, "orders"))
 
 
-# one step per quarter between the first and the last shipment; Spark stops a
-# recursion after 100 steps unless told otherwise, which is 25 years here
+# one step per quarter between the first and the last shipment
 CALENDAR = """
     WITH RECURSIVE shipped AS (
         SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS BIGINT) AS q, COUNT(*) AS n,
@@ -302,9 +302,27 @@ CALENDAR = """
 
 @query("sql_recursive", CALENDAR.format(lineitem="lineitem"))
 def sql_recursive(spark, folder):
+    unbound_recursion(spark)
     return spark.sql(CALENDAR, lineitem=table(spark, folder, "lineitem"))
 
 
+DAYS = """
+    WITH RECURSIVE span AS (SELECT MIN(o_orderdate) AS first_day, MIN(o_orderdate) + INTERVAL 300 DAY AS last_day FROM {orders}),
+    days(d, last_day) AS (
+        SELECT first_day, last_day FROM span
+        UNION ALL SELECT d + INTERVAL 1 DAY, last_day FROM days WHERE d < last_day),
+    sold AS (SELECT o_orderdate AS d, COUNT(*) AS n FROM {orders} GROUP BY 1)
+    SELECT CAST(CAST(days.d AS DATE) AS STRING) AS d, COALESCE(sold.n, 0) AS n FROM days LEFT JOIN sold ON days.d = sold.d
+"""
+
+
+@query("sql_recursive_days", DAYS.format(orders="orders"))
+def sql_recursive_days(spark, folder):
+    # three hundred steps, one a day
+    unbound_recursion(spark)
+    return spark.sql(DAYS, orders=table(spark, folder, "orders"))
+
+
 @query(
     "win_rank",
     """SELECT o_orderkey, o_orderstatus,

@@ -21,9 +21,18 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
+    # WITH RECURSIVE ends when a step gives no rows, not after a number of steps or rows
+    "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
+def unbound_recursion(spark: SparkSession) -> None:
+    """Let WITH RECURSIVE run as deep as it goes, in a session that `build_session` has not made."""
+    for key in ("spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def build_session(app_name: str = "tallygrid", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the library is tested with.
 

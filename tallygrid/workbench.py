@@ -21,6 +21,7 @@ from tallygrid.operators.sql_text import adapted
 from tallygrid.operators.statements import Change, change_of
 from tallygrid.plans.paging import WrittenRows, write_rows
 from tallygrid.plans.versions import TableVersion
+from tallygrid.session import unbound_recursion
 from tallygrid.sources.csv_export import export_csv
 from tallygrid.sources.csv_load import LoadedCsv, load_csv
 from tallygrid.sources.files import delete_folder
@@ -65,6 +66,7 @@ class Workbench:
         self._results: dict[str, tuple[WrittenRows, list[str]]] = {}
         self._versions = 0
         register_functions(spark)
+        unbound_recursion(spark)
 
     # loading -----------------------------------------------------------------
 

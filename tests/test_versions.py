@@ -117,3 +117,33 @@ def test_random_changes_equal_plain_ones(bench):
     paged = [r[0] for offset in range(0, len(rows), 1000) for r in bench.table_data("t", 1000, offset).data]
     assert sorted(paged) == sorted(rows) and len(paged) == len(rows)
     assert ROW_ID not in bench.table("t").columns
+
+
+def test_pages_of_a_table_with_rejects_read_their_blocks(spark, tmp_path, monkeypatch):
+    """Every tenth line is a reject, so ids have gaps; blocks of 64 ids."""
+    from tallygrid.plans import paging, versions
+
+    for module in (paging, versions):
+        monkeypatch.setattr(module, "BLOCK_SHIFT", 6)
+    path = tmp_path / "gaps.csv"
+    path.write_text("a,b\n" + "".join(f"{i},x,y\n" if i % 10 == 9 else f"{i},x\n" for i in range(5000)))
+    bench = Workbench(spark)
+    bench.load_csv(str(path), "gaps")
+    kept = [i for i in range(5000) if i % 10 != 9]
+    rows = bench.table_info("gaps").rows
+    assert not rows.parts[0].rows.dense and max(n for _, n in rows.parts[0].rows.partitions) <= 64
+    for offset in (0, 57, 58, 2000, 4495, 4500):
+        assert [r[0] for r in bench.table_data("gaps", 20, offset).data] == kept[offset : offset + 20]
+    plan = rows.page(20, 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(__row_id" in plan and "LessThan(__row_id" in plan
+    bench.delete("gaps", F.col("a") < 1000)
+    assert [r[0] for r in bench.table_data("gaps", 20, 50).data] == [i for i in kept if i >= 1000][50:70]
+    bench.clear_all()
+
+
+def test_recursion_goes_as_deep_as_it_has_to(bench):
+    page = bench.execute("WITH RECURSIVE q(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM q WHERE n < 800) SELECT COUNT(*), MAX(n) FROM q")
+    assert page.error is None and page.data == [[800, 800]]
+    bench.create_table("edges", "SELECT id AS a, id + 1 AS b FROM range(150)")
+    page = bench.execute("WITH RECURSIVE r(x) AS (SELECT 0L UNION ALL SELECT b FROM r JOIN edges ON x = a) SELECT COUNT(*) FROM r")
+    assert page.error is None and page.data == [[151]]
