@@ -232,7 +232,8 @@ def read_bundles(spark: SparkSession, folder: str, payload: bool = True) -> Data
                             rows.append(_row(headers, block))
                         yield _record_batch(rows, payload)
 
-    return map_arrow(bundles.repartition(n, "bundle"), read, _schema(payload))
+    # dealt out evenly: by key they would stay in the partitions of `distinct`, which may be merged into one
+    return map_arrow(bundles.coalesce(1).repartition(n), read, _schema(payload))
 
 
 def read_records(spark: SparkSession, folder: str, wanted: DataFrame, payload: bool = True) -> DataFrame:
