@@ -68,14 +68,57 @@ def profile_sql_column(df: DataFrame, column: str) -> DataFrame:
     data_type = field(df, column).dataType
     counted = _groupable(df, column).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     summary = _summary(counted.withColumn("v", as_number(F.col("value"), data_type)), QUARTILES)
+    return _described(summary, F.lit(column))
+
+
+def _comparable(df: DataFrame, column: str) -> Column:
+    """A text for each value, equal for equal values only."""
+    data_type = field(df, column).dataType
+    if isinstance(data_type, T.BinaryType):
+        return F.hex(col(column))
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return (col(column) + F.lit(0.0).cast(data_type)).cast("string")  # both zeros are one value
+    return col(column).cast("string")
+
+
+def profile_sql_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`profile_sql_column` of several columns of a query result, a row each; the query runs once for all.
+
+    Values of all columns are counted together, as texts with the number they stand for.
+    """
+    cells = F.array(*(
+        F.struct(F.lit(k).alias("k"), _comparable(df, c).alias("value"), as_number(col(c), field(df, c).dataType).alias("v"))
+        for k, c in enumerate(columns)))
+    counted = df.select(F.explode(cells).alias("cell")).select("cell.*").groupBy("k", "value", "v").agg(F.count(F.lit(1)).alias("n"))
+    n, v = F.col("n"), F.col("v")
+    mean = F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n)))
+    totals = counted.groupBy("k").agg(
+        F.sum(n).alias("total_rows"), F.count("value").alias("unique_count"),
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), n)), F.lit(0)).alias("present"),
+        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("numbers"),
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"), mean.alias("mean_value"))
+    # a row per column
+    centres = counted.groupBy("k").agg(mean.alias("centre"))
+    spread = counted.join(F.broadcast(centres), "k").groupBy("k").agg(F.sum(n * (v - F.col("centre")) * (v - F.col("centre"))).alias("spread"))
+    quantiles = counted_quantiles(counted.select("k", "v", "n"), ["k"], QUARTILES, few_groups=True)
+    named = df.sparkSession.createDataFrame(list(enumerate(columns)), "k int, column_name string")
+    found = named
+    for part in (totals, spread, quantiles):
+        found = found.join(F.broadcast(part), "k", "left")
+    found = found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_rows", "unique_count", "present", "numbers")}).withColumn(
+        "std_value", F.when(F.col("numbers") > 1, F.sqrt(F.col("spread") / (F.col("numbers") - 1))))
+    return _described(found, F.col("column_name"))
+
+
+def _described(summary: DataFrame, name: Column) -> DataFrame:
     numeric = (F.col("present") > 0) & (F.col("numbers") == F.col("present"))
     missing = F.col("total_rows") - F.col("present")
     return summary.select(
-        F.lit(column).alias("column_name"),
+        name.alias("column_name"),
         F.when(F.col("present") == 0, "unknown").when(numeric, "numeric").otherwise("text").alias("dtype"),
         "total_rows", "unique_count", missing.alias("missing_count"),
         percent(missing, F.col("total_rows")).alias("missing_percentage"), numeric.alias("is_numeric"),
-        *[F.when(numeric, clean(F.col(name))).alias(name) for name in _STATISTICS],
+        *[F.when(numeric, clean(F.col(c))).alias(c) for c in _STATISTICS],
     )
 
 

@@ -279,10 +279,7 @@ def profile_sql(spark, folder):
         REVENUE.replace("{text}", "STRING"),
         lineitem=table(spark, folder, "lineitem"), orders=table(spark, folder, "orders"),
     )
-    parts = [
-        adhoc_profile.profile_sql_column(result, c) for c in ("revenue", "quantity_text", "o_orderpriority")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return adhoc_profile.profile_sql_columns(result, ["revenue", "quantity_text", "o_orderpriority"])
 
 
 # numbers as text, some of them missing in three ways or replaced by words

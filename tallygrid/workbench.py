@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions.scalar_sql import register_functions
 from tallygrid.operators import changes, distribution as dist, profile
-from tallygrid.operators.adhoc_profile import profile_sql_column, top_values
+from tallygrid.operators.adhoc_profile import profile_sql_column, profile_sql_columns, top_values
 from tallygrid.operators.catalog import catalog_columns, free_name, search, table_name_for
 from tallygrid.operators.columns import COLUMN_QUERIES
 from tallygrid.operators.query import FAILURES, PAGE_ROWS, ResultPage, fetch, parse
@@ -335,6 +335,11 @@ class Workbench:
         df = parse(self.spark, sql)
         return profile_sql_column(df, column), top_values(df, column)
 
+    def analyze_columns_from_sql(self, sql: str, columns: list[str] | None = None) -> DataFrame:
+        """Profiles of several columns (or all) of a query result, from one run of the query."""
+        df = parse(self.spark, sql)
+        return profile_sql_columns(df, columns if columns is not None else df.columns)
+
     def missing_report(self, name: str) -> tuple[DataFrame, DataFrame]:
         """The report per column and the summary of the table."""
         df = self.table(name)

@@ -203,3 +203,16 @@ def test_categories(mixed):
     assert kinds["flag"] == "boolean" and kinds["pair"] == kinds["listed"] == kinds["lookup"] == kinds["bytes"] == "other"
     summary = {r.category: r.column_count for r in profile.dtype_summary(mixed).collect()}
     assert sum(summary.values()) == len(mixed.columns) and not math.isnan(summary["integer"])
+
+
+def test_profiles_of_several_result_columns(spark):
+    from tallygrid.operators.adhoc_profile import profile_sql_column, profile_sql_columns
+
+    df = spark.sql("""SELECT id, CASE WHEN id % 4 <> 0 THEN id / 2 END AS half, concat('t', id % 5) AS t, CAST(id % 3 AS STRING) AS digits, id % 2 = 0 AS b,
+        date'2024-01-01' AS d, NULL AS nothing, CAST('x' AS BINARY) AS raw, CASE WHEN id % 2 = 0 THEN -0.0D ELSE 0.0D END AS zero, array(id) AS a FROM range(50)""")
+    together = {r.column_name: r for r in profile_sql_columns(df, df.columns).collect()}
+    for c in df.columns:
+        one = profile_sql_column(df, c).first()
+        assert {k: round(v, 9) if isinstance(v, float) else v for k, v in one.asDict().items()} == {
+            k: round(v, 9) if isinstance(v, float) else v for k, v in together[c].asDict().items()}, c
+    assert {r.dtype for r in profile_sql_columns(df.where("false"), ["id", "t"]).collect()} == {"unknown"}
