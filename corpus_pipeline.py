@@ -36,7 +36,11 @@ def _stage(build: Callable) -> Callable:
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the robust distance keep."""
+    """Documents that the base rule and the robust distance keep.
+
+    Null and empty texts have too few words and go. Rows that repeat a doc_id, or have none, are judged each by
+    its own text; null languages and sources are groups like others. An empty table stays empty.
+    """
     return kept_by_quality(docs)
 
 
@@ -61,19 +65,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Null and empty texts hold none and stay. If one of the rows that repeat a doc_id, or have none, holds an item, all
+    of them go. An empty table stays empty; without items all documents stay.
+    """
     return without_ids(docs, contaminated(docs, benchmark_items(spark, sf_dir)))
 
 
 @_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null and empty texts have no words and are never taken. Null sources are one source. Rows that repeat doc_id
+    and text are taken alike, all or none at the cut. An empty table stays empty.
+    """
     return repeated_by_mix(docs, mixed(docs))
 
 
 @_stage
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Start, number and checksum of each document's ids in the token table, read back from its files."""
+    """Start, number and checksum of each document's ids in the token table, read back from its files.
+
+    Null and empty texts are the end id alone. Rows that repeat a doc_id are written each, in the order of their
+    texts; a null doc_id stands first. An empty table gives no rows.
+    """
     return token_digests(spark, docs)
 
 
