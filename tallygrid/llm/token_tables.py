@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm import words as W
+from tallygrid.llm.hash_table import HashTable
 from tallygrid.llm.shared import map_arrow
 
 ROW_GROUP_BYTES = 16 << 20
@@ -32,6 +33,8 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 #: Distinct words whose ids a worker keeps at hand.
 HELD_WORDS = 1 << 19
+#: A slice of texts may add as many words again before rare ones go.
+_SLOTS = 1 << 21
 #: New words encoded in one text.
 TOGETHER = 256
 
@@ -55,7 +58,8 @@ class _HeldWords:
         parting = [(k, t.content) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                    if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.part_id, self.parting = parting[0] if parting else (None, None)
-        self.known: dict[int, int] = {}
+        self.known = HashTable(_SLOTS)
+        self.names = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
         self.calls = np.zeros(0, np.int32)
@@ -74,8 +78,9 @@ class _HeldWords:
         sizes = np.diff(self.at)
         self.ids = self.ids[np.repeat(np.isin(np.arange(len(sizes)), often), sizes)]
         self.at = np.concatenate(([0], np.cumsum(sizes[often])))
-        names = np.fromiter(self.known, np.uint64, len(self.known))  # in the order of their places
-        self.known = dict(zip(names[often].tolist(), range(len(often))))
+        self.names = self.names[often]
+        self.known.clear()
+        self.known.add(self.names, np.arange(len(often), dtype=np.int32))
         self.calls = np.ones(len(often), np.int32)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +97,16 @@ class _HeldWords:
     def encode(self, part: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the part's words, and how many each word has."""
         names, first, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
-        if len(self.known) > HELD_WORDS:
+        if len(self.names) > HELD_WORDS:
             self._drop_rare()
-        numbers = names.tolist()
-        place = np.fromiter(map(self.known.get, numbers, repeat(-1)), np.int64, len(numbers))
+        place = self.known.find(names).astype(np.int64)
         new = np.flatnonzero(place < 0)
         if len(new):
             data, starts, ends = part.data, part.starts[first[new]].tolist(), part.ends[first[new]].tolist()
             ids, sizes = self._encoded([data[s:e].tobytes().decode() for s, e in zip(starts, ends)])
-            place[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(names[new].tolist(), place[new].tolist()))
+            place[new] = np.arange(len(self.names), len(self.names) + len(new))
+            self.known.add(names[new], place[new])
+            self.names = np.concatenate((self.names, names[new]))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, ids))
             self.calls = np.concatenate((self.calls, np.zeros(len(new), np.int32)))

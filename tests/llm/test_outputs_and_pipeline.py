@@ -70,6 +70,24 @@ def test_tokens_when_few_words_are_held(docs, texts, tokenizer, monkeypatch):
     assert token_tables._HeldWords.of(vocabulary()) is held
 
 
+def test_hash_table():
+    from tallygrid.llm.hash_table import HashTable
+
+    random, table, held = np.random.default_rng(4), HashTable(64), {}
+    for n in (0, 1, 20, 500, 3000):
+        keys = np.setdiff1d(random.integers(0, 2**63, n).astype(np.uint64), np.array(list(held), np.uint64))
+        if n == 500:
+            keys[:200] &= np.uint64(2**20 - 1)  # one first slot for all
+            keys = np.setdiff1d(np.unique(keys), np.array(list(held), np.uint64))
+        values = np.arange(len(held), len(held) + len(keys))
+        table.add(keys, values)
+        held |= dict(zip(keys.tolist(), values.tolist()))
+        assert table.find(np.array(list(held), np.uint64)).tolist() == list(held.values()) and 2 * table.size <= table.slots
+        assert (table.find(np.setdiff1d(random.integers(0, 2**63, 999).astype(np.uint64), np.array(list(held), np.uint64))) == -1).all()
+    table.clear()
+    assert table.slots == 64 and (table.find(np.array(list(held), np.uint64)) == -1).all()
+
+
 def test_token_files_have_indexes_and_encodings(spark, docs):
     import pyarrow.parquet as pq
     folder = temporary_folder(spark, "tokens")
