@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ _PLAIN = -1
 
 @dataclass
 class LineFacts:
-    """One file: its lines are `\\n` apart, or `\\r` where `returns` is set."""
+    """One file, by a path that readers take: its lines are `\\n` apart, or `\\r` where `returns` is set."""
 
     file: str
     encoding: str
@@ -149,7 +150,7 @@ def line_facts(spark: SparkSession, paths: str | list[str], encoding: str | None
         if r.pair == _PLAIN:
             own = encoding or decide(r.bom or None, r.utf8, r.zeros * 4 >= max(r.size, 1), r.gb and not r.utf8, r.paired, r.unpaired)
             header = bytes(r.header) if r.header is not None else None
-            facts[r.file] = LineFacts(r.file, own, header, returns, (r.odd0, r.odd1)), r.inner_cr
+            facts[r.file] = LineFacts(unquote(r.file), own, header, returns, (r.odd0, r.odd1)), r.inner_cr
     again = []
     for r in found:
         if r.pair != _PLAIN:
@@ -158,7 +159,7 @@ def line_facts(spark: SparkSession, paths: str | list[str], encoding: str | None
     for file, (own, inner) in list(facts.items()):
         # a file of one line that holds line ends of the old kind
         if inner and not returns and sum(next(iter(own.widths.values()), Counter()).values()) <= 1:
-            again.append(file)
+            again.append(own.file)
             del facts[file]
     out = [own for own, _ in facts.values()]
     if again:

@@ -150,12 +150,10 @@ def _plan(spark: SparkSession, facts: LineFacts, dialect: Dialect | None) -> Csv
     return CsvPlan(facts.file, facts.encoding, found, header_of(lines, found))
 
 
-def _grouped(
-    spark: SparkSession, paths: str | list[str], encoding: str | None, dialect: Dialect | None
-) -> list[_Group]:
+def _grouped(spark: SparkSession, found: list[LineFacts], dialect: Dialect | None) -> list[_Group]:
     """The files by what they agree in: as many groups as there are different headers, encodings and dialects."""
     groups: dict[tuple, _Group] = {}
-    for facts in line_facts(spark, paths, encoding):
+    for facts in found:
         plan = _plan(spark, facts, dialect)
         key = (facts.encoding, facts.returns, plan.dialect, tuple(plan.names))
         groups.setdefault(key, _Group([], plan, facts.returns)).files.append(facts.file)
@@ -236,20 +234,25 @@ def load_csv(
     encoding: str | None = None,
     dialect: Dialect | None = None,
     types: dict[str, str] | None = None,
+    facts: dict[str, LineFacts] | None = None,
 ) -> LoadedCsv:
     """Load a file, a folder, or several of either into a written table.
 
     Files may differ in header, encoding and delimiter; their columns meet by name. A
     column's type fits all its values. `types` names types for some columns instead; values
-    that do not cast to them put their rows among the rejects.
+    that do not cast to them put their rows among the rejects. `facts` are those of files that were
+    looked at before, by path (see `csv_lines`).
     """
     given = [paths] if isinstance(paths, str) else paths
-    size = sum(list_files(spark, p).agg(F.sum("length")).first()[0] or 0 for p in given)
+    files = [r for p in given for r in list_files(spark, p).collect()]
+    size = sum(r.length for r in files)
+    known = [(facts or {}).get(r.path) for r in files] if encoding is None else []
     # the splits of a file stay the same from pass to pass, however many executors there are by then
     splits = str(spark.sparkContext.defaultParallelism)
     with setting(spark, "spark.sql.legacy.javaCharsets", "true"), setting(spark, "spark.sql.files.minPartitionNum", splits), \
             setting(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
-        groups = [g for g in _grouped(spark, paths, encoding, dialect) if g.plan.names]
+        found = known if known and all(known) else line_facts(spark, paths, encoding)
+        groups = [g for g in _grouped(spark, sorted(found, key=lambda f: f.file), dialect) if g.plan.names]
         if not groups:
             raise ValueError(f"no header in {given[0]}")
         plan = groups[0].plan
@@ -261,8 +264,8 @@ def load_csv(
         for g in groups:  # the first spelling counts
             g.plan.names = [next(n for n in names if n.lower() == own.lower()) for own in g.plan.names]
         raw = _together(spark, groups, names)
-        found = CsvPlan(plan.path, plan.encoding, plan.dialect, names, infer_types(raw, names) | (types or {}))
-        return _write(spark, raw, found, size)
+        whole = CsvPlan(plan.path, plan.encoding, plan.dialect, names, infer_types(raw, names) | (types or {}))
+        return _write(spark, raw, whole, size)
 
 
 def _write(spark: SparkSession, raw: DataFrame, plan: CsvPlan, size: int) -> LoadedCsv:

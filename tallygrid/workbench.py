@@ -23,8 +23,9 @@ from tallygrid.plans.paging import WrittenRows, write_rows
 from tallygrid.plans.versions import TableVersion
 from tallygrid.session import unbound_recursion
 from tallygrid.sources.csv_export import export_csv
+from tallygrid.sources.csv_lines import line_facts
 from tallygrid.sources.csv_load import LoadedCsv, load_csv
-from tallygrid.sources.files import delete_folder
+from tallygrid.sources.files import delete_folder, exists
 from tallygrid.types import quoted
 
 
@@ -79,11 +80,16 @@ class Workbench:
         return self._register(name, TableVersion.of(loaded.rows, loaded.schema, self.spark), first, loaded)
 
     def load_files(self, paths: list[str]) -> list[LoadStatus]:
-        """Load a list of files; one that fails is reported and passed over."""
+        """Load a list of files; one that fails is reported and passed over. All are looked at in one pass, and loaded one by one."""
         out = []
+        there = [p for p in paths if exists(self.spark, p)]
+        try:
+            facts = {f.file: f for f in line_facts(self.spark, there)} if there else {}
+        except FAILURES:  # then each is looked at by itself, and fails by itself
+            facts = {}
         for path in paths:
             try:
-                table = self.load_csv(path)
+                table = self.load_csv(path, facts=facts)
                 out.append(LoadStatus(path, table.name, table.row_count))
             except (PySparkException, OSError, ValueError) as error:
                 out.append(LoadStatus(path, None, 0, str(error)))
