@@ -48,6 +48,11 @@ def _share(part: str, of: Column, weight: float = 10.0) -> Column:
     return F.log1p(weight * F.col(part) / (of + 10))
 
 
+def _bent(value: Column, linear: float = 25.0) -> Column:
+    """The value up to `linear` (words of a hundred characters on average), logarithmic beyond, so that squares can be summed."""
+    return F.when(value <= linear, value).otherwise(linear * (1 + F.log(value / linear)))
+
+
 def statistics() -> dict[str, Column]:
     """The statistics of a text out of its counts."""
     words, letters = F.col("n_words"), F.col("n_upper") + F.col("n_lower") + F.col("n_wide")
@@ -60,7 +65,7 @@ def statistics() -> dict[str, Column]:
         "dup_lines": _share("n_dup_lines", F.col("n_lines")),
         # distinct words against what a text of that length usually has, and the length of words
         "variety": 4 * F.log((F.col("n_distinct_words") + 20) / (words + 20)) / F.log(words + 20),
-        "word_length": (F.col("word_chars") + 100) / (words + 20) / 4,
+        "word_length": _bent((F.col("word_chars") + 100) / (words + 20) / 4),
     }
 
 
