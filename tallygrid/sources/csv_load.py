@@ -25,7 +25,7 @@ from tallygrid.sources.csv_dialect import QUOTES, Dialect, choose, header_of
 from tallygrid.sources.csv_encoding import UTF16, head_bytes
 from tallygrid.sources.csv_lines import LineFacts, line_facts
 from tallygrid.sources.csv_records import records
-from tallygrid.sources.files import exists, list_files
+from tallygrid.sources.files import delete_folder, exists, list_files
 from tallygrid.types import col, text_to_double
 
 _CORRUPT, _FILE, _OK, _REASON, _LINE, _OPEN = "__corrupt", "__file", "__ok", "__reason", "__line", "__open"
@@ -165,8 +165,8 @@ def _schema(plan: CsvPlan) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in (*(f"c{i}" for i in range(len(plan.names))), _CORRUPT)])
 
 
-def _raw(spark: SparkSession, group: _Group) -> DataFrame:
-    """The fields of `_schema`, the file, and whether the row's quote was left open."""
+def _raw(spark: SparkSession, group: _Group, made: list[str]) -> DataFrame:
+    """The fields of `_schema`, the file, and whether the row's quote was left open; `made` gets the folders it rests on."""
     plan = group.plan
     options = {
         "sep": plan.dialect.sep, "quote": plan.dialect.quote, "escape": plan.dialect.quote, "mode": "PERMISSIVE",
@@ -176,7 +176,7 @@ def _raw(spark: SparkSession, group: _Group) -> DataFrame:
         if plan.encoding == UTF16:  # line ends are two bytes, which only the whole-file reader finds
             reader = reader.option("multiLine", True)
         return reader.csv(group.files).select(*_schema(plan).names, F.col("_metadata.file_path").alias(_FILE), F.lit(False).alias(_OPEN))
-    rows = records(spark, group.files, plan.dialect.sep, plan.dialect.quote, len(plan.names), _codec(plan.encoding), group.returns)
+    rows = records(spark, group.files, plan.dialect.sep, plan.dialect.quote, len(plan.names), _codec(plan.encoding), group.returns, made)
     parsed = rows.select(F.from_csv("text", _schema(plan).simpleString()[7:-1].replace(":", " "), options).alias("r"), "text", "file", "open")
     return parsed.select(
         *[f"r.{c}" for c in _schema(plan).names[:-1]], F.when(F.col("open"), F.col("text")).otherwise(F.col(f"r.{_CORRUPT}")).alias(_CORRUPT),
@@ -194,12 +194,12 @@ def infer_types(raw: DataFrame, names: list[str]) -> dict[str, str]:
     }
 
 
-def _together(spark: SparkSession, groups: list[_Group], names: list[str]) -> DataFrame:
+def _together(spark: SparkSession, groups: list[_Group], names: list[str], made: list[str]) -> DataFrame:
     """The rows of all groups, their fields under `c0, c1, ...` in the order of `names`; missing ones are NULL."""
     parts = []
     for group in groups:
         own = {name: f"c{i}" for i, name in enumerate(group.plan.names)}
-        raw = _raw(spark, group)
+        raw = _raw(spark, group, made)
         line = F.coalesce(F.col(_CORRUPT), F.concat_ws(group.plan.dialect.sep, *[F.coalesce(c, F.lit("")) for c in own.values()]))
         parts.append(raw.select(
             *[(F.col(own[n]) if n in own else F.lit(None).cast("string")).alias(f"c{i}") for i, n in enumerate(names)],
@@ -263,9 +263,13 @@ def load_csv(
                 names.append(name)
         for g in groups:  # the first spelling counts
             g.plan.names = [next(n for n in names if n.lower() == own.lower()) for own in g.plan.names]
-        raw = _together(spark, groups, names)
+        made: list[str] = []
+        raw = _together(spark, groups, names, made)
         whole = CsvPlan(plan.path, plan.encoding, plan.dialect, names, infer_types(raw, names) | (types or {}))
-        return _write(spark, raw, whole, size)
+        loaded = _write(spark, raw, whole, size)
+        for folder in made:
+            delete_folder(spark, folder)
+        return loaded
 
 
 def _write(spark: SparkSession, raw: DataFrame, plan: CsvPlan, size: int) -> LoadedCsv:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.session import map_arrow
+from tallygrid.session import map_arrow, new_folder
 from tallygrid.sources.csv_lines import read_lines, runs
 
 #: What a line is to a field that is open when it begins: it goes on, ends well, or cannot be inside.
@@ -241,11 +241,14 @@ def _lines(batches: Iterator[pa.RecordBatch], codec: str) -> Iterator[tuple[str,
                 before = (file, block)
 
 
-def records(spark: SparkSession, files: list[str], sep: str, quote: str, width: int, codec: str, returns: bool = False) -> DataFrame:
+def records(
+    spark: SparkSession, files: list[str], sep: str, quote: str, width: int, codec: str, returns: bool = False, made: list[str] | None = None
+) -> DataFrame:
     """`(file, text, open)` of every record of files of one dialect and header, without the header, in file order.
 
     `open` marks a line whose quote was left open. Blank lines between records are none. The
-    splits of the files must stay the same until the frame has been used.
+    splits of the files must stay the same until the frame has been used, and so must the folders that
+    are added to `made`.
     """
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule, split, rows = LineRule(sep, quote), None, []
@@ -307,6 +310,12 @@ def records(spark: SparkSession, files: list[str], sep: str, quote: str, width:
     joined = pieces.select(
         F.col("file").alias("__file"), F.col("record").alias("__record"),
         F.regexp_replace(F.array_join("pieces.text", "\n"), "\r$", "").alias("__text"))
+    # at most one record a split, written so that Spark knows their size and ships them only if they are small
+    folder = new_folder(spark, "pieces")
+    joined.write.parquet(folder)
+    if made is not None:
+        made.append(folder)
+    joined = spark.read.schema(joined.schema).parquet(folder)
     kept = rows.where((F.col("kind") != PIECE) | (F.col("at") == F.col("record")))
-    return kept.join(joined.hint("broadcast") if len(splits) < 10_000 else joined, (F.col("kind") == PIECE) & (F.col("file") == F.col("__file"))
-                     & (F.col("record") == F.col("__record")), "left").select("file", F.coalesce("__text", "text").alias("text"), opened)
+    first = (F.col("kind") == PIECE) & (F.col("file") == F.col("__file")) & (F.col("record") == F.col("__record"))
+    return kept.join(joined, first, "left").select("file", F.coalesce("__text", "text").alias("text"), opened)
