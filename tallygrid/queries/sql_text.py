@@ -41,8 +41,8 @@ _TEXTS: dict[str, tuple[str, str, str | None]] = {
         "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 10000 THEN 'middle' ELSE 'low' END AS band FROM orders"),
     "time": ("events", "SELECT event_id, TIME(ts) AS t FROM events", "SELECT event_id, STRFTIME(ts, '%H:%M:%S') AS t FROM events"),
     "datetime": (
-        "events", "SELECT event_id, YEAR(DATETIME('2024-02-03 04:05:06')) AS y, DATE(ts) AS d, STRFTIME(ts, '%Y-%m') AS m FROM events",
-        "SELECT event_id, 2024 AS y, CAST(ts AS DATE) AS d, STRFTIME(ts, '%Y-%m') AS m FROM events"),
+        "events", "SELECT event_id, YEAR(DATETIME('2024-02-03 04:05:06')) AS y, CAST(DATE(ts) AS STRING) AS d, STRFTIME(ts, '%Y-%m') AS m FROM events",
+        "SELECT event_id, 2024 AS y, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, STRFTIME(ts, '%Y-%m') AS m FROM events"),
     "quote": (
         "nation", "SELECT n_nationkey, QUOTE(REPLACE(n_name, 'A', '''')) AS q FROM nation",
         "SELECT n_nationkey, '''' || REPLACE(REPLACE(n_name, 'A', ''''), '''', '''''') || '''' AS q FROM nation"),
