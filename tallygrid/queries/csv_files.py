@@ -168,3 +168,41 @@ def table_info(spark, folder):
         F.lit(", ".join(f"{c['name']} {c['dtype']}" for c in info.columns)).alias("columns"),
         F.lit(info.file_size > 0).alias("has_size"),
     )
+
+
+def _lines(frame, header: str, path: str) -> str:
+    """Lines as they are, under a header."""
+    frame.withColumnRenamed("line", header).write.options(header=True, sep="\u0001", quote="").csv(path)
+    return path
+
+
+@query(
+    "csv_open_quotes",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 7 THEN 'quote left open' ELSE 'kept' END AS outcome,
+              CASE WHEN o_orderkey % 100 = 7 THEN NULL WHEN o_orderkey % 10 = 3 THEN 'first, of ' || o_orderkey || chr(10) || 'two'
+                   ELSE o_orderpriority END AS note FROM orders""",
+)
+def csv_open_quotes(spark, folder):
+    # one line in a hundred leaves a quote open, beside records that do go over two lines
+    key = F.col("o_orderkey").cast("string")
+    lines = F.when(F.col("o_orderkey") % 100 == 7, F.array(F.concat(key, F.lit(',"open')))).when(
+        F.col("o_orderkey") % 10 == 3, F.array(F.concat(key, F.lit(',"first, of '), key), F.lit('two"'))
+    ).otherwise(F.array(F.concat_ws(",", key, "o_orderpriority")))
+    path = _lines(table(spark, folder, "orders").select(F.explode(lines).alias("line")), "o_orderkey,note", new_folder(spark, "export"))
+    loaded = load_csv(spark, path)
+    kept = loaded.frame().select("o_orderkey", F.lit("kept").alias("outcome"), "note")
+    return kept.unionByName(loaded.rejects().select(
+        F.split("line", ",")[0].cast("bigint").alias("o_orderkey"), F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("note")))
+
+
+@query(
+    "csv_late_quotes",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus || ', ' || o_orderkey ELSE o_orderstatus END AS note, '''' AS quote FROM orders",
+)
+def csv_late_quotes(spark, folder):
+    # fields quoted by ' come last in each file
+    key, late = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 4 == 0
+    line = F.when(late, F.concat(key, F.lit(",'"), "o_orderstatus", F.lit(", "), key, F.lit("'"))).otherwise(F.concat_ws(",", key, "o_orderstatus"))
+    rows = table(spark, folder, "orders").select(line.alias("line"), late.alias("late")).sortWithinPartitions("late").select("line")
+    loaded = load_csv(spark, _lines(rows, "o_orderkey,note", new_folder(spark, "export")))
+    return loaded.frame().withColumn("quote", F.lit(loaded.plan.dialect.quote))
