@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,16 @@ _written: dict[str, list[str]] = {}
 _scope = ""
 
 
+def give_back_memory() -> None:
+    """What a task's Python worker has freed goes back to the system; allocators keep it for themselves otherwise,
+    while the worker waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def temporary_folder(spark: SparkSession, label: str) -> str:
     """A new place in the shared folder, deleted by `release`."""
     folder = new_folder(spark, label)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm import words as W
 from tallygrid.llm.hash_table import HashTable
-from tallygrid.llm.shared import map_arrow
+from tallygrid.llm.shared import give_back_memory, map_arrow
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
@@ -141,6 +141,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
                     ["doc_id", "part", "local_start", "n_tokens", "ids"])
                 start += int(offsets[-1])
+        give_back_memory()
 
     return map_arrow(docs.select("doc_id", "text"), encode, _ROWS)
 
