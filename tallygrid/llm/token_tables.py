@@ -13,6 +13,7 @@ are read without the other ids.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -38,9 +39,32 @@ _SLOTS = 1 << 21
 #: New words encoded in one text.
 TOGETHER = 256
 
+#: Marks at the end of a word that are looked back over; a word with more stays whole.
+MARKS_BACK = 8
+#: A splitter that parts marks from a letter or digit before them; letters count after an apostrophe only.
+_MARKS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_UPPER, _ALNUM = (np.array([k < 128 and test(chr(k)) for k in range(256)]) for test in (str.isupper, str.isalnum))
+_MARK = np.array([0x20 < k < 0x7F and not chr(k).isalnum() for k in range(256)])
+
 _ROWS = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>"
 
 
+def _rules(tokenizer) -> tuple[bool, bool]:
+    """Whether a tokenizer takes A-Z as a-z everywhere, and marks at a word's end apart from a letter or digit before them.
+
+    Only steps known to leave either alone are allowed before.
+    """
+    made = json.loads(tokenizer.to_str())
+    steps, splits = ((x or {}).get(many, [x] if x else []) for x, many in (
+        (made["normalizer"], "normalizers"), (made["pre_tokenizer"], "pretokenizers")))
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    known = all(x["type"] in ("NFC", "Lowercase") or x == blanks for x in steps)
+    known &= not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values())
+    first = {"type": "Split", "pattern": {"Regex": _MARKS_APART}, "behavior": "Removed", "invert": True}
+    rest = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in splits[1:])
+    return known and any(x["type"] == "Lowercase" for x in steps), known and splits[:1] == [first] and rest
+
+
 class _HeldWords:
     """The ids of words met so far, one after the other, and each word's place in them.
 
@@ -58,6 +82,8 @@ class _HeldWords:
         parting = [(k, t.content) for k, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
                    if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.part_id, self.parting = parting[0] if parting else (None, None)
+        self.folds, self.parts = _rules(self.tokenizer)
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = HashTable(_SLOTS)
         self.names = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, np.int32)
@@ -70,6 +96,31 @@ class _HeldWords:
             cls._all[vocabulary] = cls(vocabulary)
         return cls._all[vocabulary]
 
+    def cut(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words without what makes no difference to their ids: capitals as small letters, marks at the end as words.
+
+        A slice with an added token, in whatever case, stays as it is.
+        """
+        if not (self.folds or self.parts) or not len(starts):
+            return data, starts, ends
+        lower = data.tobytes().lower()
+        if any(x in lower for x in self.added):
+            return data, starts, ends
+        if self.folds:
+            # a letter before a byte beyond ASCII may be composed with it, and not alike in either case
+            upper = _UPPER[data]
+            upper[:-1] &= data[1:] < 128
+            data = np.where(upper, np.frombuffer(lower, np.uint8), data)
+        if self.parts:
+            ending = np.flatnonzero(_MARK[data[ends - 1]])
+            marks = ends[ending] - 1
+            for _ in range(MARKS_BACK):
+                marks -= _MARK[data[marks - 1]] & (marks > starts[ending])
+            parted = (marks > starts[ending]) & _ALNUM[data[marks - 1]]
+            ending, marks = ending[parted], marks[parted]
+            starts, ends = np.insert(starts, ending + 1, marks), np.insert(ends, ending, marks)
+        return data, starts, ends
+
     def _drop_rare(self) -> None:
         """At most half of the words stay, the ones met most often."""
         often = np.flatnonzero(self.calls > 1)
@@ -96,22 +147,23 @@ class _HeldWords:
 
     def encode(self, part: W.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the part's words, and how many each word has."""
-        names, first, inverse = np.unique(part.hashes, return_index=True, return_inverse=True)
         if len(self.names) > HELD_WORDS:
             self._drop_rare()
-        place = self.known.find(names).astype(np.int64)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            data, starts, ends = part.data, part.starts[first[new]].tolist(), part.ends[first[new]].tolist()
+        place = self.known.find(part.hashes).astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            names, first, inverse = np.unique(part.hashes[unknown], return_index=True, return_inverse=True)
+            first = unknown[first]
+            data, starts, ends = part.data, part.starts[first].tolist(), part.ends[first].tolist()
             ids, sizes = self._encoded([data[s:e].tobytes().decode() for s, e in zip(starts, ends)])
-            place[new] = np.arange(len(self.names), len(self.names) + len(new))
-            self.known.add(names[new], place[new])
-            self.names = np.concatenate((self.names, names[new]))
+            numbers = np.arange(len(self.names), len(self.names) + len(names))
+            place[unknown] = numbers[inverse]
+            self.known.add(names, numbers)
+            self.names = np.concatenate((self.names, names))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
             self.ids = np.concatenate((self.ids, ids))
-            self.calls = np.concatenate((self.calls, np.zeros(len(new), np.int32)))
-        self.calls[place] += 1
-        place = place[inverse]
+            self.calls = np.concatenate((self.calls, np.zeros(len(names), np.int32)))
+        self.calls += np.bincount(place, minlength=len(self.calls)) > 0
         begins, sizes = self.at[place], self.at[place + 1] - self.at[place]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
@@ -126,7 +178,7 @@ def _tokenized(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         held = _HeldWords.of(vocabulary)
         part_number, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in W.words(batch.column(1)):
+            for part in W.words(batch.column(1), cut=held.cut):
                 n = part.last - part.first
                 ids, word_sizes = held.encode(part)
                 upto = np.concatenate(([0], np.cumsum(word_sizes)))

@@ -8,7 +8,7 @@ words share one with a chance of about 2**-64.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,8 +96,15 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.nd
     return mix(out + (ends - starts).astype(np.uint64))
 
 
-def words(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, plain: bool = False) -> Iterator[Words]:
-    """The words of every whole text, some rows at a time; `lower` folds A-Z only, `plain` words end at punctuation too."""
+#: Bytes, starts and ends of words to those that are to be hashed.
+Cut = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def words(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, plain: bool = False, cut: Cut | None = None) -> Iterator[Words]:
+    """The words of every whole text, some rows at a time; `lower` folds A-Z only, `plain` words end at punctuation too.
+
+    `cut` may part words and put other bytes in the places of theirs.
+    """
     offsets, data = buffers(column)
     apart = _MARKS if plain else _SPACE
     table, n, first = _LOWER if lower else _BYTE, len(offsets) - 1, 0
@@ -113,9 +120,13 @@ def words(column: pa.Array, lower: bool = False, limit: int = SLICE_BYTES, plain
             ends = np.flatnonzero(~space & (edge[1:] | np.concatenate((space[1:], [True])))) + 1 + begin
         else:
             starts = ends = np.zeros(0, np.int64)
+        text = data
+        if cut is not None:
+            bounds = bounds - begin
+            text, starts, ends = cut(here, starts - begin, ends - begin)
         at = np.searchsorted(starts, bounds)
         rows = np.repeat(np.arange(last - first), np.diff(at))
-        yield Words(first, last, rows, _hashes(data, starts, ends, table, lower), starts, ends, at, data)
+        yield Words(first, last, rows, _hashes(text, starts, ends, table, lower), starts, ends, at, text)
         first = last
 
 
