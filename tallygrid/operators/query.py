@@ -10,7 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.operators.sql_text import adapted
+from tallygrid.operators.sql_text import adapted, spread_ranks
 from tallygrid.plans.paging import page
 
 # Fixed value: rows of a page when none are asked for
@@ -33,7 +33,8 @@ class ResultPage:
 
 def parse(spark: SparkSession, sql: str) -> DataFrame:
     """The statement as a DataFrame; one trailing semicolon is allowed. Functions and NULL order mean what `sql_text` says."""
-    return spark.sql(adapted(spark, sql.strip().removesuffix(";")))
+    text = adapted(spark, sql.strip().removesuffix(";"))
+    return spread_ranks(spark, text, spark.sql(text))
 
 
 def total_rows(df: DataFrame) -> int:
