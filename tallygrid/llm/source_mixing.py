@@ -9,10 +9,11 @@ words. Where the next document is too long for what is left, the sample goes on,
 those that are not, turn by turn until the size is met or nothing fits; so the last document's
 worth of words, and no more, prefers short texts.
 
-A turn is one row per source: a cut in the ranks and a bound on the length. The cut is found
-without sorting: ranks are whole numbers of 48 bits, and three levels of a plan narrow it by 16 bits
+The cut is found without sorting: ranks are whole numbers of 48 bits, and three levels of a plan narrow it by 16 bits
 each, with sums per source and bin combined per task before the shuffle. No task holds more
-than 65,536 bins of a source. Whether a row is taken follows from its source's turns.
+than 65,536 bins of a source. Of what ranks behind the cut, texts of one length are taken in the order of their ranks until
+one does not fit, and none after it; the same plan, by source and length, finds how many that can be at most. So
+few that one task walks through a source's, however long the source is, and all further turns cost one pass.
 """
 
 from __future__ import annotations
@@ -134,59 +135,85 @@ def _copies(classes: DataFrame, limit: float) -> DataFrame:
     return classes.groupBy("sid").applyInArrow(solve, schema)  # some 40 classes to a source
 
 
-def _taken(turns: str = "turns"):
-    return F.expr(f"exists({turns}, t -> rank >= t.low and rank < t.cut and size <= t.fits)")
-
-
-def _cuts(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """`(sid, cut, before)`: the rank at which the words of a source's `rows (sid, rank, size)` would exceed its `left`,
-    and their words before it. A source whose rows all fit has no row."""
-    found = state.select("sid", F.lit(0).cast("bigint").alias("cut"), F.lit(0).cast("bigint").alias("before"), "left")
-    by = Window.partitionBy("sid").orderBy("bin")
+def _cuts(rows: DataFrame, state: DataFrame, *by: str) -> DataFrame:
+    """`(*by, cut, before)`: the rank at which the words of a group's `rows (*by, rank, size)` would exceed its `left`,
+    and their words before it. A group whose rows all fit has no row."""
+    found = state.select(*by, F.lit(0).cast("bigint").alias("cut"), F.lit(0).cast("bigint").alias("before"), "left")
+    bins_of = Window.partitionBy(*by).orderBy("bin")
     for level in range(1, _LEVELS + 1):
         shift = _BITS * (_LEVELS - level)
-        inside = rows.join(found, "sid").where(F.shiftright("rank", shift + _BITS) == F.col("cut"))
-        bins = inside.groupBy("sid", F.shiftright("rank", shift).alias("bin")).agg(
+        inside = rows.join(found, [*by]).where(F.shiftright("rank", shift + _BITS) == F.col("cut"))
+        bins = inside.groupBy(*by, F.shiftright("rank", shift).alias("bin")).agg(
             F.sum("size").alias("words"), F.first("before").alias("before"), F.first("left").alias("left"))
-        upto = bins.withColumn("upto", F.col("before") + F.sum("words").over(by)).where("upto > left")
-        found = upto.groupBy("sid").agg(
+        upto = bins.withColumn("upto", F.col("before") + F.sum("words").over(bins_of)).where("upto > left")
+        found = upto.groupBy(*by).agg(
             F.min("bin").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "bin").alias("before"), F.first("left").alias("left"))
-    return found.select("sid", "cut", "before")
+    return found.select(*by, "cut", "before")
+
+
+_PICKS = "sid bigint, rank bigint, longest bigint, words bigint, turn bigint"
 
 
-def _turns(rows: DataFrame, rests: DataFrame) -> DataFrame:
-    """`(sid, turns array<(low, cut, fits)>)`: a ranked row is taken if a turn's ranks hold it and its size fits.
+def _fitting(units: DataFrame) -> DataFrame:
+    """`_PICKS`: the units that fit in turn what is left of their source, and the turn each is taken in.
 
-    The first turn takes rows of any size up to the cut; each further one those that fit what is left. At the
-    end one more row is taken if the sample comes nearer to its size by it.
+    A turn begins with what is left, passes over what is longer, and ends at the first unit that does
+    not fit any more. A row without rank tells that its source needs that turn.
     """
-    ends = 1 << (_BITS * _LEVELS)
-    kind = "array<struct<low:bigint,cut:bigint,fits:bigint>>"
-    state = written(rests.select(
-        "sid", F.expr(f"cast(array() as {kind})").alias("turns"), "rest", F.floor("rest").alias("left"),
-        F.lit((1 << 62) - 1).cast("bigint").alias("fits")), "turns")
-    while True:
-        joined = rows.join(state.select("sid", "turns", "fits"), "sid")
-        waiting = joined.where((F.col("size") <= F.col("fits")) & ~_taken()).select("sid", "rank", "size")
-        cuts = _cuts(waiting, state)
-        sums = waiting.groupBy("sid").agg(F.sum("size").alias("all"))
-        after = state.join(cuts, "sid", "left").join(sums, "sid", "left")
-        left = F.col("left") - F.coalesce("before", "all", F.lit(0))
-        turn = F.struct(F.lit(0).cast("bigint").alias("low"), F.coalesce("cut", F.lit(ends)).alias("cut"), F.col("fits"))
-        after = written(after.select(
-            "sid", F.when(F.col("all") > 0, F.concat("turns", F.array(turn))).otherwise(F.col("turns")).alias("turns"), "rest",
-            left.alias("left"), left.alias("fits"), "cut"), "turns")
-        going = F.col("cut").isNotNull() & (F.col("left") > 0) & (F.col("left") > NEAR * F.col("rest"))
-        more = after.where(going).select("sid").limit(1).collect()
-        state = after.drop("cut")
-        if not more:
-            break
-    # rows of one rank are repeats and stand together
-    nearer = rows.join(state, "sid").where(~_taken()).groupBy("sid", "rank").agg(F.sum("size").alias("size"), F.max("size").alias("longest"), F.first("left").alias("left"))
-    last = nearer.where("size < 2 * left").groupBy("sid").agg(F.min_by(F.struct("rank", "longest"), "rank").alias("last"))
-    one = F.struct(F.col("last.rank").alias("low"), (F.col("last.rank") + 1).alias("cut"), F.col("last.longest").alias("fits"))
-    return written(state.join(last, "sid", "left").select(
-        "sid", F.when(F.col("last").isNotNull(), F.concat("turns", F.array(one))).otherwise(F.col("turns")).alias("turns")), "turns")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, left, fits, turn = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for sid, rank, words, longest, most, enough in zip(*(c.to_pylist() for c in batch.columns)):
+                if sid != source:
+                    source, left, fits, turn = sid, most, most, 2  # the first turn was up to the cut
+                if words <= left:
+                    left -= words
+                    out.append((sid, rank, longest, words, turn))
+                elif words <= fits:
+                    fits, turn = left, turn + 1
+                    if left > enough:
+                        out.append((sid, None, None, None, turn))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 5)], ["sid", "rank", "longest", "words", "turn"])
+
+    ordered = units.select("sid", "rank", "words", "longest", "left", "enough").repartition("sid").sortWithinPartitions("sid", "rank")
+    return map_arrow(ordered, walk, _PICKS)
+
+
+def _turns(rows: DataFrame, rests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`(sid, cut)` and `(sid, rank, longest)`: a ranked row is taken before its source's cut, or with a rank of the second
+    table if it is not above `longest`.
+
+    The first turn takes rows of any size up to the cut; each further one those that fit what is left, until every
+    source's sample is met or nothing fits. At the end one more row is taken if the sample comes nearer to its size by it.
+    """
+    ends = F.lit(1 << (_BITS * _LEVELS))
+    state = rests.select("sid", "rest", F.floor("rest").alias("left"))
+    after = state.join(_cuts(rows, state, "sid"), "sid", "left")
+    state = written(after.select(
+        "sid", F.coalesce("cut", ends).alias("cut"), F.when(F.col("cut").isNotNull(), F.col("left") - F.col("before")).otherwise(0).alias("left"),
+        F.greatest(F.lit(0.0), NEAR * F.col("rest")).alias("enough")), "cuts")
+    # rows of one rank are repeats and stand together; longer ones would not bring the sample nearer to its size
+    behind = rows.join(state.where("left > 0"), "sid").where("rank >= cut and size < 2 * left").groupBy("sid", "rank").agg(
+        F.sum("size").alias("words"), F.max("size").alias("longest"), F.first("left").alias("left"), F.first("enough").alias("enough"))
+    behind = written(behind.where("words < 2 * left"), "behind")
+    picks = state.sparkSession.createDataFrame([], _PICKS)
+    if state.where("left > enough").limit(1).collect():
+        fit = behind.where("words <= left")
+        by_length = fit.select("sid", F.col("words").alias("length"), "rank", F.col("words").alias("size"), "left")
+        cuts = _cuts(by_length.drop("left"), by_length.select("sid", "length", "left").distinct(), "sid", "length")
+        few = fit.join(cuts.withColumnRenamed("length", "words"), ["sid", "words"], "left").where("cut is null or rank <= cut")
+        picks = written(_fitting(few), "picks")
+        turns = max(2, picks.where("rank is null").agg(F.max("turn")).first()[0] or 0)  # as many as the source that needs most
+        picks = picks.where((F.col("turn") <= turns) & F.col("rank").isNotNull())
+    took = picks.groupBy("sid").agg(F.sum("words").alias("took"))
+    now = F.col("left") - F.coalesce("took", F.lit(0))
+    last = behind.join(picks.select("sid", "rank"), ["sid", "rank"], "left_anti").join(took, "sid", "left").where(
+        F.col("words") < 2 * now).groupBy("sid").agg(F.min_by(F.struct("rank", "longest"), "rank").alias("last"))
+    kept = picks.select("sid", "rank", "longest").unionAll(last.select("sid", "last.rank", "last.longest"))
+    return state.select("sid", "cut"), written(kept, "taken")
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -219,10 +246,11 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, limit: int = LIMI
         sized.join(plan, F.col("source").eqNullSafe(F.col("of_source")) & (length == F.col("of_length"))).select(
             "doc_id", "drawn", "size", *facts, "whole", F.when((F.col("size") > 0) & (F.col("chance") > 0), rank).alias("rank")),
         "rows")
-    turns = _turns(rows.where("rank is not null").select("sid", "rank", "size"), plan.groupBy("sid").agg(F.max("rest").alias("rest")))
-    more = F.coalesce(_taken(), F.lit(False)).cast("bigint")
+    cuts, picks = _turns(rows.where("rank is not null").select("sid", "rank", "size"), plan.groupBy("sid").agg(F.max("rest").alias("rest")))
+    more = F.coalesce((F.col("rank") < F.col("cut")) | (F.col("size") <= F.col("longest")), F.lit(False)).cast("bigint")
     copies = F.when(F.col("size") > 0, F.col("whole") + more).otherwise(0).cast("bigint")
-    return rows.join(turns, "sid").select("doc_id", "drawn", "size", "source_size", "target", copies.alias("copies"))
+    return rows.join(cuts, "sid").join(picks, ["sid", "rank"], "left").select(
+        "doc_id", "drawn", "size", "source_size", "target", copies.alias("copies"))
 
 
 def repeated_by_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from tallygrid.llm.shared import written
 from tallygrid.llm.source_mixing import LENGTH_POWER, LIMIT, NEAR, _targets, mixed
 from tests.llm.conftest import words_of
 
@@ -84,3 +85,25 @@ def test_levels_of_many_sources(spark):
 def test_plan_stays_small(spark, docs):
     plan = mixed(docs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") < 20
+
+
+def test_turns_do_not_add_passes(spark, monkeypatch):
+    """Sources that need many turns cost as many written tables as those that need two."""
+    from tallygrid.llm import source_mixing
+
+    labels = []
+    monkeypatch.setattr(source_mixing, "written", lambda frame, label: labels.append(label) or written(frame, label))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _check(docs.withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 30)))
+    assert len(labels) == len(set(labels)) <= 9
+
+
+def test_repeated_rows_that_do_not_fit_together(spark):
+    """Two rows alike, one of which would fit: both are passed over, and the sample goes on."""
+    texts = [(k, "word " * (20 + k % 40), "ab"[k % 2]) for k in range(120)]
+    rows = mixed(spark.createDataFrame(texts + texts, "doc_id bigint, text string, source string")).collect()
+    assert len(rows) == 240
+    for size in {r.source_size for r in rows}:
+        own = [r for r in rows if r.source_size == size]
+        assert len({(r.doc_id, r.copies) for r in own}) == len({r.doc_id for r in own})
+        assert abs(sum(r["size"] * r.copies for r in own) - own[0].target) <= 40
