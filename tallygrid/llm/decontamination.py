@@ -39,6 +39,8 @@ K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
 #: Words of the items indexed at once; some 100 MB of postings.
 SHARD_WORDS = 2_000_000
+#: Pairs of a passage and a block scored at once, or the blocks of one passage.
+CELLS = 1 << 18
 
 
 @dataclass
@@ -48,9 +50,10 @@ class Index:
     terms: np.ndarray        # the term of each
     most: np.ndarray         # per term its largest impact
     block_at: np.ndarray     # postings of term t in blocks: block_at[t] to block_at[t + 1]
-    block_keys: np.ndarray   # term * blocks + block, sorted
+    block_of: np.ndarray     # the block of each, ascending
     block_most: np.ndarray
-    item_keys: np.ndarray    # term * items + item, sorted
+    item_at: np.ndarray      # item postings of block posting b: item_at[b] to item_at[b + 1]
+    items: np.ndarray        # by term, then item
     impacts: np.ndarray
     ids: list                # item ids
     sizes: np.ndarray        # words per item
@@ -113,14 +116,9 @@ def _built(rows: list, known: dict[int, int], n_items: int, mean_words: float) -
     block_most = np.zeros(len(block_keys))
     np.maximum.at(block_most, inverse, impact)
     return Index(
-        names, rank, most[order], np.searchsorted(block_keys, np.arange(len(names) + 1) * blocks), block_keys, block_most,
-        keys[by], impact[by], [x[1] for x in scored], np.array([x[4] for x in scored]), [x[5] for x in scored],
-        [x[6] for x in scored], blocks)
-
-
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0.0)
+        names, rank, most[order], np.searchsorted(block_keys, np.arange(len(names) + 1) * blocks), block_keys % blocks, block_most,
+        np.concatenate(([0], np.cumsum(np.bincount(inverse)))), item[by], impact[by], [x[1] for x in scored],
+        np.array([x[4] for x in scored]), [x[5] for x in scored], [x[6] for x in scored], blocks)
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +128,6 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
 
 
-def _scores(owner: np.ndarray, unit: np.ndarray, at: np.ndarray, terms: np.ndarray, keys: np.ndarray, values: np.ndarray,
-            units: int) -> np.ndarray:
-    """For pairs of a passage and a block or item, the sum over the passage's terms."""
-    which, place = _spread(at[owner], at[owner + 1])
-    return np.bincount(which, _looked_up(keys, values, terms[place] * units + unit[which]), len(owner))
-
-
 def retrieve(index: Index, words: np.ndarray, chunks: np.ndarray, ends: np.ndarray, threshold: float):
     """`(passage, item, score)` of all pairs that reach the threshold.
 
@@ -154,26 +145,47 @@ def retrieve(index: Index, words: np.ndarray, chunks: np.ndarray, ends: np.ndarr
     passage, terms = pairs // n_terms, pairs % n_terms   # terms ascend by their largest impact
     at = np.searchsorted(passage, np.arange(len(ends) + 1))
     total = np.concatenate(([0.0], np.cumsum(index.most[terms])))
-    upto = total[1:] - total[at[passage]]
-    needed = np.flatnonzero(upto >= threshold)
-    which, place = _spread(index.block_at[terms[needed]], index.block_at[terms[needed] + 1])
-    found, inverse = np.unique(passage[needed][which] * index.blocks + index.block_keys[place] % index.blocks, return_inverse=True)
-    owner, block = found // index.blocks, found % index.blocks
-    bound = np.bincount(inverse, index.block_most[place], len(found))
+    needed = total[1:] - total[at[passage]] >= threshold
+    out, step = [], max(1, CELLS // index.blocks)
+    for first in range(0, max(1, len(ends)), step):
+        n = min(step, len(ends) - first)
+        own = slice(at[first], at[first + n])
+        owner, item, score = _reached(index, passage[own] - first, terms[own], needed[own], n, threshold)
+        out.append((owner + first, item, score))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _reached(index: Index, passage: np.ndarray, terms: np.ndarray, needed: np.ndarray, n: int, threshold: float):
+    """`retrieve` for `n` passages, given as pairs with a term in their order; terms that are not `needed` are passed over.
+
+    Postings are added to cells, one for each passage and block, so no pair of a term and a block is searched for.
+    """
+
+    def postings(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some pairs, for each posting the cell of its passage and block, and its place."""
+        pair, place = _spread(index.block_at[terms[which]], index.block_at[terms[which] + 1])
+        return passage[which][pair] * index.blocks + index.block_of[place], place
+
+    cells, places = postings(np.flatnonzero(needed))
+    bound = np.bincount(cells, index.block_most[places], n * index.blocks).reshape(n, index.blocks)
     # what the passed-over terms can add at most: their sum is below the threshold
-    firsts = np.full(len(ends), len(terms))
-    np.minimum.at(firsts, passage[needed], needed)
-    passed = total[firsts[owner]] - total[at[owner]]
-    keep = bound + passed >= threshold - 1e-9
-    owner, block = owner[keep], block[keep]
-    keep = _scores(owner, block, at, terms, index.block_keys, index.block_most, index.blocks) >= threshold - 1e-9
-    owner, block = owner[keep], block[keep]
-    n_items = len(index.ids)
-    which, item = _spread(block * BLOCK_ITEMS, np.minimum(block * BLOCK_ITEMS + BLOCK_ITEMS, n_items))
-    owner = owner[which]
-    score = _scores(owner, item, at, terms, index.item_keys, index.impacts, n_items)
-    keep = score >= threshold
-    return owner[keep], item[keep], score[keep]
+    passed = np.bincount(passage, np.where(needed, 0.0, index.most[terms]), n)
+    keep = (bound > 0) & (bound + passed[:, None] >= threshold - 1e-9)
+    # their true sums, where a block may reach the threshold
+    more, at = postings(np.flatnonzero(~needed & keep.any(axis=1)[passage]))
+    held = keep.ravel()[more]
+    more, at = more[held], at[held]
+    keep &= bound + np.bincount(more, index.block_most[at], n * index.blocks).reshape(keep.shape) >= threshold - 1e-9
+    # a passage's terms ascend, the passed-over ones come first; so do their items
+    cells, places = np.concatenate((more, cells)), np.concatenate((at, places))
+    held = keep.ravel()[cells]
+    cells, places = cells[held], places[held]
+    number = np.cumsum(keep.ravel()) - 1
+    which, item = _spread(index.item_at[places], index.item_at[places + 1])
+    score = np.bincount(number[cells[which]] * BLOCK_ITEMS + index.items[item] % BLOCK_ITEMS, index.impacts[item])
+    found = np.flatnonzero(score >= threshold)
+    cell = np.flatnonzero(keep)[found // BLOCK_ITEMS]
+    return cell // index.blocks, cell % index.blocks * BLOCK_ITEMS + found % BLOCK_ITEMS, score[found]
 
 
 def _held(index: Index, item: int, near: np.ndarray, shares: list[float], overlap: float) -> bool:
