@@ -11,9 +11,12 @@ worth of words, and no more, prefers short texts.
 
 The cut is found without sorting: ranks are whole numbers of 48 bits, and three levels of a plan narrow it by 16 bits
 each, with sums per source and bin combined per task before the shuffle. No task holds more
-than 65,536 bins of a source. Of what ranks behind the cut, texts of one length are taken in the order of their ranks until
-one does not fit, and none after it; the same plan, by source and length, finds how many that can be at most. So
-few that one task walks through a source's, however long the source is, and all further turns cost one pass.
+than 65,536 bins of a source.
+
+Of the rows behind the cut, those of one length are taken in the order of their ranks until one does not fit, and none
+after it; the same plan, by source and length, finds how many that can be at most. Less is left than the row at the cut
+has words, so these are few, however many rows the source has: they are sorted and walked through, and all further turns
+together cost one pass.
 """
 
 from __future__ import annotations
